@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkframe.llm.decontaminate import decontaminate
 from inkframe.llm.exact_dedup import exact_dedup
 from inkframe.llm.license_scan import license_scan
+from inkframe.llm.simhash import simhash_dedup
 from inkframe.llm.url_filter import url_filter
 
 #: The URL rules that op8 applies.
@@ -26,6 +28,24 @@ def op1_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents")).withColumn("matches", F.to_json("matches"))
 
 
+def op4_simhash(spark, sf_dir):
+    out = simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, distance=2, segments=2)
+    fingerprint = F.lower(F.lpad(F.hex(F.element_at("fps", 1)), 16, "0"))
+    return out.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
+
+
+def op6_decontaminate(spark, sf_dir):
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op8_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -37,6 +57,8 @@ def op10_exact_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op4_simhash": op4_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op8_url_filter": op8_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
