@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from inkframe.llm.decontaminate import decontaminate
 from inkframe.llm.exact_dedup import exact_dedup
 from inkframe.llm.license_scan import license_scan
 from inkframe.llm.simhash import simhash_dedup
+from inkframe.llm.token_count import token_counts
+from inkframe.llm.token_store import token_output
 from inkframe.llm.url_filter import url_filter
 
 #: The URL rules that op8 applies.
@@ -34,6 +37,10 @@ def op4_simhash(spark, sf_dir):
     return out.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def op6_decontaminate(spark, sf_dir):
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -46,6 +53,10 @@ def op6_decontaminate(spark, sf_dir):
     )
 
 
+def op7_token_output(spark, sf_dir):
+    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op8_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -58,7 +69,9 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_simhash": op4_simhash,
+    "op5_token_counts": op5_token_counts,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_output": op7_token_output,
     "op8_url_filter": op8_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
