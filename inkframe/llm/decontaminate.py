@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import row_key, small_batches
+from inkframe.llm.common import small_batches
 
 #: Most bytes of benchmark text that one pass's tables are built of (they are
 #: broadcast); a larger benchmark is searched in as many passes as it needs.
@@ -81,15 +83,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(docs: DataFrame, patterns) -> DataFrame:
-    """docs (id, key, t): appends n_words, spans and items of one pass."""
-    tables = docs.sparkSession.sparkContext.broadcast(patterns)
+HITS = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
+
+
+def _searcher(spark: SparkSession, patterns):
+    """A column function: text to the words, hit spans and items of one pass."""
+    tables = spark.sparkContext.broadcast(patterns)
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machines = [WuManber(p) for p in tables.value.values()]
         for batch in batches:
             n_words, spans, items = [], [], []
-            for text in batch.column(2):
+            for text in batch:
                 words = words_of(text.as_py())
                 hits, of = [], {}
                 for machine in machines:
@@ -99,68 +104,66 @@ def _scan(docs: DataFrame, patterns) -> DataFrame:
                 n_words.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in merged(hits)])
                 items.append(sorted(of))
-            cols = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "key", "n_words", "spans", "items"])
+            cols = [pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))]
+            yield pa.StructArray.from_arrays(cols, ["n_words", "spans", "items"])
+
+    return F.arrow_udf(run, HITS)
+
 
-    return docs.mapInArrow(run, "id long, key binary, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+def _union(spans: Column) -> Column:
+    """Sorted spans, the overlapping and adjacent ones joined."""
+    ordered = F.array_sort(spans)
 
+    def add(acc, s):
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))
+        return F.when(F.size(acc) == 0, F.array(s)).when(F.try_element_at(acc, F.lit(-1))["end"] >= s["start"], joined).otherwise(F.concat(acc, F.array(s)))
 
-def decontaminate(
-    docs: DataFrame,
+    return F.aggregate(ordered, F.slice(ordered, 1, 0), add)
+
+
+def contamination(
+    text: Column,
     benchmark: DataFrame,
     window: int = 10,
     pass_bytes: int = PASS_BYTES,
-    id_col: str = "doc_id",
-    text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-) -> DataFrame:
-    """One row per input row: id, n_words, n_hit, spans (of hit words, merged,
-    half-open), items (ids of the items with occurring windows, sorted as
-    strings) and contaminated.
-
-    A window is ``window`` consecutive words of an item; an item of fewer words,
-    but not none, is one window. A document word inside an occurrence is hit.
-    Null texts have no words; items with a null id are left out. Repeated rows
-    each give a row. An empty benchmark hits nothing.
-
-    The documents are read in place: nothing is shuffled. A benchmark of more
-    than ``pass_bytes`` of text is dealt by a hash of the item into passes,
-    whose spans are then put together by row.
+) -> Column:
+    """A column of n_words, spans (of hit words, merged, half-open) and items
+    (ids of the items with occurring windows, sorted as strings) of ``text``.
+
+    A benchmark of more than ``pass_bytes`` of text is dealt by a hash of the
+    item into passes, whose spans and items are put together row by row.
     """
-    small_batches(docs.sparkSession)
-    key = row_key(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("t"))
+    spark = benchmark.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")).where("item is not null and t is not null")
     n_bytes = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = 1 + int(n_bytes) // pass_bytes
-    parts = []
+    found = []
     for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()  # bounded by pass_bytes, about
-        parts.append(_scan(rows, windows_of([(r.item, r.t) for r in part], window)))
-    out = parts[0]
-    if passes > 1:
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        out = out.groupBy("id", "key").agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("spans")).alias("spans"),  # as many as there are passes
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            (F.count(F.lit(1)) / passes).cast("int").alias("copies"),
-        )
-        ordered = F.array_sort("spans")
-        join = F.aggregate(
-            ordered,
-            F.slice(ordered, 1, 0),
-            lambda acc, s: F.when(
-                (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-                F.concat(
-                    F.slice(acc, F.lit(1), F.size(acc) - 1),
-                    F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
-                ),
-            ).otherwise(F.concat(acc, F.array(s))),
-        )
-        spans = F.when(F.size("spans") > 0, join).otherwise(F.col("spans"))
-        out = out.withColumn("spans", spans).withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("copies", "copy")
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items", (F.size("spans") > 0).alias("contaminated"))
+        part = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()  # pass_bytes, about
+        found.append(_searcher(spark, windows_of([(r.item, r.t) for r in part], window))(text))
+    if passes == 1:
+        return found[0]
+    return F.struct(
+        found[0]["n_words"].alias("n_words"),
+        _union(F.concat(*[f["spans"] for f in found])).alias("spans"),
+        F.array_sort(F.array_distinct(F.concat(*[f["items"] for f in found]))).alias("items"),
+    )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per input row: id, n_words, n_hit, spans, items and contaminated.
+
+    A window is ``window`` (10) consecutive words of an item; an item of fewer
+    words, but not none, is one window. A document word inside an occurrence is
+    hit. Null texts have no words; items with a null id or text are left out.
+    Repeated rows and null ids each give a row. An empty benchmark hits nothing.
+    The documents are read in place; nothing is shuffled.
+    """
+    out = docs.select(F.col(id_col).alias("id"), contamination(F.col(text_col), benchmark, **options).alias("c"))
+    n_hit = F.aggregate("c.spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return out.select(F.col("id").alias(id_col), "c.n_words", n_hit.alias("n_hit"), "c.spans", "c.items", (F.size("c.spans") > 0).alias("contaminated"))

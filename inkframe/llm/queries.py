@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from inkframe.llm.decontaminate import decontaminate
 from inkframe.llm.exact_dedup import exact_dedup
 from inkframe.llm.license_scan import license_scan
+from inkframe.llm.quality import fit_quality
 from inkframe.llm.simhash import simhash_dedup
 from inkframe.llm.token_count import token_counts
 from inkframe.llm.token_store import token_output
+from inkframe.llm.toxicity import fit_toxicity, score_documents
 from inkframe.llm.url_filter import url_filter
 
 #: The URL rules that op8 applies.
@@ -31,6 +33,11 @@ def op1_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents")).withColumn("matches", F.to_json("matches"))
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), cut=0.5)
+
+
 def op4_simhash(spark, sf_dir):
     out = simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, distance=2, segments=2)
     fingerprint = F.lower(F.lpad(F.hex(F.element_at("fps", 1)), 16, "0"))
@@ -62,17 +69,24 @@ def op8_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels")), cut=0.3)
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_output": op7_token_output,
     "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
