@@ -37,10 +37,8 @@ def _value(fp, offset: int, width: int):
 
 
 def _masks(width: int, radius: int):
-    import json
-
-    text = json.dumps([{"m": m, "w": w} for m, w in ball(width, radius)])
-    return F.from_json(F.lit(text), "array<struct<m:bigint,w:int>>")
+    """The ball's masks, as an array that the optimizer folds into one constant."""
+    return F.split(F.lit(",".join(str(m) for m, _ in ball(width, radius))), ",").cast("array<bigint>")
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -70,8 +68,8 @@ def hamming_links(nodes: DataFrame, distance: int, segments: int, bucket_limit:
         table = F.lit(i << 40)
         entries.append(nodes.select("rep", "fp", (table + v).alias("key")))
         rows = nodes.select("rep", "fp", v.alias("v"), F.explode(_masks(width, radius)).alias("x"))
-        to = F.col("v").bitwiseXOR(F.col("x.m"))
-        rows = rows.select("rep", "fp", "v", to.alias("to"), F.col("x.w").alias("w")).where((F.col("w") == 0) | (F.col("to") > F.col("v")))
+        to = F.col("v").bitwiseXOR(F.col("x"))
+        rows = rows.select("rep", "fp", "v", to.alias("to"), F.bit_count("x").alias("w")).where((F.col("w") == 0) | (F.col("to") > F.col("v")))
         probes.append(rows.select("rep", "fp", "w", (table + F.col("to")).alias("key")))
 
     def union(parts):
@@ -105,10 +103,10 @@ def hamming_links(nodes: DataFrame, distance: int, segments: int, bucket_limit:
                 v = _value(F.col("fp"), off, width)
                 e = hot_entries.where(in_table).select("rep", "fp", "key", (F.lit(k << 40) + v).alias("key2"))
                 p = hot_probes.where(in_table & (F.col("w") == w)).select("rep", "fp", "key", v.alias("v"), F.explode(_masks(width, r)).alias("x"))
-                p = p.withColumn("to", F.col("v").bitwiseXOR(F.col("x.m")))
+                p = p.withColumn("to", F.col("v").bitwiseXOR(F.col("x")))
                 if w == 0:  # both are in one bucket: of the two the smaller value probes
-                    p = p.where((F.col("x.w") == 0) | (F.col("to") > F.col("v")))
-                    weight = F.col("x.w")
+                    p = p.where((F.col("x") == 0) | (F.col("to") > F.col("v")))
+                    weight = F.bit_count("x")
                 else:
                     weight = F.lit(w)
                 p = p.select("rep", "fp", weight.alias("w"), "key", (F.lit(k << 40) + F.col("to")).alias("key2"))

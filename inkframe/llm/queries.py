@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkframe.llm.decontaminate import decontaminate
 from inkframe.llm.exact_dedup import exact_dedup
 from inkframe.llm.license_scan import license_scan
+from inkframe.llm.mixing import mix_sources
 from inkframe.llm.quality import fit_quality
 from inkframe.llm.simhash import simhash_dedup
 from inkframe.llm.token_count import token_counts
@@ -33,6 +34,12 @@ def op1_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents")).withColumn("matches", F.to_json("matches"))
 
 
+def op2_mixing(spark, sf_dir):
+    out = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    p = [F.col("posteriors")[d].alias(f"p_{d}") for d in ("prose", "junk", "toxic")]
+    return out.select("doc_id", "n_tokens", *p, "rate", "copies")
+
+
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), cut=0.5)
@@ -80,6 +87,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
