@@ -42,22 +42,26 @@ def labels(px: DataFrame, palette: list[tuple[int, int, int]], origin: tuple[int
     at the origin, or with a cosine under ``cut``, is background: label -1 (with
     no cut: label 0), coverage 0."""
     d = [F.col(c).cast("double") - o for c, o in zip("rgb", origin, strict=True)]
-    size = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    cosines, along = [], []
+    size2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    toward, along = [], []  # length of the pixel's shadow on each ink's direction; the same by the ink's own length
     for ink in palette:
         v = np.array(ink, float) - origin
         n = float(np.linalg.norm(v))
         dot = d[0] * float(v[0]) + d[1] * float(v[1]) + d[2] * float(v[2])
-        cosines.append(F.round(F.try_divide(dot, size * n), 9))
+        toward.append(F.round(dot / n, 6))
         along.append(dot / (n * n))
-    best = F.greatest(*cosines) if len(cosines) > 1 else cosines[0]
+    px = px.withColumns({"__size2": size2, **{f"__t{i}": t for i, t in enumerate(toward)}, **{f"__a{i}": a for i, a in enumerate(along)}})
+    toward, along = ([F.col(f"__{k}{i}") for i in range(len(palette))] for k in "ta")
+    best = F.greatest(*toward) if len(toward) > 1 else toward[0]
     label, cov = F.lit(None).cast("int"), F.lit(None).cast("double")
     for i in reversed(range(len(palette))):
-        here = cosines[i] == best
+        here = toward[i] == best
         label, cov = F.when(here, i).otherwise(label), F.when(here, along[i]).otherwise(cov)
-    ground = (size == 0) if cut is None else (size == 0) | (best < cut)
+    ground = F.col("__size2") == 0
+    if cut is not None:
+        ground = ground | (best < cut * F.sqrt("__size2"))
     cov = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cov))
-    return px.withColumn("label", F.when(ground, 0 if cut is None else -1).otherwise(label)).withColumn("cov", F.when(ground, 0.0).otherwise(cov))
+    return px.withColumn("label", F.when(ground, 0 if cut is None else -1).otherwise(label)).withColumn("cov", F.when(ground, 0.0).otherwise(cov)).drop("__size2", *[f"__{k}{i}" for k in "ta" for i in range(len(palette))])
 
 
 def ink_gray(labelled: DataFrame, label: int, gray: Column) -> DataFrame:

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkframe.operators import boxes as B
-from inkframe.operators import colour as C
-from inkframe.operators import doctree as D
 from inkframe.operators import raster as R
 from inkframe.operators import runs as W
-from inkframe.operators import select as S
 from inkframe.sources import views as V
 
 QUERIES, SQL = {}, {}
@@ -88,7 +85,7 @@ def _(s, d):
     return R.bounds(R.binarise(V.px_emb(s, d), 60))
 
 
-@query("A23_bounds_mm", "px", "SELECT image_id, round(min(x) * 0.25, 6) AS x0_mm, round(min(y) * 0.25, 6) AS y0_mm, round((max(x) + 1) * 0.25, 6) AS x1_mm, round((max(y) + 1) * 0.25, 6) AS y1_mm FROM px WHERE gray < 60 GROUP BY 1")
+@query("A23_bounds_mm", "px", "SELECT image_id, round(min(x) * CAST(0.25 AS DOUBLE), 6) AS x0_mm, round(min(y) * CAST(0.25 AS DOUBLE), 6) AS y0_mm, round((max(x) + 1) * CAST(0.25 AS DOUBLE), 6) AS x1_mm, round((max(y) + 1) * CAST(0.25 AS DOUBLE), 6) AS y1_mm FROM px WHERE gray < 60 GROUP BY 1")
 def _(s, d):
     return R.box_mm(R.bounds(R.binarise(V.px_emb(s, d), 60)), 0.25).select("image_id", *[F.round(f"{c}_mm", 6).alias(f"{c}_mm") for c in B.BOX])
 

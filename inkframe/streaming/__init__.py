@@ -1 +1 @@
-
+"""Nothing streams here: the capabilities this engine covers are all batch."""
