@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 
-@udtf(returnType="start: int, end: int")
 class TrueRuns:
     """Half-open runs of true values of an array."""
 
@@ -22,7 +21,6 @@ class TrueRuns:
                 start = None
 
 
-@F.pandas_udf("double")
 def variation(v: pd.Series) -> float:
     """Population standard deviation by the mean; 0 for a mean of 0."""
     m = float(v.mean()) if len(v) else 0.0
@@ -30,5 +28,5 @@ def variation(v: pd.Series) -> float:
 
 
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("true_runs", TrueRuns)
-    spark.udf.register("variation", variation)
+    spark.udtf.register("true_runs", udtf(TrueRuns, returnType="start: int, end: int"))
+    spark.udf.register("variation", F.pandas_udf(variation, "double"))
