@@ -135,3 +135,39 @@ def block_kind(f: dict[str, Column] | None = None) -> Column:
 def with_default(rows: DataFrame, verdicts: DataFrame, key: str, default: bool = False) -> DataFrame:
     """Each row's verdict by name; rows without one keep their trace."""
     return rows.join(verdicts.select(key, "convert"), key, "left").withColumn("convert", F.coalesce("convert", F.lit(default)))
+
+
+def symbol_of(w: Column, h: Column, ink: Column, x_height: Column) -> Column:
+    """Hyphen (flat and wide), middle dot (low), bullet (round and dense), tested
+    in this order; NULL for none, and for shapes without ink."""
+    aspect, dense = w / h, ink / (w * h)
+    return (
+        F.when((w <= 0) | (h <= 0) | (ink <= 0), None)
+        .when((h <= 2) & (aspect >= 2.5), "-")
+        .when((h <= F.greatest(F.lit(3.0), x_height * 0.28)) & (aspect < 2.0), "·")
+        .when((aspect >= 0.8) & (aspect <= 2.0) & (dense >= 0.60), "•")
+    )
+
+
+def text_fonts(texts: DataFrame, fonts: DataFrame) -> DataFrame:
+    """Every text with every font. The font catalogue of a machine is some
+    hundreds of names: they travel as one array and are exploded."""
+    names = sorted(r.font for r in fonts.select("font").distinct().collect())
+    return texts.withColumn("font", F.explode(F.array(*map(F.lit, names))))
+
+
+def zip_words(rows: DataFrame, words: str, tokens: str) -> DataFrame:
+    """Words beside tokens by position, where their numbers are equal."""
+    same = rows.where(F.size(words) == F.size(tokens))
+    return same.withColumn("pair", F.explode(F.arrays_zip(words, tokens)))
+
+
+def letter_heights(glyphs: DataFrame, by: list[str], low: str, high: str, least: int = 2, gap: float = 2) -> DataFrame:
+    """Median heights of the letters of x-height and of cap height; NULL unless
+    each has ``least`` samples and they are ``gap`` apart."""
+    kind = lambda s: F.contains(F.lit(s), F.col("letter"))
+    m = glyphs.groupBy(*by).agg(
+        F.count_if(kind(low)).alias("n_low"), F.count_if(kind(high)).alias("n_high"), F.median(F.when(kind(low), F.col("height"))).alias("x"), F.median(F.when(kind(high), F.col("height"))).alias("cap")
+    )
+    ok = (F.col("n_low") >= least) & (F.col("n_high") >= least) & (F.col("cap") - F.col("x") >= gap)
+    return m.select(*by, F.when(ok, F.col("x")).alias("x_height"), F.when(ok, F.col("cap")).alias("cap_height"))

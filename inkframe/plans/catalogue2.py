@@ -459,3 +459,58 @@ def _(s, d):
 @query("SNK1_traced_svg")
 def _(s, d):
     return KS.svg(K.trace(R.binarise(V.px_emb(s, d), 110)))
+
+
+# --- remaining candidate and artefact relations ----------------------------------------
+
+
+@query("C24_symbol", "box", """+ g AS (SELECT image_id, seq, part, 1 + score % 12 AS w, 1 + seq % 6 AS h, 1 + score % 9 AS ink FROM box)
+SELECT image_id, seq, part, CASE WHEN h <= 2 AND w / h >= 2.5 THEN '-' WHEN h <= greatest(3.0, 14 * 0.28) AND w / h < 2.0 THEN chr(183) WHEN w / h >= 0.8 AND w / h <= 2.0 AND ink / (w * h) >= 0.60 THEN chr(8226) END AS symbol FROM g""")
+def _(s, d):
+    g = V.box_li(s, d).select("image_id", "seq", "part", (1 + F.col("score") % 12).alias("w"), (1 + F.col("seq") % 6).alias("h"), (1 + F.col("score") % 9).alias("ink"))
+    return g.select("image_id", "seq", "part", S.symbol_of(F.col("w"), F.col("h"), F.col("ink"), F.lit(14)).alias("symbol"))
+
+
+@query("J12_text_fonts", "cand", "+ t AS (SELECT DISTINCT text FROM cand), f AS (SELECT DISTINCT font FROM cand) SELECT text, font FROM t CROSS JOIN f")
+def _(s, d):
+    c = V.cand_part(s, d)
+    return S.text_fonts(c.select("text").distinct(), c)
+
+
+@query("J19_positional_zip", "variant", """+ w AS (SELECT seq, words, [text, 'x' || word_gap, 'y'][1:1 + words % 3] AS ws, [variant, seq][1:1 + word_gap % 2] AS ts FROM variant)
+SELECT seq, unnest(ws) AS word, unnest(ts) AS token FROM w WHERE len(ws) = len(ts)""")
+def _(s, d):
+    v = V.variant_evt(s, d)
+    ws = F.slice(F.array("text", F.concat(F.lit("x"), F.col("word_gap").cast("string")), F.lit("y")), F.lit(1), 1 + F.col("words") % 3)
+    ts = F.slice(F.array("variant", "seq"), F.lit(1), 1 + F.col("word_gap") % 2)
+    return S.zip_words(v.select("seq", ws.alias("ws"), ts.alias("ts")), "ws", "ts").select("seq", F.col("pair.ws").alias("word"), F.col("pair.ts").alias("token"))
+
+
+@query("A21_letter_heights", "cand", """+ g AS (SELECT font, CASE WHEN seq % 2 = 0 THEN 'a' ELSE 'B' END AS letter, CASE WHEN seq % 2 = 0 THEN 5 + iou % 5 ELSE 9 + iou % 7 END AS height FROM cand),
+m AS (SELECT font, count(*) FILTER (letter = 'a') AS nl, count(*) FILTER (letter = 'B') AS nh, median(height) FILTER (letter = 'a') AS x, median(height) FILTER (letter = 'B') AS c FROM g GROUP BY 1)
+SELECT font, CASE WHEN nl >= 2 AND nh >= 2 AND c - x >= 2 THEN x END AS x_height, CASE WHEN nl >= 2 AND nh >= 2 AND c - x >= 2 THEN c END AS cap_height FROM m""")
+def _(s, d):
+    even = F.col("seq") % 2 == 0
+    g = V.cand_part(s, d).select("font", F.when(even, "a").otherwise("B").alias("letter"), F.when(even, 5 + F.col("iou") % 5).otherwise(9 + F.col("iou") % 7).alias("height"))
+    return S.letter_heights(g, ["font"], "aemnru", "ABDEFGHIKLMNPRTY")
+
+
+@query("SNK4_placement", "box", "SELECT image_id || '-' || seq || '-' || part AS name, 'ART' AS layer, round(x0 * CAST(0.25 AS DOUBLE), 6) AS x, round(100 - y1 * CAST(0.25 AS DOUBLE), 6) AS y, round((x1 - x0) * CAST(0.25 AS DOUBLE), 6) AS w, round((y1 - y0) * CAST(0.25 AS DOUBLE), 6) AS h FROM box")
+def _(s, d):
+    b = V.box_li(s, d).select(F.concat_ws("-", "image_id", "seq", "part").alias("name"), F.lit("art").alias("kind"), *B.BOX)
+    return KS.placement(b, 0.25, 100.0).select("name", "layer", *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
+@query("SNK9_region_lines", "box", "SELECT 'r' || image_id || '_' || seq || '_' || part || '=' || greatest(0, y0 - 2) || ',' || least(90, y1 + 2) || ',' || greatest(0, x0 - 2) || ',' || least(90, x1 + 2) AS line FROM box")
+def _(s, d):
+    name = F.concat(F.lit("r"), F.concat_ws("_", "image_id", "seq", "part"))
+    t = V.box_li(s, d).select(name.alias("name"), *B.BOX, F.lit(None).cast("string").alias("color"), F.lit(0).alias("rot"), F.lit(False).alias("suspect"))
+    return KS.live_region_lines(t, 90, 90)
+
+
+@query("SNK16_actions", "cand", VERDICT_ROWS + """, ex AS (SELECT seq, (iou % 100) / 1000.0 AS max_error FROM cand WHERE width_ratio > 900)
+SELECT 'n' || ve.seq AS name, CASE WHEN max_error IS NULL THEN 'create' WHEN max_error <= 0.05 THEN 'replace' ELSE 'skip_existing' END AS action FROM ve LEFT JOIN ex ON ex.seq = ve.seq WHERE convert""")
+def _(s, d):
+    name = F.concat(F.lit("n"), F.col("seq").cast("string"))
+    there = V.cand_part(s, d).where("width_ratio > 900").select(name.alias("name"), (F.col("iou") % 100 / 1000).alias("max_error"))
+    return KS.actions(_verdicts(s, d).withColumn("name", name), there)
