@@ -33,7 +33,8 @@ BUCKET_BYTES = 64 << 20
 SEGMENT_DOCS = 2048
 SEGMENT_BYTES = 1 << 20
 #: Words that a worker keeps with their ids; beyond it starts afresh.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+CHARS_AT_ONCE = 2_000_000
 
 #: The word tokenizer's regular expression, after lower-casing.
 WORD = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
@@ -77,31 +78,43 @@ class WordEncoder:
         spaces = "".join(c for c in chars if regex.match(r"[\t-\r \x85\xa0    ]", c))
         self.plain = re.compile("[" + re.escape("".join(chars)) + "]*")
         self.words = re.compile(WORD.format(L=re.escape(letters), N=re.escape(numbers), S=re.escape(spaces)))
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
+
+    def _plain(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.plain.fullmatch(text) is not None
+        return True
+
+    def _by_word(self, texts: list[str]) -> list[np.ndarray]:
+        words = [self.words.findall(t.lower()) for t in texts]
+        cache = self.cache
+        new = list(set().union(*words).difference(cache))
+        if new:
+            if len(cache) + len(new) > CACHED_WORDS:
+                cache.clear()
+                new = list(set().union(*words))
+            for k in range(0, len(new), 4096):
+                some = new[k : k + 4096]
+                for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    cache[w] = np.array(e.ids, "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(cache.__getitem__, ws)), "<u4") for ws in words]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        rest = []
+        some: list[int] = []
+        chars = 0
         for i, t in enumerate(texts):
-            if not (self.by_word and self.plain.fullmatch(t)) or any(s in t for s in self.special):
-                rest.append(i)
-                continue
-            words = self.words.findall(t.lower())
-            cache = self.cache
-            new = [w for w in set(words) if w not in cache]
-            if new:
-                if len(cache) + len(new) > CACHED_WORDS:
-                    cache.clear()
-                    new = list(set(words))
-                for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-                    cache[w] = e.ids
-            ids: list[int] = []
-            for w in words:
-                ids += cache[w]
-            out[i] = np.array(ids, "<u4")
-        if rest:
-            for i, e in zip(rest, self.tok.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, "<u4")
+            if self.by_word and self._plain(t) and not any(s in t for s in self.special):
+                some.append(i)
+                chars += len(t)
+            else:
+                out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4")
+            if chars > CHARS_AT_ONCE or i + 1 == len(texts):
+                for j, ids in zip(some, self._by_word([texts[j] for j in some]), strict=True):
+                    out[j] = ids
+                some, chars = [], 0
         return out
 
 
