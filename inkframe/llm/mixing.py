@@ -21,10 +21,10 @@ from inkframe.llm.common import materialise
 
 #: Labelled documents that the classifier is counted from at most.
 SAMPLE = 20_000
-BUCKETS = 8192
+BUCKETS = 4096
 LEAST_DOCS = 3  # a bucket that fewer labelled documents hold has no weight
 GRID = 200  # posteriors are multiples of 1 / GRID
-ROUNDS = 40
+ROUNDS = 25
 
 #: The domains of the labelled table, told by its two labels.
 DOMAINS = {"prose": "quality = 1 and toxic = 0", "junk": "quality = 0", "toxic": "quality = 1 and toxic = 1"}
@@ -32,29 +32,28 @@ DOMAINS = {"prose": "quality = 1 and toxic = 0", "junk": "quality = 0", "toxic":
 TARGETS = {"prose": 0.90, "junk": 0.08, "toxic": 0.02}
 
 
-def n_tokens(text: Column) -> Column:
-    """Words between white space."""
-    body = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(body == "", 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1).cast("long")
+def shapes(text: Column) -> Column:
+    """The shapes of the words between white space, in order: runs of capitals
+    and digits, and of letters, are folded to a sign each."""
+    folded = F.regexp_replace(F.regexp_replace(text, r"[\p{Lu}\p{N}]{2,}", "1"), r"\p{L}+", "a")
+    return F.array_remove(F.split(folded, r"\s+"), "")
 
 
-def buckets(text: Column) -> Column:
+def buckets(text: Column, shape: Column) -> Column:
     """Distinct hashed features: words, their first five characters, and the
-    shapes of words (runs of letters, of capitals and of digits folded)."""
+    shapes of words."""
     words = F.array_distinct(F.split(F.lower(text), r"[\s\p{Punct}]+"))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{N}+", "0"), r"\p{Lu}{2,}", "1"), r"\p{L}+", "a")
-    shapes = F.array_distinct(F.split(shape, r"\s+"))
 
-    def hashed(kind):
-        return lambda w: (F.pmod(F.xxhash64(F.lit(kind), w), F.lit(BUCKETS)) + 1).cast("int")
+    def hashed(kind, short=False):
+        return lambda w: (F.pmod(F.xxhash64(F.lit(kind), F.substring(w, 1, 5) if short else w), F.lit(BUCKETS)) + 1).cast("int")
 
-    stems = F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 5)))
-    return F.array_distinct(F.concat(F.transform(words, hashed(0)), F.transform(stems, hashed(1)), F.transform(shapes, hashed(2))))
+    marks = F.transform(F.array_distinct(shape), hashed(2))
+    return F.array_distinct(F.concat(F.transform(words, hashed(0)), F.transform(words, hashed(1, True)), marks))
 
 
-def _literal(values) -> Column:
+def _literal(values, digits: int = 9) -> Column:
     """An array of doubles that the optimizer folds into one constant."""
-    return F.split(F.lit(",".join(f"{float(v):.9g}" for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{float(v):.{digits}g}" for v in values)), ",").cast("array<double>")
 
 
 @dataclass
@@ -73,10 +72,12 @@ class Mixture:
         """Log-odds of each domain, up to a constant."""
 
         def total(prior, weights):
-            table = _literal(weights)
+            table = _literal(weights, 4)
             return F.aggregate(feats, F.lit(float(prior)), lambda acc, b: acc + F.element_at(table, b))
 
-        return F.array(*map(total, self.log_prior, self.weights))
+        # Only differences count: the last domain's score is set to 0.
+        first = map(total, self.log_prior[:-1] - self.log_prior[-1], self.weights[:-1] - self.weights[-1])
+        return F.array(*first, F.lit(0.0))
 
     def posteriors(self, scores: Column) -> Column:
         """On a grid of 1 / GRID; the likeliest domain gets what rounding leaves."""
@@ -124,7 +125,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str],
     drawn = F.broadcast(one.orderBy(F.xxhash64("__id"), "__id").limit(sample))  # bounded by ``sample``
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(5)) == 0
-    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__t")).join(drawn, "__id").select("__d", held.alias("held"), buckets(F.col("__t")).alias("b"))
+    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__t")).join(drawn, "__id").withColumn("__w", shapes(F.col("__t")))
+    rows = rows.select("__d", held.alias("held"), buckets(F.col("__t"), F.col("__w")).alias("b"))
     rows = materialise(rows, "mixing-labelled")
     counted = rows.where("not held")
     sizes = {r["__d"]: r["n"] for r in counted.groupBy("__d").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -186,7 +188,7 @@ def fit_rates(members: DataFrame, model: Mixture, weights: dict[str, float], tot
         model.steps.append([*((ahead - model.targets) / d / curve), beta])
         sums = cells.select("n", "p", model.rate(F.col("p")).alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * p[i]).alias(f"s{i}") for i in range(k)]).first()
         now = np.array(list(sums), float)
-        settled = np.abs(now - reached).max() <= 1e-6 * total  # held at its bounds: no nearer
+        settled = np.abs(now - reached).max() <= 1e-5 * total  # held at its bounds: no nearer
         reached, ahead = now, now + beta * (now - reached)
         if settled:
             break
@@ -196,8 +198,9 @@ def fit_rates(members: DataFrame, model: Mixture, weights: dict[str, float], tot
 
 def members_of(docs: DataFrame, model: Mixture, text: Column) -> DataFrame:
     """docs with ``__n`` and ``__p``, the tokens and posteriors of the text."""
-    out = docs.withColumn("__b", buckets(text)).withColumn("__s", model.scores(F.col("__b"))).drop("__b")
-    return out.withColumn("__p", model.posteriors(F.col("__s"))).withColumn("__n", n_tokens(text)).drop("__s")
+    out = docs.withColumn("__w", shapes(text)).withColumn("__b", buckets(text, F.col("__w"))).withColumn("__n", F.size("__w").cast("long")).drop("__w")
+    out = out.withColumn("__s", model.scores(F.col("__b"))).drop("__b")
+    return out.withColumn("__p", model.posteriors(F.col("__s"))).drop("__s")
 
 
 def mix_sources(
@@ -239,9 +242,11 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domains
     columns = docs.columns
     model = fit_classifier(docs, labels, domains or DOMAINS, id_col=id_col, text_col=text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    members = members_of(docs.select(F.col(text_col)), model, text)
-    fit_rates(members.select(F.col("__n").alias("n"), F.col("__p").alias("p")), model, targets, max_rate=max_rate, **options)
-    rows = members_of(docs, model, text).withColumn("__copies", copies_of(model.rate(F.col("__p")), F.xxhash64(id_col, text_col)))
+    # Written once: the rounds read tokens and posteriors alone, and the last
+    # pass need not score the texts again.
+    rows = materialise(members_of(docs, model, text), "mixing-members")
+    fit_rates(rows.select(F.col("__n").alias("n"), F.col("__p").alias("p")), model, targets, max_rate=max_rate, **options)
+    rows = rows.withColumn("__copies", copies_of(model.rate(F.col("__p")), F.xxhash64(id_col, text_col)))
     rows = rows.where("__copies > 0")
     if max_rate is None or math.ceil(max_rate) > 1:
         rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
