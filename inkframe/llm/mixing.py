@@ -161,7 +161,8 @@ def fit_rates(members: DataFrame, model: Mixture, weights: dict[str, float], tot
     the same rate, so they are first summed by posterior; the rounds run over
     these sums, as many as points on the grid at most. ``total`` is the tokens
     of the mixture: those of the documents by default, or, with ``max_rate``, as
-    many as the scarcest wanted domain allows at that rate, times ``lean``.
+    many as the domain with the largest share allows at that rate, times
+    ``lean``: that domain is then kept whole, and scarcer ones as far as they go.
     """
     k = len(model.domains)
     cells = materialise(members.groupBy("p").agg(F.sum("n").cast("double").alias("n")), "mixing-cells")
@@ -175,8 +176,8 @@ def fit_rates(members: DataFrame, model: Mixture, weights: dict[str, float], tot
     if total is None and max_rate is None:
         total = natural.sum()
     elif total is None:
-        wanted = share > 0
-        total = lean * float((natural[wanted] * max_rate / share[wanted]).min())
+        most = int(np.argmax(share))
+        total = lean * float(natural[most]) * max_rate / share[most]
     model.targets = share * total
     d = np.maximum(np.diag(gram), 1e-9 * max(1.0, natural.sum()))
     curve = float(np.linalg.eigvalsh(gram / np.sqrt(np.outer(d, d))).max()) or 1.0
