@@ -18,8 +18,10 @@ from inkframe.llm.token_store import token_output
 from inkframe.llm.toxicity import fit_toxicity, score_column
 
 #: Shares of the mixture's tokens. Nothing is repeated: prose is kept whole and
-#: the other domains are thinned to their share of it.
-TARGETS = {"prose": 0.95, "junk": 0.05, "toxic": 0.0}
+#: junk is thinned to its share of it.
+TARGETS = {"prose": 0.99, "junk": 0.01}
+#: The domains that are left when toxic documents have gone.
+DOMAINS = {"prose": "quality = 1", "junk": "quality = 0"}
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: every document at most once, prose always."""
-    return mixed(docs, _labels(spark, sf_dir), TARGETS, max_rate=1.0, lean=1.02)
+    return mixed(docs, _labels(spark, sf_dir), TARGETS, DOMAINS, max_rate=1.0, lean=1.02)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
