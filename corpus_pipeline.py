@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from inkframe.llm.common import materialise
 from inkframe.llm.decontaminate import contamination
+from inkframe.llm.minhash import minhash_dedup
 from inkframe.llm.mixing import mixed
-from inkframe.llm.simhash import simhash_dedup
 from inkframe.llm.token_store import token_output
 from inkframe.llm.toxicity import fit_toxicity, score_column
 
@@ -37,12 +37,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Five-word shingles; in one of three hash families at least the fingerprints
-    differ in at most 5 of 64 bits, which estimates a similarity well above 0.8.
+    Copies are near when the Jaccard similarity of their five-word shingles is
+    0.8 or more, which is verified for every link.
     Documents with a null id are judged by no link and stay; of rows that
     repeat an id one stays.
     """
-    groups = simhash_dedup(docs, shingle=5, families=3, distance=5, segments=3)
+    groups = minhash_dedup(docs, shingle=5, least=0.8)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = materialise(kept, "pipeline-kept")
     known = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")

@@ -1,0 +1,150 @@
+"""Near copies by word shingles: MinHash bands propose pairs, exact Jaccard similarity decides."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkframe.llm.common import materialise, small_batches
+from inkframe.llm.hamming import components
+from inkframe.llm.simhash import shingle_hashes
+
+#: A pair of similarity s agrees in one of the bands at least with probability
+#: 1 - (1 - s ** ROWS) ** BANDS: 0.996 at 0.8, 0.9999 at 0.85.
+BANDS, ROWS = 24, 7
+CHUNK = 4096  # shingles that are permuted at once
+
+_RNG = np.random.default_rng(20)
+_MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two shingle sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band: the band's number and the least values of its permutations."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(hashes), CHUNK):
+            z = hashes[k : k + CHUNK, None] * _MUL + _ADD
+            least = np.minimum(least, (z >> np.uint64(16)).min(axis=0))
+    rows = least.astype("<u8").reshape(BANDS, ROWS)
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(rows)]
+
+
+def shingle_prints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """id, ``node`` (a hash of the text's shingle set) and ``keys`` (of its bands)."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            nodes, keys = [], []
+            for text in batch.column(1):
+                h = shingle_set(text.as_py(), shingle)
+                nodes.append(_signed(xxhash.xxh64_intdigest(h.tobytes(), 1)))
+                keys.append(band_keys(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, "id long, node long, keys array<bigint>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a similarity of ``least`` or more."""
+
+    def run(batches):
+        kept: dict[int, np.ndarray] = {}
+
+        def of(node, text):
+            if node not in kept:
+                if len(kept) >= 64:
+                    kept.pop(next(iter(kept)))
+                kept[node] = shingle_set(text, shingle)
+            return kept[node]
+
+        for batch in batches:
+            a, b, ta, tb = batch.columns
+            same = [jaccard(of(x, p.as_py()), of(y, q.as_py())) >= least for x, y, p, q in zip(a.to_pylist(), b.to_pylist(), ta, tb, strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(same, pa.bool_())], ["a", "b", "same"])
+
+    def side(name):
+        return texts.select(F.col("node").alias(name), F.col("t").alias(f"t{name}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(run, "a long, b long, same boolean").where("same").select("a", "b")
+
+
+def minhash_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id and component_id, the smallest id reachable
+    over links; texts link when the Jaccard similarity of their sets of word
+    shingles is ``least`` or more. Every link is verified on the whole texts;
+    what bands may miss is a pair close to ``least`` (see ``BANDS``).
+
+    Texts of equal sets are one node. In each bucket (nodes that agree in a
+    band) all are first compared with the bucket's least node, which ties a
+    large group of near copies with as many pairs as it has members. Then, in
+    buckets that still hold several components, every node outside the most
+    frequent one is compared with all nodes of other components: a pair within
+    one component adds nothing.
+
+    Null texts are empty and link to each other. Rows with a null id link to
+    nothing and have a null component. Rows that repeat an id count as one
+    document, which links what any of its texts links.
+    """
+    prints = materialise(shingle_prints(docs, shingle, id_col, text_col), "minhash-prints")
+    known = prints.where(F.col("id").isNotNull())
+    nodes = materialise(known.groupBy("node").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "minhash-nodes")
+    entries = nodes.select("node", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = materialise(entries.join(shared, "key").select("key", "a", "n", F.col("node").alias("b")), "minhash-buckets")
+    first = materialise(buckets.where("a <> b").select("a", "b").distinct(), "minhash-pairs")
+
+    # The texts of the nodes that share a bucket, each once; the node is computed again, as an id may repeat.
+    wanted = buckets.select(F.col("b").alias("node")).distinct().join(nodes, "node").select("node", F.col("rep").alias("id"))
+    held = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(wanted.select("id").distinct(), "id", "left_semi")
+
+    def again(batches):
+        for batch in batches:
+            found = [_signed(xxhash.xxh64_intdigest(shingle_set(t.as_py(), shingle).tobytes(), 1)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0)], ["node", "t"])
+
+    texts = held.select("t").mapInArrow(again, "node long, t string").join(wanted.select("node"), "node", "left_semi")
+    texts = materialise(texts.groupBy("node").agg(F.min("t").alias("t")), "minhash-texts")
+
+    links = materialise(verified(first, texts, shingle, least), "minhash-links")
+    tied = components(links)
+    group = buckets.where("n > 2").select("key", "b").join(tied, F.col("b") == F.col("v"), "left").select("key", F.col("b").alias("x"), F.coalesce("root", "b").alias("c"))
+    sizes = group.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    major = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("top.c").alias("top"))
+    group = materialise(group.join(major, "key"), "minhash-open")
+    others = group.where("c <> top").select("key", F.col("x").alias("y"), F.col("c").alias("cy"))
+    more = others.join(group, "key").where("c <> cy and (c = top or x < y)")
+    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    links = links.union(materialise(verified(materialise(more, "minhash-more"), texts, shingle, least), "minhash-links2"))
+
+    reps = nodes.select("node", "rep")
+    edges = links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
+    several = known.groupBy("id").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("id")
+    own = known.join(several, "id").join(reps, "node").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    roots = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(own))
+    nodes = materialise(reps.join(roots, reps.rep == roots.v, "left").select("node", F.coalesce("root", "rep").alias("component_id")), "minhash-roots")
+    out = prints.select("id", "node").join(nodes, "node", "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))

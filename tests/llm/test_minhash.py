@@ -1,0 +1,84 @@
+"""The near-dedup stage against brute-force Jaccard similarity."""
+
+import random
+
+import corpus_pipeline as C
+from inkframe.llm.minhash import minhash_dedup
+
+from . import reference as R
+from .test_text_ops import docs_of
+
+
+def shingles(text, n=5):
+    w = R.words(text, R.TOKEN)
+    n = min(n, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def components(sets, least=0.8):
+    root = {i: i for i in sets}
+    at = {}
+    for i, s in sets.items():
+        for x in s or {()}:
+            at.setdefault(x, []).append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in {(a, b) for ids in at.values() for a in ids for b in ids if a < b}:
+        if find(a) != find(b) and similarity(sets[a], sets[b]) >= least:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for k in rng.sample(range(len(words)), edits):
+        words[k] = f"new{rng.random()}"
+    return " ".join(words)
+
+
+def pairs_of(rng, edits, count=40):
+    """Pairs of texts of 300 words, one of them with some words replaced."""
+    for _ in range(count):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        yield " ".join(words), edited(rng, words, edits)
+
+
+def test_pairs_just_over_the_threshold_are_linked_and_others_not(spark):
+    rng = random.Random(4)
+    pairs = [p for edits in (3, 5, 6, 7, 9, 11) for p in pairs_of(rng, edits)]
+    docs = docs_of(spark, [t for p in pairs for t in p])
+    got = {r.doc_id: r.component_id for r in minhash_dedup(docs).collect()}
+    near, lost = 0, 0
+    for k, (a, b) in enumerate(pairs):
+        if similarity(shingles(a), shingles(b)) >= 0.8:
+            near += 1
+            lost += got[2 * k] != got[2 * k + 1]
+        else:
+            assert got[2 * k] != got[2 * k + 1]
+    assert 100 < near < 200 and lost <= 0.02 * near
+
+
+def test_stage_keeps_what_brute_force_keeps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    group = [edited(rng, words, k % 5) for k in range(150)]
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").union(docs_of(spark, group, range(10**6, 10**6 + 150)))
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    want = components(sets)
+    assert {r.doc_id for r in C.near_dedup(spark, docs, "").collect()} == {i for i, root in want.items() if i == root}
+
+
+def test_repeated_ids_tie_their_texts(spark):
+    docs = docs_of(spark, ["a b c", "d e f", "a b c", "d e f", None, "", "z"], [1, 2, 3, 3, 5, 6, None])
+    got = sorted((r.doc_id or -1, r.component_id) for r in minhash_dedup(docs).collect())
+    assert got == [(-1, None), (1, 1), (2, 1), (3, 1), (3, 1), (5, 5), (6, 5)]
