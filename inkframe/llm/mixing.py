@@ -1,17 +1,17 @@
 """Mixing sources to target weights by soft domain membership.
 
-A naive Bayes classifier of hashed features, counted from a labelled sample,
-gives each document posteriors of the domains. A projected gradient then fits a
-nonnegative rate to every document such that the domains' expected token totals
-match the targets. DataFrame operations only; a document's rate is a function
-of its posteriors and of a short list of multipliers, so no rates are stored
-between rounds and none of the document rows moves.
+A logistic regression on hashed features, fitted to a labelled sample, gives
+each document posteriors of the domains. A nonnegative rate is then fitted to
+every document such that the domains' expected token totals match the targets.
+DataFrame operations only on the documents; a document's rate is a function of
+its posteriors and of one multiplier a domain, so none of their rows moves.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+import warnings
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from inkframe.llm.common import materialise
 
-#: Labelled documents that the classifier is counted from at most.
+#: Labelled documents that the classifier is fitted to at most.
 SAMPLE = 20_000
 BUCKETS = 4096
 LEAST_DOCS = 3  # a bucket that fewer labelled documents hold has no weight
 GRID = 200  # posteriors are multiples of 1 / GRID
-ROUNDS = 25
+ROUNDS = 200  # Newton steps at each weight of the penalty at most
+MISSED = 0.01  # a total off its target by more than this share of all is reported
 
 #: The domains of the labelled table, told by its two labels.
 DOMAINS = {"prose": "quality = 1 and toxic = 0", "junk": "quality = 0", "toxic": "quality = 1 and toxic = 1"}
@@ -60,9 +61,9 @@ def _literal(values, digits: int = 9) -> Column:
 class Mixture:
     domains: list[str]
     log_prior: np.ndarray
-    weights: np.ndarray  # (domains, BUCKETS): log-likelihoods less their mean
+    weights: np.ndarray  # (domains, BUCKETS)
     temperature: float = 1.0
-    steps: list[list[float]] = field(default_factory=list)  # of each round: what it takes off a rate per unit of posterior, and its momentum
+    multipliers: np.ndarray | None = None  # what a unit of each posterior takes off a rate
     max_rate: float | None = None
     targets: np.ndarray | None = None
     natural: np.ndarray | None = None
@@ -90,20 +91,13 @@ class Mixture:
         return F.transform(p, lambda x, i: (x + F.when(i + 1 == top, left).otherwise(0)).cast("double") / GRID)
 
     def rate(self, posterior: Column) -> Column:
-        """The accelerated projected gradient's rate: from 1, each round's step
-        is taken from the extrapolated point and the result is held at 0 or
-        more, and at ``max_rate`` or less."""
-        if not self.steps:
+        """1 less the posteriors' multipliers, held at 0 or more and at
+        ``max_rate`` or less."""
+        if self.multipliers is None:
             return F.lit(1.0)
-
-        def move(state, g):
-            along = F.aggregate(F.zip_with(posterior, g, lambda p, x: p * F.coalesce(x, F.lit(0.0))), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-            r = F.greatest(F.lit(0.0), state["y"] - along)
-            r = r if self.max_rate is None else F.least(F.lit(float(self.max_rate)), r)
-            return F.struct(r.alias("r"), (r + F.element_at(g, -1) * (r - state["r"])).alias("y"))
-
-        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-        return F.aggregate(F.array(*map(_literal, self.steps)), start, move, lambda s: s["r"])
+        along = F.aggregate(F.zip_with(posterior, _literal(self.multipliers, 17), lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+        r = F.greatest(F.lit(0.0), F.lit(1.0) - along)
+        return r if self.max_rate is None else F.least(F.lit(float(self.max_rate)), r)
 
 
 def copies_of(rate: Column, key: Column, seed: int = 17) -> Column:
@@ -113,90 +107,185 @@ def copies_of(rate: Column, key: Column, seed: int = 17) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Mixture:
-    """Counts a labelled sample of at most ``sample`` documents (those with the
-    smallest id hashes). Labels that are null or disagree are left out. The
-    posteriors' temperature is the one with the least logistic loss on every
-    fifth document, which is not counted."""
-    names = list(domains)
+def domain_labels(labels: DataFrame, domains: dict[str, str], id_col: str) -> DataFrame:
+    """``__id`` and ``__d``, the number of its domain; labels that are null or
+    disagree within one id are left out."""
     which = F.coalesce(*[F.when(F.expr(cond), i) for i, cond in enumerate(domains.values())])
     one = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), which.alias("__d")).where("__d is not null")
-    one = one.groupBy("__id").agg(F.min("__d").alias("__d"), F.max("__d").alias("__e")).where("__d = __e").select("__id", "__d")
+    return one.groupBy("__id").agg(F.min("__d").alias("__d"), F.max("__d").alias("__e")).where("__d = __e").select("__id", "__d")
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Mixture:
+    """Fits a logistic regression to a labelled sample of at most ``sample``
+    documents (those with the smallest id hashes). Labels that are null or
+    disagree are left out. The posteriors' temperature is the one with the least
+    logistic loss on every fifth document, which is not fitted on."""
+    names, one = list(domains), domain_labels(labels, domains, id_col)
     drawn = F.broadcast(one.orderBy(F.xxhash64("__id"), "__id").limit(sample))  # bounded by ``sample``
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(5)) == 0
     rows = docs.select(F.col(id_col).alias("__id"), text.alias("__t")).join(drawn, "__id").withColumn("__w", shapes(F.col("__t")))
-    rows = rows.select("__d", held.alias("held"), buckets(F.col("__t"), F.col("__w")).alias("b"))
-    rows = materialise(rows, "mixing-labelled")
-    counted = rows.where("not held")
-    sizes = {r["__d"]: r["n"] for r in counted.groupBy("__d").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # BUCKETS rows for each domain at most.
-    seen = counted.select("__d", F.explode("b").alias("b")).groupBy("__d", "b").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = np.zeros((len(names), BUCKETS))
-    for r in seen:
-        counts[r["__d"], r["b"] - 1] = r["n"]
-    n = np.array([sizes.get(i, 0) for i in range(len(names))], float)
-    share = counts.sum(axis=0) / max(1.0, n.sum())
-    logs = np.log((counts + 2 * share + 1e-3) / (n[:, None] + 2 + 2e-3))  # smoothed towards the share of all
-    weights = np.where(counts.sum(axis=0) >= LEAST_DOCS, logs - logs.mean(axis=0), 0.0)
-    model = Mixture(names, np.log((n + 1) / (n.sum() + len(names))), weights)
-    test = materialise(rows.where("held").select("__d", model.scores(F.col("b")).alias("s")), "mixing-held")
-    grid = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0]
-
-    def loss(t):
-        z = F.transform("s", lambda s: (s - F.array_max("s")) / t)
-        return F.avg(F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x))) - F.element_at(z, F.col("__d") + 1))
-
-    losses = test.agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(grid)]).first()
-    if losses[0] is not None:
-        model.temperature = grid[int(np.argmin(list(losses)))]
+    rows = rows.select("__d", held.alias("held"), F.xxhash64("__id", "__t").alias("k"), buckets(F.col("__t"), F.col("__w")).alias("b"))
+    got = rows.toArrow()  # ``sample`` documents' features, in Arrow
+    got = got.take(np.lexsort((got["k"].to_numpy(),)))
+    feats = got["b"].combine_chunks()
+    sizes, at = feats.value_lengths().to_numpy(zero_copy_only=False), feats.flatten().to_numpy() - 1
+    d, held = got["__d"].to_numpy(), got["held"].to_numpy(zero_copy_only=False).astype(bool)
+    each = np.repeat(held, sizes)
+    n = np.bincount(d[~held], minlength=len(names)).astype(float)
+    model = Mixture(names, np.log((n + 1) / (n.sum() + len(names))), np.zeros((len(names), BUCKETS)))
+    if n.sum():
+        fit_weights(model, at[~each], sizes[~held], d[~held])
+    if held.any():
+        z = scores_of(model, at[each], sizes[held])
+        model.temperature = best_temperature(z, d[held])
     return model
 
 
-def fit_rates(members: DataFrame, model: Mixture, weights: dict[str, float], total: float | None = None, max_rate: float | None = None, lean: float = 1.0, rounds: int = ROUNDS, tolerance: float = 1e-4) -> Mixture:
+def sums_by(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of rows; a run may be empty."""
+    total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
+def scores_of(model: Mixture, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return sums_by(model.weights.T[at], sizes) + model.log_prior
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def fit_weights(model: Mixture, at: np.ndarray, sizes: np.ndarray, d: np.ndarray, epochs: int = 30, batch: int = 128, step: float = 0.01, decay: float = 3e-3) -> None:
+    """Adam on the logistic loss; ``at`` holds the documents' features one
+    after another, ``sizes`` how many each has."""
+    k = len(model.domains)
+    rng = np.random.default_rng(11)
+    active = np.bincount(at, minlength=BUCKETS) >= LEAST_DOCS
+    starts = np.cumsum(sizes) - sizes
+    w, first, second = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k))
+    t, most = 0, epochs * -(-len(d) // batch)
+    for _ in range(epochs):
+        order = rng.permutation(len(d))
+        for i in range(0, len(d), batch):
+            some = order[i : i + batch]
+            x = np.concatenate([at[starts[j] : starts[j] + sizes[j]] for j in some])
+            p = np.exp(log_softmax(sums_by(w[x], sizes[some]) + model.log_prior))
+            p[np.arange(len(some)), d[some]] -= 1
+            each = np.repeat(p / len(some), sizes[some], axis=0)
+            g = np.stack([np.bincount(x, each[:, c], BUCKETS) for c in range(k)], axis=1) * active[:, None] + decay * w
+            t += 1
+            first += 0.1 * (g - first)
+            second += 0.001 * (g * g - second)
+            w -= step * (1 - t / (most + 1)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    model.weights = w.T.copy()
+
+
+def best_temperature(z: np.ndarray, d: np.ndarray) -> float:
+    """The power of the square root of 2 with the least loss, sought outwards
+    until the loss rises on both sides (or no more than rounding is left)."""
+
+    def loss(e):
+        return -log_softmax(z / 2 ** (e / 2))[np.arange(len(d)), d].mean()
+
+    best = 0
+    for way in (1, -1):
+        while abs(best) < 40 and loss(best + way) < loss(best):
+            best += way
+    return 2 ** (best / 2)
+
+
+def solve(p: np.ndarray, n: np.ndarray, targets: np.ndarray, d: np.ndarray, top: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multipliers and totals of the rates in [0, top] that minimise the
+    squares of (totals - targets), divided by ``d``, and of rates so close to
+    1 among them. The dual of the problem with a small penalty on (rate - 1)
+    is convex, with one variable a domain; Newton's method runs until its
+    gradient is zero, for smaller and smaller penalties."""
+    whole = max(1.0, n.sum())
+    n, t, d = n / whole, targets / whole, d / whole
+    x = np.zeros(len(t))
+
+    def dual(x, eps):
+        u = 1 - p @ x
+        c = np.clip(u, 0, top)
+        value = 0.5 * eps * (d * x * x).sum() + t @ x + (n * (u * c - 0.5 * c * c)).sum()
+        return value, eps * d * x + t - (n * c) @ p, (u > 0) & (u < top)
+
+    for eps in 10.0 ** -np.arange(0, 8):
+        for _ in range(rounds):
+            value, slope, free = dual(x, eps)
+            if np.abs(slope).max() <= 1e-10:
+                break
+            q = p[free] * n[free, None] ** 0.5
+            move = np.linalg.solve(q.T @ q + eps * np.diag(d), slope)
+            size = 1.0
+            while size > 1e-12 and dual(x - size * move, eps)[0] > value - 1e-4 * size * (slope @ move):
+                size /= 2
+            if size <= 1e-12:  # no lower value in floating point
+                break
+            x = x - size * move
+        if np.abs(dual(x, eps)[1]).max() > 1e-6:
+            raise RuntimeError(f"rates did not settle in {rounds} rounds")
+    return x, (n * np.clip(1 - p @ x, 0, top)) @ p * whole
+
+
+def fit_rates(members: DataFrame, model: Mixture, weights: dict[str, float], total: float | None = None, max_rate: float | None = None, lean: float = 1.0, reach: bool = False, rounds: int = ROUNDS) -> Mixture:
     """Least squares: rates r >= 0 that minimise the weighted squares of
-    sum(r n p) - target over the domains, by projected gradient from r = 1.
+    sum(r n p) - target over the domains, and of these the closest to 1.
 
     ``members`` has n and p (posteriors). Documents of the same posteriors have
-    the same rate, so they are first summed by posterior; the rounds run over
-    these sums, as many as points on the grid at most. ``total`` is the tokens
-    of the mixture: those of the documents by default, or, with ``max_rate``, as
-    many as the domain with the largest share allows at that rate, times
-    ``lean``: that domain is then kept whole, and scarcer ones as far as they go.
+    the same rate, so they are first summed by posterior: as many sums as
+    points on the grid at most, on which the driver solves the problem to its
+    optimum. ``total`` is the tokens of the mixture: those of the documents by
+    default, or, with ``max_rate``, as many as the domain with the largest share
+    allows at that rate, times ``lean``. With ``reach`` it is lowered to the
+    largest total at which all targets are met. Targets that the rates miss by
+    over 1 % of the total give a warning.
     """
     k = len(model.domains)
-    cells = materialise(members.groupBy("p").agg(F.sum("n").cast("double").alias("n")), "mixing-cells")
-    p = [F.element_at("p", i + 1) for i in range(k)]
-    gram = cells.agg(*[F.coalesce(F.sum(F.col("n") * p[i] * p[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
-    gram = np.array(list(gram), float).reshape(k, k)
-    natural = gram.sum(axis=1)
+    cells = members.groupBy("p").agg(F.sum("n").cast("double").alias("n")).where("n > 0").toArrow()
+    n = cells["n"].to_numpy()
+    p = cells["p"].combine_chunks().flatten().to_numpy().reshape(-1, k)
+    order = np.lexsort(p.T)
+    n, p = n[order], p[order]
+    natural = n @ p
     share = np.array([weights[d] for d in model.domains], float)
     share /= share.sum()
-    model.max_rate, model.natural, model.steps = max_rate, natural, []
+    model.max_rate, model.natural, model.multipliers = max_rate, natural, None
     if total is None and max_rate is None:
-        total = natural.sum()
+        total = float(natural.sum())
     elif total is None:
         most = int(np.argmax(share))
         total = lean * float(natural[most]) * max_rate / share[most]
-    model.targets = share * total
-    d = np.maximum(np.diag(gram), 1e-9 * max(1.0, natural.sum()))
-    curve = float(np.linalg.eigvalsh(gram / np.sqrt(np.outer(d, d))).max()) or 1.0
-    reached = ahead = natural  # totals at the rates, and at the extrapolated point
-    for t in range(rounds):
-        if natural.sum() == 0 or np.abs(reached - model.targets).max() <= tolerance * total:
-            break
-        beta = t / (t + 3)
-        model.steps.append([*((ahead - model.targets) / d / curve), beta])
-        sums = cells.select("n", "p", model.rate(F.col("p")).alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * p[i]).alias(f"s{i}") for i in range(k)]).first()
-        now = np.array(list(sums), float)
-        settled = np.abs(now - reached).max() <= 1e-5 * total  # held at its bounds: no nearer
-        reached, ahead = now, now + beta * (now - reached)
-        if settled:
-            break
-    model.reached = reached
+    model.targets, model.reached = share * total, natural
+    if not natural.sum():
+        return model
+    d = np.maximum((n[:, None] * p * p).sum(axis=0), 1e-9 * max(1.0, natural.sum()))
+    top = np.inf if max_rate is None else float(max_rate)
+    model.multipliers, model.reached = solve(p, n, model.targets, d, top, rounds)
+    if reach and missed(model) > MISSED / 10:
+        low, high = 0.0, total
+        for _ in range(20):
+            total = (low + high) / 2
+            model.targets = share * total
+            model.multipliers, model.reached = solve(p, n, model.targets, d, top, rounds)
+            low, high = (low, total) if missed(model) > MISSED / 10 else (total, high)
+        if low:
+            model.targets = share * low
+            model.multipliers, model.reached = solve(p, n, model.targets, d, top, rounds)
+    if missed(model) > MISSED:
+        said = ", ".join(f"{x} {a:.0f} of {b:.0f}" for x, a, b in zip(model.domains, model.reached, model.targets, strict=True))
+        warnings.warn(f"no rates meet the targets; tokens reached: {said}", stacklevel=2)
     return model
 
 
+def missed(model: Mixture) -> float:
+    """The largest distance from a target, as a share of all targets."""
+    return float(np.abs(model.reached - model.targets).max() / max(model.targets.sum(), 1e-9))
+
+
 def members_of(docs: DataFrame, model: Mixture, text: Column) -> DataFrame:
     """docs with ``__n`` and ``__p``, the tokens and posteriors of the text."""
     out = docs.withColumn("__w", shapes(text)).withColumn("__b", buckets(text, F.col("__w"))).withColumn("__n", F.size("__w").cast("long")).drop("__w")
@@ -239,13 +328,19 @@ def mix_sources(
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domains: dict[str, str] | None = None, max_rate: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mixture itself: the rows of ``docs``, each as many times as drawn."""
+    """The mixture itself: the rows of ``docs``, each as many times as drawn.
+    Documents whose domain the labels tell belong to it alone; posteriors tell
+    the domains of the others."""
     columns = docs.columns
-    model = fit_classifier(docs, labels, domains or DOMAINS, id_col=id_col, text_col=text_col)
+    domains = domains or DOMAINS
+    model = fit_classifier(docs, labels, domains, id_col=id_col, text_col=text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # Written once: the rounds read tokens and posteriors alone, and the last
+    known = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda i: (i == F.col("__d")).cast("double"))
+    rows = members_of(docs, model, text).join(domain_labels(labels, domains, id_col), F.col(id_col) == F.col("__id"), "left")
+    rows = rows.withColumn("__p", F.when(F.col("__d").isNotNull(), known).otherwise(F.col("__p"))).drop("__id", "__d")
+    # Written once: the fit reads tokens and posteriors alone, and the last
     # pass need not score the texts again.
-    rows = materialise(members_of(docs, model, text), "mixing-members")
+    rows = materialise(rows, "mixing-members")
     fit_rates(rows.select(F.col("__n").alias("n"), F.col("__p").alias("p")), model, targets, max_rate=max_rate, **options)
     rows = rows.withColumn("__copies", copies_of(model.rate(F.col("__p")), F.xxhash64(id_col, text_col)))
     rows = rows.where("__copies > 0")

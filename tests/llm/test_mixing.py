@@ -58,3 +58,29 @@ def test_posteriors_and_odd_rows(spark):
     assert kept.columns == docs.columns and 20 < kept.count() <= len(texts)
     assert M.mix_sources(docs.limit(0), labels).count() == 0
     assert M.mix_sources(docs, labels.limit(0)).count() == len(texts)
+
+
+def test_targets_are_reached_where_little_is_left_of_a_domain(spark):
+    # Soft posteriors and a target far below the natural total: 25 rounds of a projected gradient ended at many times it.
+    rng = np.random.default_rng(3)
+    p = np.floor(rng.dirichlet([3, 1, 1], 300) * 200) / 200
+    p[:, 0] += 1 - p.sum(axis=1)
+    rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(rng.integers(1, 500, 300), p, strict=True)], "n long, p array<double>")
+    model = M.Mixture(["a", "b", "c"], np.zeros(3), np.zeros((3, M.BUCKETS)))
+    M.fit_rates(rows, model, {"a": 0.90, "b": 0.08, "c": 0.02})
+    r = rows.select("n", "p", model.rate(F.col("p")).alias("r")).collect()
+    got = sum(x.n * x.r * np.array(x.p) for x in r)
+    assert np.allclose(got, model.targets, rtol=1e-3) and np.allclose(got, model.reached, rtol=1e-6)
+    with pytest.warns(UserWarning, match="no rates meet the targets"):
+        M.fit_rates(rows, model, {"a": 0.99, "b": 0.005, "c": 0.005}, max_rate=1.0)
+    M.fit_rates(rows, model, {"a": 0.9, "b": 0.08, "c": 0.02}, max_rate=1.0, reach=True)
+    assert 0 < model.targets.sum() and np.abs(model.reached - model.targets).max() <= 0.002 * model.targets.sum()
+
+
+def test_temperature_lies_inside_its_range():
+    rng = np.random.default_rng(4)
+    d = rng.integers(0, 2, 4000)
+    z = np.stack([np.zeros(4000), rng.normal(0, 1, 4000)], axis=1)
+    z[:, 1] += np.where(d == 1, 0.5, -0.5)
+    assert M.best_temperature(z * 500, d) == pytest.approx(500, rel=0.5)
+    assert M.best_temperature(z / 50, d) == pytest.approx(1 / 50, rel=0.5)
