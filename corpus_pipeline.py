@@ -17,8 +17,8 @@ from inkframe.llm.mixing import mixed
 from inkframe.llm.token_store import token_output
 from inkframe.llm.toxicity import fit_toxicity, score_column
 
-#: Shares of the mixture's tokens. Nothing is repeated: prose is kept whole and
-#: junk is thinned to its share of it.
+#: Shares of the mixture's tokens. Nothing is repeated: as much is kept as these
+#: shares allow.
 TARGETS = {"prose": 0.99, "junk": 0.01}
 #: The domains that are left when toxic documents have gone.
 DOMAINS = {"prose": "quality = 1", "junk": "quality = 0"}
@@ -58,8 +58,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: every document at most once, prose always."""
-    return mixed(docs, _labels(spark, sf_dir), TARGETS, DOMAINS, max_rate=1.0, lean=1.02)
+    """The mixture: every document at most once, the largest that meets the targets."""
+    return mixed(docs, _labels(spark, sf_dir), TARGETS, DOMAINS, max_rate=1.0, reach=True)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

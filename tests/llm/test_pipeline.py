@@ -58,6 +58,29 @@ def test_mix_keeps_prose_and_thins_the_rest(spark, mixture):
     assert share["prose"] > 0.97 and share["junk"] < share["prose"]
 
 
+def test_mix_meets_its_targets_by_labels(spark, tmp_path):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    hidden = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+    labels.where(~hidden).write.parquet(f"{tmp_path}/labels.parquet")
+    tokens = docs.withColumn("n", F.size(F.split("text", r"\s+"))).groupBy("doc_id").agg(F.max("n").alias("n"))
+    kept = C.mix(spark, docs, str(tmp_path)).select("doc_id").distinct().withColumn("kept", F.lit(1))
+    rows = labels.select("doc_id", "quality", hidden.alias("hidden")).join(tokens, "doc_id").join(kept, "doc_id", "left").collect()
+
+    def share(part, all_of_it=False):
+        of = [(r.n, r.quality == 0) for r in part if all_of_it or r.kept]
+        return sum(n for n, junk in of if junk) / sum(n for n, _ in of)
+
+    seen, unseen = [r for r in rows if not r.hidden], [r for r in rows if r.hidden]
+    print("junk share of tokens: labels known", share(seen, True), share(seen), "hidden", share(unseen, True), share(unseen))
+    prose = [r for r in unseen if r.quality == 1]
+    print("hidden prose kept", sum(bool(r.kept) for r in prose) / len(prose))
+    assert share(seen) <= C.TARGETS["junk"] * 1.5
+    assert share(unseen) < share(unseen, True) * 0.7
+    assert sum(bool(r.kept) for r in prose) > 0.9 * len(prose)
+
+
 def test_token_ids_are_those_of_the_mixture(spark, mixture):
     import public_tokenizers
 
