@@ -56,6 +56,16 @@ def test_license_scan_matches_brute_force(spark, sf):
     assert some > 3
 
 
+def test_license_scan_sees_notices_over_several_lines(spark):
+    texts = [
+        "Copyright\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+        "Redistribution and use in source and binary forms, with\n# or without modification, are permitted provided\n# that the following conditions are met:",
+        "filler " * 70 + "you may not use this\nfile except in compliance with\r\nthe License. You may obtain a copy\nof the License at" + " more\n" * 90,
+    ]
+    got = {r.doc_id: r.labels for r in L.license_scan(docs_of(spark, texts)).collect()}
+    assert got == {0: "mit", 1: "bsd", 2: "apache-2"}
+
+
 def test_license_scan_empty_and_repeated(spark):
     assert L.license_scan(docs_of(spark, ["a"]).limit(0)).count() == 0
     rows = L.license_scan(docs_of(spark, ["mit license", "mit license", "x"], [1, 1, None])).collect()
