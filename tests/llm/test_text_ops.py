@@ -66,6 +66,27 @@ def test_license_scan_sees_notices_over_several_lines(spark):
     assert got == {0: "mit", 1: "bsd", 2: "apache-2"}
 
 
+def test_license_scan_tells_licenses_apart(spark):
+    notices = {
+        "Licensed under the Apache License, Version 2.0.": "apache-2",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2",
+        "This program is under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": "gpl-2",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Licensed under CC BY 4.0.": "cc-by",
+        "licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        "Creative Commons Attribution-ShareAlike 4.0 and Creative Commons Attribution 4.0": "cc-by,cc-by-sa",
+        "Released under the MIT License.": "mit",
+        "Licensed under the BSD license": "bsd",
+        "Subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2",
+        "licensed under the terms of a license": "",
+    }
+    got = {r.doc_id: r.labels for r in L.license_scan(docs_of(spark, list(notices))).collect()}
+    assert [got[i] for i in range(len(notices))] == list(notices.values())
+
+
 def test_license_scan_empty_and_repeated(spark):
     assert L.license_scan(docs_of(spark, ["a"]).limit(0)).count() == 0
     rows = L.license_scan(docs_of(spark, ["mit license", "mit license", "x"], [1, 1, None])).collect()
