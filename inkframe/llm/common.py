@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,24 +15,27 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _OWN_ROOT: list[str] = []
+_MADE: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of
-    our own only where that is unset (tests, local mode)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. One of our
+    own where that is unset and the master is local; on a cluster it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append(tempfile.mkdtemp(prefix="inkframe-"))
-        import shutil
-
         atexit.register(shutil.rmtree, _OWN_ROOT[0], ignore_errors=True)
     return "file://" + _OWN_ROOT[0]
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/inkframe/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/inkframe/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -41,16 +46,42 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._inkframe_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` once nothing reads them."""
+    for df in tables:
+        _delete(df.sparkSession, df._inkframe_path)
+
+
+def made() -> list[str]:
+    """The scratch tables that have not been deleted."""
+    return list(_MADE)
+
+
+def sweep(spark: SparkSession, keep: list[str]) -> None:
+    """Delete the scratch tables made since ``keep = made()``: what an operator's
+    lazy result reads, once that result has been written."""
+    for path in made():
+        if path not in keep:
+            _delete(spark, path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table made by ``materialise`` once nothing reads it."""
-    root = scratch_root(spark) + "/inkframe/"
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.split(":", 1)[-1].lstrip("/") in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def fresh(name: str, columns: list[str]) -> str:
+    """``name`` with as many signs in front as no column's name starts with it,
+    so it and names made by adding to it clash with none."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = "_" + name
+    return name
 
 
 def ascii_lower(col: Column) -> Column:
@@ -64,9 +95,13 @@ def row_key(*cols: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, since single texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def batches_of(batches: Iterator, rows: int = 512) -> Iterator:
+    """Record batches or arrays in slices of some rows, since single texts may
+    be long: Python objects are made of a slice at a time. Spark bounds a whole
+    batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``)."""
+    for batch in batches:
+        for k in range(0, len(batch) or 1, rows):
+            yield batch.slice(k, rows)
 
 
 def single_thread() -> None:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import small_batches
+from inkframe.llm.common import batches_of, fresh, materialise
 
-#: Most bytes of benchmark text that one pass's tables are built of (they are
-#: broadcast); a larger benchmark is searched in as many passes as it needs.
-PASS_BYTES = 32 << 20
+#: Most bytes of benchmark text that one pass's tables are built of: some 40
+#: bytes of table to a byte of text, in each Python worker.
+PASS_BYTES = 4 << 20
+#: Most bytes of benchmark text that are sent to the workers at once. A larger
+#: benchmark is searched in rounds, whose results are written in between.
+ROUND_BYTES = 64 << 20
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -23,51 +29,84 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Finds patterns of one length, each a tuple of words, in word lists.
+    """Finds the windows of ``size`` words of many items in texts.
 
-    Blocks of two words (one for patterns of one word) index the shift table;
-    a block that ends patterns has shift 0 and a bucket of them, keyed by their
-    first block, whose words are compared.
+    Words are numbers (a text's unknown words are -1) and a window is a place in
+    the items' words, so tables hold numbers only. Blocks of two words (one for
+    windows of one word) index the shift table. A block that ends windows has
+    no shift but a bucket of them, sorted by their first block; those that begin
+    as the text does are compared word by word.
     """
 
-    def __init__(self, patterns: dict[tuple, list]):
-        self.size = m = len(next(iter(patterns)))
-        self.block = b = min(2, m)
-        self.far = m - b + 1
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, dict[tuple, list]] = {}
-        for words, items in patterns.items():
-            for j in range(b, m + 1):
-                key = words[j - b : j]
-                self.shift[key] = min(self.shift.get(key, self.far), m - j)
-            self.bucket.setdefault(words[m - b :], {}).setdefault(words[:b], []).append((list(words), items))
+    def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
+        self.size, self.block = size, min(2, size)
+        self.far = size - self.block + 1
+        self.names = [name for name, _ in items]
+        self.number: dict[bytes, int] = {}
+        coded = [np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int64) for _, words in items]
+        self.base = len(self.number)
+        starts = np.cumsum([0, *map(len, coded)])
+        self.words = array("q", np.concatenate(coded).tobytes())
+        self.item_at = array("q", starts[:-1].tobytes())
+        blocks, shifts, ends, heads, places = [], [], [], [], []
+        for c, start in zip(coded, starts, strict=False):
+            codes = c[:-1] * self.base + c[1:] if self.block == 2 else c
+            blocks.append(codes)
+            # The farther into the item a block stands, the nearer to a window's end it may be.
+            shifts.append(np.maximum(0, size - self.block - np.arange(len(codes))))
+            n = len(c) - size + 1
+            ends.append(codes[size - self.block :][:n])
+            heads.append(codes[:n])
+            places.append(start + np.arange(n))
+        ends, heads, places = map(np.concatenate, (ends, heads, places))
+        order = np.lexsort((places, heads, ends))
+        ends = ends[order]
+        self.heads, self.places = array("q", heads[order].tobytes()), array("q", places[order].tobytes())
+        blocks, shifts = np.concatenate(blocks), np.concatenate(shifts)
+        least = np.lexsort((shifts, blocks))
+        keys, first = np.unique(blocks[least], return_index=True)
+        jump = shifts[least][first]
+        lo, hi = np.searchsorted(ends, keys), np.searchsorted(ends, keys, "right")
+        self.shift = dict(zip(keys.tolist(), jump.tolist(), strict=True))
+        zero = jump == 0
+        self.bucket = dict(zip(keys[zero].tolist(), zip(lo[zero].tolist(), hi[zero].tolist(), strict=True), strict=True))
 
     def search(self, words: list[bytes]):
-        """Yields (start, items) of every occurrence."""
-        m, b, shift, far, n = self.size, self.block, self.shift, self.far, len(words)
+        """Yields (start, name of an item) of every occurrence."""
+        m, two, shift, far, base, n = self.size, self.block == 2, self.shift, self.far, self.base, len(words)
+        number = self.number.get
+        text = array("q", [number(w, -1) for w in words])
         end = m
         while end <= n:
-            key = (words[end - 2], words[end - 1]) if b == 2 else (words[end - 1],)
-            step = shift.get(key, far)
+            last = text[end - 1]
+            if last < 0:  # no window holds this word
+                end += m
+                continue
+            step = shift.get(text[end - 2] * base + last if two and text[end - 2] >= 0 else -1 if two else last, far)
             if step:
                 end += step
                 continue
             start = end - m
-            for pattern, items in self.bucket[key].get(tuple(words[start : start + b]), ()):
-                if words[start:end] == pattern:
-                    yield start, items
+            head = text[start] * base + text[start + 1] if two else text[start]
+            lo, hi = self.bucket[text[end - 2] * base + last if two else last]
+            a = bisect_left(self.heads, head, lo, hi)
+            b = bisect_right(self.heads, head, a, hi)
+            if a < b:
+                here = text[start:end]
+                for place in self.places[a:b]:
+                    if self.words[place : place + m] == here:
+                        yield start, self.names[bisect_right(self.item_at, place) - 1]
             end += 1
 
 
-def windows_of(items: list[tuple[str, str | None]], window: int) -> dict[int, dict[tuple, list]]:
-    """Pattern words to the items they come from, by pattern length."""
-    out: dict[int, dict[tuple, dict]] = {}
+def machines(items: list[tuple[str, str]], window: int) -> list[WuManber]:
+    """A machine for each length of windows: items of fewer words are one each."""
+    by_size: dict[int, list] = {}
     for item, text in items:
         words = words_of(text)
-        size = min(window, len(words))
-        for k in range(len(words) - size + 1 if words else 0):
-            out.setdefault(size, {}).setdefault(tuple(words[k : k + size]), {})[item] = None
-    return {size: {p: list(i) for p, i in found.items()} for size, found in out.items()}
+        if words:
+            by_size.setdefault(min(window, len(words)), []).append((item, words))
+    return [WuManber(found, size) for size, found in sorted(by_size.items())]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -86,25 +125,28 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 HITS = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 
 
-def _searcher(spark: SparkSession, patterns):
-    """A column function: text to the words, hit spans and items of one pass."""
-    tables = spark.sparkContext.broadcast(patterns)
+def _searcher(spark, passes: list[list[tuple[str, str]]], window: int):
+    """A column function: text to its words, hit spans and items. The benchmark's
+    texts are broadcast and tables built by the workers, of one pass at a time."""
+    shared = spark.sparkContext.broadcast(passes)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machines = [WuManber(p) for p in tables.value.values()]
-        for batch in batches:
-            n_words, spans, items = [], [], []
-            for text in batch:
-                words = words_of(text.as_py())
-                hits, of = [], {}
-                for machine in machines:
-                    for start, found in machine.search(words):
-                        hits.append((start, start + machine.size))
-                        of.update(dict.fromkeys(found))
-                n_words.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in merged(hits)])
-                items.append(sorted(of))
-            cols = [pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))]
+        only = machines(shared.value[0], window) if len(shared.value) == 1 else None
+        for batch in batches_of(batches, 512 if only is not None else 1 << 30):
+            spans, items = [[] for _ in batch], [{} for _ in batch]
+            n_words = []
+            for j, part in enumerate(shared.value):
+                found = only if only is not None else machines(part, window)
+                for i, text in enumerate(batch):
+                    words = words_of(text.as_py())
+                    if not j:
+                        n_words.append(len(words))
+                    for machine in found:
+                        for start, item in machine.search(words):
+                            spans[i].append((start, start + machine.size))
+                            items[i][item] = None
+            spans = [[{"start": a, "end": b} for a, b in merged(x)] for x in spans]
+            cols = [pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
             yield pa.StructArray.from_arrays(cols, ["n_words", "spans", "items"])
 
     return F.arrow_udf(run, HITS)
@@ -124,35 +166,45 @@ def _union(spans: Column) -> Column:
 
 
 def contamination(
-    text: Column,
+    docs: DataFrame,
     benchmark: DataFrame,
+    name: str,
     window: int = 10,
     pass_bytes: int = PASS_BYTES,
+    round_bytes: int = ROUND_BYTES,
+    text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-) -> Column:
-    """A column of n_words, spans (of hit words, merged, half-open) and items
-    (ids of the items with occurring windows, sorted as strings) of ``text``.
-
-    A benchmark of more than ``pass_bytes`` of text is dealt by a hash of the
-    item into passes, whose spans and items are put together row by row.
+) -> DataFrame:
+    """``docs`` and a column ``name`` of n_words, spans (of hit words, merged,
+    half-open) and items (ids of the items with occurring windows, sorted as
+    strings) of the whole text.
+
+    Items are dealt by a hash into passes of about ``pass_bytes`` of text, whose
+    tables a worker holds one at a time. More than ``round_bytes`` are searched
+    in rounds; each reads and writes the documents once more.
     """
     spark = benchmark.sparkSession
-    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")).where("item is not null and t is not null")
     n_bytes = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    passes = 1 + int(n_bytes) // pass_bytes
-    found = []
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()  # pass_bytes, about
-        found.append(_searcher(spark, windows_of([(r.item, r.t) for r in part], window))(text))
-    if passes == 1:
-        return found[0]
-    return F.struct(
-        found[0]["n_words"].alias("n_words"),
-        _union(F.concat(*[f["spans"] for f in found])).alias("spans"),
-        F.array_sort(F.array_distinct(F.concat(*[f["items"] for f in found]))).alias("items"),
-    )
+    rounds = 1 + int(n_bytes) // round_bytes
+    passes = 1 + int(n_bytes) // rounds // pass_bytes
+    for k in range(rounds):
+        part = items.where(F.pmod(F.xxhash64("item"), F.lit(rounds)) == k).collect()  # round_bytes, about
+        dealt = [[(r.item, r.t) for r in part[j::passes]] for j in range(passes)]
+        found = _searcher(spark, dealt, window)(F.col(text_col))
+        if not k:
+            docs = docs.withColumn(name, found)
+            continue
+        other = fresh("__more", docs.columns)
+        docs = materialise(docs, "contamination-round").withColumn(other, found)
+        both = F.struct(
+            F.col(name)["n_words"].alias("n_words"),
+            _union(F.concat(F.col(name)["spans"], F.col(other)["spans"])).alias("spans"),
+            F.array_sort(F.array_union(F.col(name)["items"], F.col(other)["items"])).alias("items"),
+        )
+        docs = docs.withColumn(name, both).drop(other)
+    return docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -161,9 +213,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A window is ``window`` (10) consecutive words of an item; an item of fewer
     words, but not none, is one window. A document word inside an occurrence is
     hit. Null texts have no words; items with a null id or text are left out.
-    Repeated rows and null ids each give a row. An empty benchmark hits nothing.
-    The documents are read in place; nothing is shuffled.
+    Repeated rows and null ids each give a row; other columns are not read. An
+    empty benchmark hits nothing. The documents are read in place; nothing is
+    shuffled.
     """
-    out = docs.select(F.col(id_col).alias("id"), contamination(F.col(text_col), benchmark, **options).alias("c"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    out = contamination(rows, benchmark, "c", text_col="t", **options)
     n_hit = F.aggregate("c.spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return out.select(F.col("id").alias(id_col), "c.n_words", n_hit.alias("n_hit"), "c.spans", "c.items", (F.size("c.spans") > 0).alias("contaminated"))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, as they are, in whose texts no window of an item occurs."""
+    name = fresh("__found", docs.columns)
+    found = contamination(docs, benchmark, name, text_col=text_col, **options)
+    return found.where(F.size(F.col(name)["spans"]) == 0).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import materialise
+from inkframe.llm.common import discard, materialise
 
 #: Most hashes of repeated texts (16 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
@@ -28,7 +28,8 @@ def exact_dedup(
 
     Null texts count as empty. Null ids are rows too: they are counted, and one
     is kept only if its group has no other id. Repeated rows with one id and
-    one text are all counted and share ``kept``. An empty table gives no rows.
+    one text are all counted and share ``kept``. Other columns are not read. An
+    empty table gives no rows.
     """
     normalise = normalise or (lambda c: c)
     content_hash = content_hash or (lambda c: F.unhex(F.md5(c)))

@@ -55,7 +55,8 @@ def hamming_links(nodes: DataFrame, distance: int, segments: int, bucket_limit:
     then verified. A bucket of more than ``bucket_limit`` fingerprints is
     searched in the same way by the other segments of its members, within what
     is left of the distance, so a large group of near copies makes no pairs of
-    its own; the result is the same for any limit.
+    its own; the result is the same for any limit. A fingerprint has as many
+    links at most as its Hamming ball has members (2,081 at a distance of 2).
     """
     nodes = nodes.select("rep", "fp")
     segs = segments_of(segments)
@@ -88,30 +89,34 @@ def hamming_links(nodes: DataFrame, distance: int, segments: int, bucket_limit:
         return both.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance).select("a", "b")
 
     if hot.isEmpty():
+        discard(hot)
         return pairs(probes, entries, ["key"]).distinct()
     few = _few(hot)
     plain = pairs(probes.join(few, "key", "left_anti"), entries.join(few, "key", "left_anti"), ["key"])
     hot_probes, hot_entries = probes.join(few, "key", "left_semi"), entries.join(few, "key", "left_semi")
-    found = [plain]
+    # A second key: the number of (probed table, bits used up, other segment), then that segment's value.
+    second_e, second_p, number = [], [], 0
     for i, radius in enumerate(radii):
         rest = [s for k, s in enumerate(segs) if k != i] or [segs[i]]
         in_table = (F.col("key") >= F.lit(i << 40)) & (F.col("key") < F.lit((i + 1) << 40))
         for w in range(radius + 1):
-            for k, ((off, width), r) in enumerate(zip(rest, radii_of(distance - w, len(rest)), strict=True)):
+            for (off, width), r in zip(rest, radii_of(distance - w, len(rest)), strict=True):
                 if r < 0:
                     continue
-                v = _value(F.col("fp"), off, width)
-                e = hot_entries.where(in_table).select("rep", "fp", "key", (F.lit(k << 40) + v).alias("key2"))
-                p = hot_probes.where(in_table & (F.col("w") == w)).select("rep", "fp", "key", v.alias("v"), F.explode(_masks(width, r)).alias("x"))
+                number += 1
+                tag, v = F.lit(number << 40), _value(F.col("fp"), off, width)
+                second_e.append(F.when(in_table, tag + v))
+                x = F.explode(_masks(width, r))
+                p = hot_probes.where(in_table & (F.col("w") == w)).select("rep", "fp", "key", v.alias("v"), x.alias("x"))
                 p = p.withColumn("to", F.col("v").bitwiseXOR(F.col("x")))
                 if w == 0:  # both are in one bucket: of the two the smaller value probes
                     p = p.where((F.col("x") == 0) | (F.col("to") > F.col("v")))
                     weight = F.bit_count("x")
                 else:
                     weight = F.lit(w)
-                p = p.select("rep", "fp", weight.alias("w"), "key", (F.lit(k << 40) + F.col("to")).alias("key2"))
-                found.append(pairs(p, e, ["key", "key2"]))
-    return union(found).distinct()
+                second_p.append(p.select("rep", "fp", weight.alias("w"), "key", (tag + F.col("to")).alias("key2")))
+    second_e = hot_entries.select("rep", "fp", "key", F.explode(F.array_compact(F.array(*second_e))).alias("key2"))
+    return plain.union(pairs(union(second_p), second_e, ["key", "key2"])).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -119,10 +124,10 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     smallest vertex reachable. Labels spread to neighbours and are shortened
     through their own labels, so rounds grow with the logarithm of a
     component's diameter; each round is a table in the shared folder."""
-    spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialise(both.where("a <> b").distinct(), "components-edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("l")), "components-0")
+    held = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("l")), "components-0")
+    labels = held
     for k in range(1, most_rounds):
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
         new = labels.join(near.withColumnRenamed("a", "v"), "v").select("v", "l", F.least("l", "m").alias("n"))
@@ -130,8 +135,9 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         new = new.join(up, "n").select("v", F.least("n", "up").alias("n"), (F.col("l") > F.least("n", "up")).alias("moved"))
         new = materialise(new, f"components-{k}")
         done = new.where("moved").isEmpty()
-        discard(spark, labels)
-        labels = new.select("v", F.col("n").alias("l"))
+        discard(held)
+        held, labels = new, new.select("v", F.col("n").alias("l"))
         if done:
+            discard(both)
             return labels.select("v", F.col("l").alias("root"))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import materialise
+from inkframe.llm.common import fresh, materialise
 
 #: Labelled documents that the classifier is fitted to at most.
 SAMPLE = 20_000
@@ -286,11 +286,12 @@ def missed(model: Mixture) -> float:
     return float(np.abs(model.reached - model.targets).max() / max(model.targets.sum(), 1e-9))
 
 
-def members_of(docs: DataFrame, model: Mixture, text: Column) -> DataFrame:
-    """docs with ``__n`` and ``__p``, the tokens and posteriors of the text."""
-    out = docs.withColumn("__w", shapes(text)).withColumn("__b", buckets(text, F.col("__w"))).withColumn("__n", F.size("__w").cast("long")).drop("__w")
-    out = out.withColumn("__s", model.scores(F.col("__b"))).drop("__b")
-    return out.withColumn("__p", model.posteriors(F.col("__s"))).drop("__s")
+def members_of(docs: DataFrame, model: Mixture, text: Column, k: str) -> DataFrame:
+    """docs with ``n`` and ``p``, the tokens and posteriors of the text; ``k``
+    stands in front of all names that are added."""
+    out = docs.withColumn(f"{k}w", shapes(text)).withColumn(f"{k}b", buckets(text, F.col(f"{k}w"))).withColumn(f"{k}n", F.size(f"{k}w").cast("long")).drop(f"{k}w")
+    out = out.withColumn(f"{k}s", model.scores(F.col(f"{k}b"))).drop(f"{k}b")
+    return out.withColumn(f"{k}p", model.posteriors(F.col(f"{k}s"))).drop(f"{k}s")
 
 
 def mix_sources(
@@ -316,7 +317,7 @@ def mix_sources(
     model = fit_classifier(docs, labels, domains, id_col=id_col, text_col=text_col)
     text = F.coalesce(F.col("__t"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t"))
-    rows = members_of(rows, model, text).select("id", F.xxhash64("id", "__t").alias("key"), F.col("__n").alias("n"), F.col("__p").alias("p"))
+    rows = members_of(rows, model, text, "__").select("id", F.xxhash64("id", "__t").alias("key"), F.col("__n").alias("n"), F.col("__p").alias("p"))
     rows = materialise(rows, "mixing-members")
     fit_rates(rows, model, targets, max_rate=max_rate, **options)
     rate = model.rate(F.col("p"))
@@ -331,19 +332,20 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domains
     """The mixture itself: the rows of ``docs``, each as many times as drawn.
     Documents whose domain the labels tell belong to it alone; posteriors tell
     the domains of the others."""
-    columns = docs.columns
+    columns, k = docs.columns, fresh("__m", docs.columns)
     domains = domains or DOMAINS
     model = fit_classifier(docs, labels, domains, id_col=id_col, text_col=text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    known = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda i: (i == F.col("__d")).cast("double"))
-    rows = members_of(docs, model, text).join(domain_labels(labels, domains, id_col), F.col(id_col) == F.col("__id"), "left")
-    rows = rows.withColumn("__p", F.when(F.col("__d").isNotNull(), known).otherwise(F.col("__p"))).drop("__id", "__d")
+    known = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda i: (i == F.col(f"{k}d")).cast("double"))
+    told = domain_labels(labels, domains, id_col).select(F.col("__id").alias(f"{k}id"), F.col("__d").alias(f"{k}d"))
+    rows = members_of(docs, model, text, k).join(told, F.col(id_col) == F.col(f"{k}id"), "left")
+    rows = rows.withColumn(f"{k}p", F.when(F.col(f"{k}d").isNotNull(), known).otherwise(F.col(f"{k}p"))).drop(f"{k}id", f"{k}d")
     # Written once: the fit reads tokens and posteriors alone, and the last
     # pass need not score the texts again.
     rows = materialise(rows, "mixing-members")
-    fit_rates(rows.select(F.col("__n").alias("n"), F.col("__p").alias("p")), model, targets, max_rate=max_rate, **options)
-    rows = rows.withColumn("__copies", copies_of(model.rate(F.col("__p")), F.xxhash64(id_col, text_col)))
-    rows = rows.where("__copies > 0")
+    fit_rates(rows.select(F.col(f"{k}n").alias("n"), F.col(f"{k}p").alias("p")), model, targets, max_rate=max_rate, **options)
+    rows = rows.withColumn(f"{k}c", copies_of(model.rate(F.col(f"{k}p")), F.xxhash64(id_col, text_col)))
+    rows = rows.where(F.col(f"{k}c") > 0)
     if max_rate is None or math.ceil(max_rate) > 1:
-        rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        rows = rows.withColumn(f"{k}e", F.explode(F.sequence(F.lit(1), F.col(f"{k}c"))))
     return rows.select(*columns)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import small_batches
+from inkframe.llm.common import batches_of
 from inkframe.llm.labelled import FUNCTION_WORDS, fold, sigmoid
 
 #: Trusted positives, and unlabelled documents, that the model is fitted on at most.
@@ -133,19 +133,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", posi
     ones are drawn from all documents outside fold 0, labelled or not, without
     looking at labels. Both samples are bounded and have the smallest hashes.
     The class prior is estimated on halves that the ranking model has not seen."""
-    small_batches(docs.sparkSession)
-
     def run(batches):
-        for batch in batches:
+        for batch in batches_of(batches):
             xs = [features(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(xs, pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    learnt = docs.where(fold(id_col) != 0).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    learnt = docs.where(fold(id_col) != 0).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     trusted = labels.where((F.col(label) == 1) & (fold(id_col) != 0)).select(F.col(id_col).alias("id")).distinct()
     trusted = F.broadcast(trusted.orderBy(F.xxhash64("id"), "id").limit(positives))  # bounded by ``positives``
-    web = F.broadcast(learnt.select("id").distinct().orderBy(F.xxhash64("id", F.lit(9)), "id").limit(unlabelled))  # likewise
+    web = F.broadcast(learnt.select("id").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(unlabelled).distinct())  # likewise
     drawn = learnt.join(trusted, "id").withColumn("y", F.lit(1)).unionByName(learnt.join(web, "id").withColumn("y", F.lit(0)))
-    rows = sorted(drawn.select("id", "t", "y").mapInArrow(run, "id long, y int, x array<double>").collect(), key=lambda r: (r.y, r.id, r.x))
+    rows = sorted(drawn.select("id", "t", "y").mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<double>").collect(), key=lambda r: (r.y, r.id, r.x))
     dims = len(features(""))
     xp = np.array([r.x for r in rows if r.y == 1], float).reshape(-1, dims)
     xu = np.array([r.x for r in rows if r.y == 0], float).reshape(-1, dims)

@@ -47,7 +47,7 @@ def op3_toxicity(spark, sf_dir):
 
 def op4_simhash(spark, sf_dir):
     out = simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, distance=2, segments=2)
-    fingerprint = F.lower(F.lpad(F.hex(F.element_at("fps", 1)), 16, "0"))
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return out.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 

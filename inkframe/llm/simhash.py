@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import materialise, small_batches
+from inkframe.llm.common import batches_of, materialise
 from inkframe.llm.hamming import BUCKET_LIMIT, components, hamming_links
 
 CHUNK = 1 << 15  # shingles whose bits are counted at once
@@ -38,68 +38,50 @@ def majority(hashes: np.ndarray) -> int:
     return sum(1 << b for b in np.flatnonzero(counts * 2 > len(hashes)).tolist())
 
 
-def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another family's hashes of the same shingles (k = 0: the hashes)."""
-    if k == 0:
-        return hashes
-    with np.errstate(over="ignore"):
-        z = hashes + np.uint64((0x9E3779B97F4A7C15 * k) % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, families: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``fps``, the fingerprints of the whole text in each hash family."""
-    small_batches(docs.sparkSession)
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and ``fp``, the fingerprint of the whole text."""
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for text in batch.column(1):
-                h = shingle_hashes(text.as_py(), shingle)
-                fps = [majority(remixed(h, k)) for k in range(families)]
-                out.append([f - (1 << 64) if f >> 63 else f for f in fps])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "fps"])
+        for batch in batches_of(batches):
+            out = [signed(majority(shingle_hashes(text.as_py(), shingle))) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fps array<bigint>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def simhash_dedup(
     docs: DataFrame,
     shingle: int = 5,
-    families: int = 1,
     distance: int = 3,
     segments: int = 2,
     bucket_limit: int = BUCKET_LIMIT,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per input row: id, ``fps`` (a fingerprint per hash family, the
-    first of plain XXH64) and component_id, the smallest id reachable over
-    links; texts link when, in one family at least, their fingerprints differ
-    in at most ``distance`` bits.
+    """One row per input row: id, ``fp`` (the fingerprint) and component_id, the
+    smallest id reachable over links; texts link when their fingerprints differ
+    in at most ``distance`` bits. Ids may be of any type that has an order.
 
     Only distinct fingerprints are searched, each under its smallest id, so a
     group of copies weighs as one row. Null texts have no words: fingerprint
     zero, linked like any other. Rows with a null id have a fingerprint but
     link to nothing and have a null component. Rows that repeat an id count as
-    one document, which links what any of its texts links.
+    one document, which links what any of its texts links. Other columns are not
+    read. An empty table gives no rows.
     """
-    prints = materialise(fingerprints(docs, shingle, families, id_col, text_col), "simhash-prints")
+    prints = materialise(fingerprints(docs, shingle, id_col, text_col), "simhash-prints")
     known = prints.where(F.col("id").isNotNull())
-    nodes = materialise(known.groupBy("fps").agg(F.min("id").alias("rep")), "simhash-nodes")
-    edges = None
-    for k in range(families):
-        fp = F.element_at("fps", k + 1)
-        table = nodes.groupBy(fp.alias("fp")).agg(F.min("rep").alias("rep"))
-        if families > 1:
-            table = materialise(table, "simhash-table")
-            same = nodes.select(fp.alias("fp"), F.col("rep").alias("a")).join(table.withColumnRenamed("rep", "b"), "fp").where("a <> b").select("a", "b")
-            edges = same if edges is None else edges.union(same)
-        links = hamming_links(table, distance, segments, bucket_limit)
-        edges = links if edges is None else edges.union(links)
-    roots = components(edges)
-    nodes = materialise(nodes.join(roots, nodes.rep == roots.v, "left").select("fps", F.coalesce("root", "rep").alias("component_id")), "simhash-roots")
-    out = prints.join(nodes, "fps", "left")
-    return out.select(F.col("id").alias(id_col), "fps", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    nodes = materialise(known.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-nodes")
+    # Two representatives with one id are one vertex, so ids that repeat tie their fingerprints where both are least.
+    several = known.groupBy("id").agg(F.min("fp").alias("p"), F.max("fp").alias("q")).where("p <> q").select("id")
+    own = known.join(several, "id").join(nodes, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = hamming_links(nodes, distance, segments, bucket_limit)
+    roots = components(links.union(own))
+    nodes = materialise(nodes.join(roots, nodes.rep == roots.v, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "simhash-roots")
+    out = prints.join(nodes, "fp", "left")
+    return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -8,12 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import materialise, row_key, single_thread, small_batches
+from inkframe.llm.common import batches_of, discard, materialise, row_key, single_thread
 
-#: Pre-tokens whose piece counts are broadcast: the most frequent ones, so
-#: many at most, of 64 bytes at most each. The others are joined by a shuffle.
+#: Pre-tokens whose piece counts are broadcast: the most frequent ones, so many
+#: at most of up to so many bytes (24 MB in all). The others are joined by a
+#: shuffle, where a document brings a row for each and hot ones are split.
 FREQUENT = 262_144
 FREQUENT_BYTES = 64
+FREQUENT_LONG, LONG_BYTES = 2048, 4096
 
 #: The white space of the pre-tokenizer's regular expression.
 SPACE = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -39,7 +41,7 @@ def _encoded(df: DataFrame, shared, schema: str) -> DataFrame:
 
     def run(batches):
         tok = _library(shared.value)
-        for batch in batches:
+        for batch in batches_of(batches, 4096):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n = [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n"])
@@ -67,10 +69,10 @@ def token_counts(
 
     Texts with characters that the JVM's Unicode tables do not know are encoded
     whole by the library. Null texts are empty: no bytes, no tokens. Repeated
-    rows and null ids each give a row.
+    rows and null ids each give a row; ids may be of any type; other columns are
+    not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
     config = json.loads(text)
@@ -103,7 +105,9 @@ def token_counts(
     # Every distinct pre-token of the corpus with its frequency, encoded once.
     distinct = words.groupBy("w").agg(F.count(F.lit(1)).alias("f")).select("f", "w")
     pieces = materialise(_encoded(distinct, shared, "f long, w string, n long"), "token-pieces")
-    top = pieces.where(F.octet_length("w") <= FREQUENT_BYTES).orderBy(F.desc("f"), "w").limit(frequent)
+    size = F.octet_length("w")
+    top = pieces.where(size <= FREQUENT_BYTES).orderBy(F.desc("f"), "w").limit(frequent)
+    top = top.unionByName(pieces.where((size > FREQUENT_BYTES) & (size <= LONG_BYTES)).orderBy(F.desc("f"), "w").limit(FREQUENT_LONG))
     top = materialise(top.select("w", F.col("n").cast("int").alias("top_n")), "token-frequent")
 
     # Of a document's pre-tokens the frequent ones sum up at once, on the map side;
@@ -121,6 +125,7 @@ def token_counts(
     counts = materialise(
         summed.unionByName(by_special).unionByName(whole).groupBy("key").agg(F.sum("n").alias("n")), "token-sums"
     )
+    discard(pieces, top)
     copies = sized.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     counts = counts.join(copies, "key")  # rows with one id and one text were summed together
     out = sized.join(counts, "key", "left")

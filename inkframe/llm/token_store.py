@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import materialise, scratch_path, single_thread, small_batches
+from inkframe.llm.common import batches_of, discard, materialise, scratch_path, single_thread
 
 #: Documents that the dictionary is trained on (those with the smallest hashes).
 DICTIONARY_DOCS = 1000
@@ -118,16 +118,14 @@ class WordEncoder:
         return out
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
 def _encoder(tokenizer_json: str) -> WordEncoder:
     """The worker process's encoder: kept from task to task."""
-    import sys
-    import types
-
-    kept = sys.modules.setdefault("_inkframe_worker", types.ModuleType("_inkframe_worker")).__dict__
-    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
-    if key not in kept:
-        kept[key] = WordEncoder(tokenizer_json)
-    return kept[key]
+    if tokenizer_json not in _ENCODERS:
+        _ENCODERS[tokenizer_json] = WordEncoder(tokenizer_json)
+    return _ENCODERS[tokenizer_json]
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -162,14 +160,17 @@ def write_store(
     """Encode every whole text, append ``end_id`` and write the store at ``path``.
 
     Null texts are empty (the end id alone); null ids come first; rows that
-    repeat an id stand side by side, ordered by their frames. Buckets are ranges
-    of ids found by sampling compressed frames, so no text is shuffled and each
-    text is encoded once (the few of the dictionary's sample twice).
+    repeat an id stand side by side, ordered by a hash of their frames. Buckets
+    are ranges of id and hash, so null or repeated ids fill as many as others.
+    No text is shuffled and each text is encoded once (the few of the
+    dictionary's sample twice). Ids are whole numbers, others raise; other
+    columns are not read; an empty table makes a store of no segments.
     """
     import zstandard
 
     spark = docs.sparkSession
-    small_batches(spark)
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col}: a store's ids are whole numbers")
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
     shared = spark.sparkContext.broadcast(text)  # one vocabulary: some MB
@@ -183,7 +184,7 @@ def write_store(
 
     def serialize(batches):
         encode = _encoder(shared.value)
-        for batch in batches:
+        for batch in batches_of(batches):
             arrays = encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([np.append(a, end).astype(kind).tobytes() for a in arrays], pa.binary())], ["b"])
 
@@ -195,7 +196,7 @@ def write_store(
         encode = _encoder(shared.value)
         zd = _dictionary(data)
         z = zstandard.ZstdCompressor(level=level, dict_data=zd) if zd else zstandard.ZstdCompressor(level=level)
-        for batch in batches:
+        for batch in batches_of(batches):
             arrays = encode(batch.column(1).to_pylist())
             arrays = [np.append(a, end).astype(kind) for a in arrays]
             cols = [batch.column(0), pa.array([len(a) for a in arrays], pa.int64()), pa.array([z.compress(a.tobytes()) for a in arrays], pa.binary())]
@@ -229,9 +230,11 @@ def write_store(
         if held:
             yield flush()
 
-    ranged = frames.repartitionByRange(buckets, F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), "frame")
+    by = [F.asc_nulls_first("id"), F.xxhash64("frame").asc()]
+    ranged = frames.repartitionByRange(buckets, *by).sortWithinPartitions(*by, "frame")
     segments = ranged.withColumn("bucket", F.spark_partition_id()).mapInArrow(pack, SEGMENT_DDL)
     segments.write.parquet(f"{path}/segments")
+    discard(frames)
     head = [(bytearray(data), sha, width, end_id)]
     spark.createDataFrame(head, "dictionary binary, sha256 string, id_bytes int, end_id long").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -263,11 +266,10 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False, id_col: s
 
     head = _head(spark, path)
     data, sha, kind = bytes(head.dictionary), head.sha256, f"<u{head.id_bytes}"
-    small_batches(spark)
     segments = spark.read.schema(SEGMENT_DDL).parquet(f"{path}/segments")
     totals = segments.groupBy("bucket").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n)).alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # One row a bucket of many megabytes: few enough for one task.
+    # A row a bucket of BUCKET_BYTES / 4 of frames: some two million at 100 TB of text, of 12 bytes each, in one task.
     bases = materialise(totals.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "token-bases")
     placed = segments.join(bases, "bucket").select((F.col("base") + F.col("local_start")).alias("start"), "dict_sha256", "ids", "n_tokens", "offsets", "blob")
 

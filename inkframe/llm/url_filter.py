@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import ascii_lower
+from inkframe.llm.common import ascii_lower, fresh, materialise
 
 #: Most rules that are broadcast (some 200 bytes each); more are joined by a shuffle.
 BROADCAST_RULES = 200_000
@@ -28,32 +28,37 @@ def url_filter(
     default: str = "allow",
     hash_digits: int = 8,
 ) -> DataFrame:
-    """``pages`` with host, path, rule and verdict appended.
+    """``pages`` with host, path, rule and verdict appended; columns of these
+    names that ``pages`` has already are replaced.
 
     ``rules`` has host, path and action (allow or block). A rule fits its host
     and all subdomains when the URL's path starts with the rule's path. The
     longest fitting rule (host and path together) wins; of equally long ones a
     block, then the smallest text. URLs that no rule fits get ``default``.
 
-    Each distinct URL is expanded into every host suffix joined to every path
-    prefix of a length that some rule's path has. The expressions meet the
+    Each distinct URL is expanded into every host suffix of no more labels than
+    some rule's host has, joined to every path prefix of a length that some
+    rule's path has, so the rules bound its expressions. The expressions meet the
     rules by the first ``hash_digits`` hex digits of their SHA-256 and the full
     digest confirms the match. Repeated URLs are judged once. Rules with a null
     host are ignored, a null path counts as empty; duplicate rules that
-    disagree block. A null URL gets the default.
+    disagree block. A null URL gets the default. Repeated rows each give a row;
+    an empty table gives none.
     """
     clean = (
         rules.where(F.col("host").isNotNull())
         .select(
             F.concat(ascii_lower(F.col("host")), F.coalesce("path", F.lit(""))).alias("rule"),
             F.length(F.coalesce("path", F.lit(""))).alias("path_len"),
+            F.size(F.split("host", r"\.")).alias("labels"),
             F.col("action").alias("action"),
         )
-        .groupBy("rule", "path_len")
+        .groupBy("rule", "path_len", "labels")
         .agg(F.max(F.when(F.col("action") == "block", 1).otherwise(0)).alias("blocks"))
     )
-    # As many lengths as there are different rule paths at most; a URL bounds them.
-    lengths = sorted(r.path_len for r in clean.select("path_len").distinct().collect())
+    # As many shapes as there are different rule paths and host depths at most; a URL bounds them.
+    shapes = clean.select("path_len", "labels").distinct().collect()
+    lengths, most = sorted({r.path_len for r in shapes}), max((r.labels for r in shapes), default=0)
     host, path = split_url(F.col("u"))
     lens = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
     digest = clean.withColumn("rule_digest", F.sha2("rule", 256))
@@ -64,7 +69,7 @@ def url_filter(
     urls = pages.select(F.col(url_col).alias("u")).where(F.col("u").isNotNull()).distinct()
     parts = urls.select("u", F.split(host, r"\.").alias("labels"), path.alias("p"))
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size("labels")),
+        F.sequence(F.greatest(F.lit(1), F.size("labels") - most + 1), F.size("labels")),
         lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."),
     )
     fitting = F.filter(lens, lambda n: n <= F.length("p"))
@@ -73,19 +78,20 @@ def url_filter(
     probes = parts.select("u", F.explode(expressions).alias("e")).withColumn("probe_digest", F.sha2("e", 256))
     probes = probes.withColumn("short", F.substring("probe_digest", 1, hash_digits))
     hits = probes.join(digest, "short").where(F.col("probe_digest") == F.col("rule_digest"))
-    length = F.length("rule")
-    best = hits.groupBy("u").agg(
-        F.max_by(F.struct("rule", "blocks"), length * 2 + F.col("blocks")).alias("best")
-    )
+    rank = F.struct((-F.length("rule")).alias("length"), (-F.col("blocks")).alias("blocks"), F.col("rule"))
+    best = materialise(hits.groupBy("u").agg(F.min(rank).alias("best")), "url-best")
 
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    names = ("host", "path", "rule", "verdict")
+    own = [c for c in pages.columns if c not in names]
+    u, found = fresh("__u", pages.columns), fresh("__best", pages.columns)
     host, path = split_url(F.col(url_col))
-    judged = pages.select(*own).join(best.withColumnRenamed("u", "__u"), F.col(url_col) == F.col("__u"), "left")
-    by_rule = F.when(F.col("best.blocks") == 1, "block").when(F.col("best.blocks") == 0, "allow")
-    return judged.select(
-        *own,
-        host.alias("host"),
-        path.alias("path"),
-        F.col("best.rule").alias("rule"),
-        F.coalesce(by_rule, F.lit(default)).alias("verdict"),
-    )
+    # Null URLs are kept out of the join, where they would meet in one task.
+    known = pages.where(F.col(url_col).isNotNull()).join(best.select(F.col("u").alias(u), F.col("best").alias(found)), F.col(url_col) == F.col(u), "left")
+    null = pages.where(F.col(url_col).isNull()).withColumn(found, F.lit(None).cast(best.schema["best"].dataType))
+
+    def judged(df):
+        rule, blocks = F.col(found)["rule"], F.col(found)["blocks"]
+        verdict = F.when(blocks < 0, "block").when(blocks == 0, "allow").otherwise(default)
+        return df.select(*own, host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("verdict"))
+
+    return judged(known).unionByName(judged(null))

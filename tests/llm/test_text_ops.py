@@ -111,7 +111,7 @@ def test_exact_dedup_tells_collisions_apart(spark):
 def test_simhash_matches_brute_force(spark, sf):
     texts = real(spark, sf) + ODD + [t.replace("the ", "thee ", 1) for t in real(spark, sf)[:40]]
     out = simhash_dedup(docs_of(spark, texts), shingle=3, distance=2)
-    got = {r.doc_id: (r.fps[0] % 2**64, r.component_id) for r in out.collect()}
+    got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in out.collect()}
     want = {i: R.simhash(t) for i, t in enumerate(texts)}
     assert {i: g[0] for i, g in got.items()} == want
     assert {i: g[1] for i, g in got.items()} == R.linked(want, 2)
@@ -139,7 +139,7 @@ def test_components_of_chains_and_stars(spark):
 
 def test_simhash_null_and_repeated_ids(spark):
     docs = docs_of(spark, ["a b c d", "a b c d", None, "", "q", "a b c d"], [5, None, 7, 3, 9, 5])
-    got = sorted((r.doc_id or -1, r.component_id) for r in simhash_dedup(docs, 3, 2, 2, 2).collect())
+    got = sorted((r.doc_id or -1, r.component_id) for r in simhash_dedup(docs, 3, 2, 2).collect())
     assert got == [(-1, None), (3, 3), (5, 5), (5, 5), (7, 3), (9, 9)]
     assert simhash_dedup(docs.limit(0)).count() == 0
 
