@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -108,3 +110,10 @@ def single_thread() -> None:
     """Native libraries in Python workers use the one core their task has."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
+
+
+def worker_cache() -> dict:
+    """What a Python worker keeps from task to task. This package's code travels
+    by value, so its globals are made anew for every task; a module of the
+    worker's own is not."""
+    return sys.modules.setdefault("_inkframe_worker", types.ModuleType("_inkframe_worker")).__dict__

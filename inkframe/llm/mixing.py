@@ -41,15 +41,13 @@ def shapes(text: Column) -> Column:
 
 
 def buckets(text: Column, shape: Column) -> Column:
-    """Distinct hashed features: words, their first five characters, and the
-    shapes of words."""
+    """Distinct hashed features: lower-cased words and the shapes of words."""
     words = F.array_distinct(F.split(F.lower(text), r"[\s\p{Punct}]+"))
 
-    def hashed(kind, short=False):
-        return lambda w: (F.pmod(F.xxhash64(F.lit(kind), F.substring(w, 1, 5) if short else w), F.lit(BUCKETS)) + 1).cast("int")
+    def hashed(kind):
+        return lambda w: (F.pmod(F.xxhash64(F.lit(kind), w), F.lit(BUCKETS)) + 1).cast("int")
 
-    marks = F.transform(F.array_distinct(shape), hashed(2))
-    return F.array_distinct(F.concat(F.transform(words, hashed(0)), F.transform(words, hashed(1, True)), marks))
+    return F.array_distinct(F.concat(F.transform(words, hashed(0)), F.transform(F.array_distinct(shape), hashed(2))))
 
 
 def _literal(values, digits: int = 9) -> Column:
@@ -289,7 +287,8 @@ def missed(model: Mixture) -> float:
 def members_of(docs: DataFrame, model: Mixture, text: Column, k: str) -> DataFrame:
     """docs with ``n`` and ``p``, the tokens and posteriors of the text; ``k``
     stands in front of all names that are added."""
-    out = docs.withColumn(f"{k}w", shapes(text)).withColumn(f"{k}b", buckets(text, F.col(f"{k}w"))).withColumn(f"{k}n", F.size(f"{k}w").cast("long")).drop(f"{k}w")
+    out = docs.withColumn(f"{k}w", shapes(text))
+    out = out.withColumn(f"{k}b", buckets(text, F.col(f"{k}w"))).withColumn(f"{k}n", F.size(f"{k}w").cast("long")).drop(f"{k}w")
     out = out.withColumn(f"{k}s", model.scores(F.col(f"{k}b"))).drop(f"{k}b")
     return out.withColumn(f"{k}p", model.posteriors(F.col(f"{k}s"))).drop(f"{k}s")
 

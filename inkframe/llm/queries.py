@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from inkframe.llm.common import LOWER, UPPER
 from inkframe.llm.decontaminate import decontaminate
 from inkframe.llm.exact_dedup import exact_dedup
-from inkframe.llm.license_scan import license_scan
+from inkframe.llm.license_scan import PHRASES, TEMPLATES, license_scan, template_table, words_of
 from inkframe.llm.mixing import mix_sources
 from inkframe.llm.quality import fit_quality
 from inkframe.llm.simhash import simhash_dedup
@@ -31,7 +32,7 @@ def table(spark, sf_dir, name):
 
 
 def op1_license_scan(spark, sf_dir):
-    return license_scan(table(spark, sf_dir, "documents")).withColumn("matches", F.to_json("matches"))
+    return license_scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
 def op2_mixing(spark, sf_dir):
@@ -99,8 +100,52 @@ QUERIES = {
 }
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+
+def _license_sql() -> str:
+    """Phrases by place, and every block against every template."""
+    half = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
+    table = template_table(TEMPLATES, 0.8)
+    marked = "body"
+    for a, b in (p.split("_") for p in sorted({t for _, _, toks, _ in table for t in toks if "_" in t})):
+        marked = f"replace(' ' || {marked} || ' ', ' {a} {b} ', ' {a} {a}_{b} {b} ')"
+    places, base = [], []
+    for phrase, label in PHRASES.items():
+        ws = phrase.split()
+        same = " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(ws))
+        places.append(f"list_transform(list_filter(range(1, len(ws) - {len(ws) - 2}), lambda i: {same}), lambda i: i - 1)")
+        base.append(f"CASE WHEN len({places[-1]}) > 0 THEN ['{label}'] ELSE [] END")
+    held, labels = [], []
+    for _, label, toks, need in table:
+        overlap = f"list_max(list_transform(blocks, lambda b: len(list_intersect(list_distinct(b), {toks!r}))))"
+        held.append(f"CASE WHEN {overlap} >= {need} THEN {overlap} / CAST({len(toks)} AS DOUBLE) ELSE 0 END")
+        labels.append(f"CASE WHEN {overlap} >= {need} THEN ['{label}'] ELSE [] END")
+    return f"""
+WITH t AS (SELECT doc_id, trim(regexp_replace({LOWERED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) AS body FROM documents),
+w AS (SELECT doc_id, CASE WHEN body = '' THEN [] ELSE string_split(body, ' ') END AS ws, string_split(trim({marked}), ' ') AS ms FROM t),
+p AS (SELECT doc_id, len(ws) AS n_words, list_concat({", ".join(places)}) AS places, list_sort(list_distinct(flatten([{", ".join(base)}]))) AS base,
+  CASE WHEN len(ms) <= {2 * half} THEN [ms] ELSE list_transform(range(0, CAST(ceil(len(ms) / {half}.0) AS INT) - 1), lambda i: ms[i * {half} + 1 : i * {half} + {2 * half}]) END AS blocks FROM w),
+m AS (SELECT *, flatten([{", ".join(labels)}]) AS more, list_max([{", ".join(held)}]) AS best FROM p)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, more))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0 ELSE best END AS score FROM m
+"""
+
 
 ORACLE_SQL = {
+    "op1_license_scan": _license_sql(),
+    "op6_decontaminate": rf"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWERED}, '{WORD}') AS bw FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bz AS (SELECT *, least(10, len(bw)) AS size FROM b WHERE len(bw) > 0),
+pat AS (SELECT DISTINCT item, size, array_to_string(bw[k : k + size - 1], ' ') AS gram FROM bz, unnest(range(1, len(bw) - size + 2)) AS t(k)),
+gram AS (SELECT row_no, k, size, array_to_string(ws[k : k + size - 1], ' ') AS gram FROM d, (SELECT DISTINCT size FROM pat), unnest(range(1, greatest(1, len(ws) - size + 2))) AS t(k)),
+hit AS (SELECT row_no, k, size, item FROM gram JOIN pat USING (size, gram)),
+n AS (SELECT row_no, count(DISTINCT p) AS n_hit FROM (SELECT row_no, unnest(range(k, k + size)) AS p FROM hit) GROUP BY 1),
+found AS (SELECT row_no, list_sort(list_distinct(list(item))) AS items FROM hit GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (row_no) LEFT JOIN found USING (row_no)
+""",
     "op8_url_filter": r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -110,7 +155,7 @@ WITH parts AS (
 ), r(rhost, rpath, action) AS (VALUES ('com','/','allow'),('example.com','/en/','block'),('www.example.com','/en/','allow'),('net','/es/','block'),('net','/fr/','block')),
 hit AS (
   SELECT page_id, host, path, rhost || rpath AS rule, action,
-         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST, action DESC) AS n
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST, action DESC, rhost || rpath) AS n
   FROM u LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
 )
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM hit WHERE n = 1

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import batches_of, discard, materialise, scratch_path, single_thread
+from inkframe.llm.common import batches_of, discard, materialise, scratch_path, single_thread, worker_cache
 
 #: Documents that the dictionary is trained on (those with the smallest hashes).
 DICTIONARY_DOCS = 1000
@@ -118,14 +118,12 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def _encoder(tokenizer_json: str) -> WordEncoder:
     """The worker process's encoder: kept from task to task."""
-    if tokenizer_json not in _ENCODERS:
-        _ENCODERS[tokenizer_json] = WordEncoder(tokenizer_json)
-    return _ENCODERS[tokenizer_json]
+    kept = worker_cache()
+    if tokenizer_json not in kept:
+        kept[tokenizer_json] = WordEncoder(tokenizer_json)
+    return kept[tokenizer_json]
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:

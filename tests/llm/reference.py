@@ -26,14 +26,16 @@ def license_base(text, phrases):
     return len(w), len(hits), min(hits, default=None), max(hits, default=None), labels
 
 
-def license_blocks(text, half):
-    for line in (text or "").translate(UP).split("\n"):
-        w = WORD.findall(line)
-        if len(w) <= 2 * half:
-            yield set(w)
-        else:
-            for k in range(0, len(w), half):
-                yield set(w[k : k + 2 * half])
+def license_blocks(text, half, pairs):
+    """Overlapping stretches of the whole text's words; the tokens of neighbouring
+    words stand between the two."""
+    w = []
+    for word in words(text):
+        if w and (both := f"{w[-1]}_{word}") in pairs:
+            w.append(both)
+        w.append(word)
+    for k in range(0, max(1, -(-len(w) // half) - 1), 1):
+        yield set(w[k * half : (k + 2) * half])
 
 
 def simhash(text, n=3):

@@ -77,3 +77,52 @@ def test_class_prior_of_a_known_mixture():
     rng = np.random.default_rng(0)
     pos, unl = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 2400), rng.normal(-2, 1, 1600)])
     assert quality.class_prior(pos, unl) == pytest.approx(0.6, abs=0.05)
+
+
+def test_forward_pass_by_plain_loops():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(1, 60, (int(n), toxicity.PARTS)) for n in rng.integers(1, 40, 60)]
+    net = toxicity.fit_network(docs, np.arange(60) % 2)
+    lens = [0, 1, 2, 3, 17]
+    texts = [rng.integers(1, 60, (n, toxicity.PARTS)).astype(np.int32) for n in lens]
+    want = []
+    for t in texts:
+        x = [sum(net.embed[b] for b in word) for word in t] + [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+        feats = []
+        for i, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                values = [sum(x[k + j] @ net.filters[i][j][:, f] for j in range(w)) + net.biases[i][f] for k in range(len(x) - w + 1)]
+                feats.append(max([0.0, *(values if len(t) else [])]))
+        want.append(np.dot(feats, net.out) + net.out_bias)
+    assert np.allclose(net.logits(np.concatenate(texts), np.cumsum(lens)), want, atol=1e-4)
+
+
+def test_language_thresholds_are_drawn_to_the_common_one():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(1, 30, (8, toxicity.PARTS)) for _ in range(80)]
+    y = np.arange(80) % 2
+    net = toxicity.fit_network(docs, y)
+    langs = ["en"] * 76 + ["fr"] * 2 + ["es"] * 2
+    langs[-1] = "de"
+    toxicity.calibrate(net, docs, y, langs, 0.5)
+    assert set(net.thresholds) == {"", "en", "fr"}  # es and de have one class each
+    z = net.logits(np.concatenate(docs), np.cumsum([8] * 80))[76:78]
+    own = toxicity.best_threshold(z.astype(np.float64), y[76:78], np.ones(2))
+    assert net.thresholds["fr"] == pytest.approx((own + toxicity.SHRINK * net.thresholds[""]) / (1 + toxicity.SHRINK), abs=1e-5)
+
+
+def test_risk_is_that_of_positive_unlabelled_learning():
+    rng = np.random.default_rng(6)
+    pos, unl = rng.normal(1.5, 1, (1500, 3)), np.concatenate([rng.normal(1.5, 1, (1200, 3)), rng.normal(-1.5, 1, (1800, 3))])
+
+    def risk(net, prior):
+        p, u = net.logits(pos), net.logits(unl)
+        return prior * np.logaddexp(0, -p).mean() + max(0.0, np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean())
+
+    net = quality.fit_risk(pos, unl, 0.4, epochs=30)
+    flat = quality.fit_risk(pos, unl, 0.4, epochs=0)
+    assert risk(net, 0.4) < 0.25 < risk(flat, 0.4)
+    truth = np.repeat([1, 0], [1200, 1800])
+    assert ((net.logits(unl) > 0) == truth).mean() > 0.97
+    naive = quality.fit_risk(pos, unl, None, epochs=30)  # which takes unlabelled for negative
+    assert ((naive.logits(unl) > 0) == truth).mean() < ((net.logits(unl) > 0) == truth).mean()

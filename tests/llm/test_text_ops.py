@@ -32,17 +32,18 @@ def real(spark, sf):
 def test_license_scan_matches_brute_force(spark, sf):
     texts = real(spark, sf) + ODD + [
         "Preamble.\nReleased under the MIT License.", "cc by nc cc by nc", "Licensed under Apache License Version 2",
-        "licensed under the bsd license " + "filler " * 300, "filler " * 217 + "licensed under the GNU general public license version 3 " + "more " * 200,
+        "licensed under the bsd license " + "filler " * 300, "under a CC BY\n4.0, or CC BY-SA 4.0", "Creative Commons Attribution 4.0 ShareAlike", "filler " * 217 + "licensed under the GNU general public license version 3 " + "more " * 200,
     ]
     table = L.template_table(L.TEMPLATES, 0.8)
     half = max(len(L.words_of(t)) for ts in L.TEMPLATES.values() for t in ts)
+    pairs = {t for _, _, toks, _ in table for t in toks if "_" in t}
     got = {r.doc_id: r for r in L.license_scan(docs_of(spark, texts)).collect()}
-    assert len(got) == len(texts)
+    assert len(got) == len(texts) and pairs
     some = 0
     for i, text in enumerate(texts):
         n, hits, first, last, labels = R.license_base(text, L.PHRASES)
         best = {}
-        for block in R.license_blocks(text, half):
+        for block in R.license_blocks(text, half, pairs):
             for number, label, toks, need in table:
                 if (o := len(block & set(toks))) >= need:
                     best[number, label] = max(best.get((number, label), 0), o / len(toks))
@@ -177,6 +178,58 @@ def test_url_filter_edge_cases(spark):
     assert {r.verdict for r in url_filter(pages, rules.limit(0), default="block").collect()} == {"block"}
 
 
+def test_url_filter_ties_repeats_and_clashing_columns(spark):
+    rules = spark.createDataFrame([("a.net", "/", "block"), ("net", "/ab", "block"), ("a.net", "/x", "allow"), ("net", "/x/y", "block")], "host string, path string, action string")
+    long = "http://" + "s." * 2000 + "a.net/ab" + "/p" * 3000
+    urls = ["http://a.net/ab", "http://a.net/ab", None, None, long, "http://a.net/x/y", "http://b.net/q"]
+    pages = spark.createDataFrame([(i, u, "old", "old", 7) for i, u in enumerate(urls)], "page_id long, url string, verdict string, best string, __u int")
+    out = url_filter(pages, rules)
+    assert out.columns == ["page_id", "url", "best", "__u", "host", "path", "rule", "verdict"]
+    got = {r.page_id: (r.rule, r.verdict, r.best, r["__u"]) for r in out.collect()}
+    assert got[0] == got[1] == ("a.net/", "block", "old", 7)  # as long as net/ab: the smallest text
+    assert got[2] == got[3] == (None, "allow", "old", 7) and got[4][:2] == ("a.net/", "block")
+    assert got[5][:2] == ("net/x/y", "block")  # of equally long ones a block
+    assert got[6][:2] == (None, "allow") and len(got) == 7
+
+
+@pytest.mark.parametrize("name", ["op1", "op4", "op5", "op6", "op10"])
+def test_odd_ids_and_clashing_columns(spark, name):
+    """Ids as text, columns of names that the operators use, rows that repeat."""
+    import public_tokenizers
+
+    from inkframe.llm.token_count import token_counts
+
+    ops = {
+        "op1": lambda d: L.license_scan(d),
+        "op4": lambda d: simhash_dedup(d, 3, 2),
+        "op5": lambda d: token_counts(d, public_tokenizers.path("byte_bpe_50k.json")),
+        "op6": lambda d: decontaminate(d, spark.createDataFrame([("i", "a b")], "item_id string, text string")),
+        "op10": lambda d: exact_dedup(d),
+    }
+    docs = docs_of(spark, ["a b c", "a b c", None, "mit license"]).withColumn("doc_id", F.when(F.col("doc_id") > 1, F.concat(F.lit("d"), F.col("doc_id").cast("string"))))
+    for c in ("id", "key", "t", "n", "c", "h", "fp", "node", "labels", "spans", "kept", "w"):
+        docs = docs.withColumn(c, F.lit("own"))
+    rows = ops[name](docs).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["None", "None", "d2", "d3"]
+    assert ops[name](docs.limit(0)).count() == 0
+
+
+def test_license_phrases_of_other_letters(spark):
+    rows = L.license_scan(docs_of(spark, ["LICENCE ÉTÉ x", "licence été x"]), phrases={"licence ÉTÉ": "e"}, templates={"f": ["gratuité ÉTÉ x"]}).collect()
+    assert {r.doc_id: (r.n_base, r.labels) for r in rows} == {0: (1, "e"), 1: (0, "")}
+
+
+def test_large_benchmarks_are_searched_in_passes_and_rounds(spark, sf):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = real(spark, sf)[:60]
+    docs = docs_of(spark, texts)
+    one = {r.doc_id: (r.n_hit, r.spans, r["items"]) for r in decontaminate(docs, bench).collect()}
+    size = sum(len(t) for _, t in items)
+    few = {r.doc_id: (r.n_hit, r.spans, r["items"]) for r in decontaminate(docs, bench, pass_bytes=size // 7, round_bytes=size // 2).collect()}
+    assert one == few and {i for i, v in one.items() if v[0]} == {i for i, t in enumerate(texts) if R.contamination(t, items)[4]}
+
+
 def test_row_key_tells_null_from_empty(spark):
     rows = spark.createDataFrame([(1, None), (1, ""), (None, "1"), (None, None)], "a long, b string")
     assert rows.select(row_key(F.col("a"), F.col("b"))).distinct().count() == 4
