@@ -6,14 +6,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkframe.operators.boxes import BOX, pixels_in_boxes
 from inkframe.operators.raster import IMG
 
 WHITE = (255, 255, 255)
 
 
 def hex_rgb(text: Column) -> Column:
-    """STRUCT<r,g,b> of #rgb or #rrggbb; other texts raise."""
-    body = F.regexp_extract(text, "^#([0-9A-Fa-f]{6}|[0-9A-Fa-f]{3})$", 1)
+    """STRUCT<r,g,b> of rgb or rrggbb, with or without ``#``; other texts raise."""
+    body = F.regexp_extract(F.trim(text), "^#?([0-9A-Fa-f]{6}|[0-9A-Fa-f]{3})$", 1)
     full = F.when(F.length(body) == 3, F.regexp_replace(body, "(.)", "$1$1")).otherwise(body)
     part = lambda i: F.conv(F.substring(full, 1 + 2 * i, 2), 16, 10).cast("int")
     value = F.struct(part(0).alias("r"), part(1).alias("g"), part(2).alias("b"))
@@ -84,46 +85,65 @@ def palette_check(labelled: DataFrame, palette: list[tuple[int, int, int]], tole
     return top.withColumn("max_diff", F.greatest(*off)).withColumn("ok", F.col("max_diff") <= tolerance)
 
 
+def band_colour(px: DataFrame, by: tuple[str, ...] = (IMG,), dark: int = 128) -> DataFrame:
+    """Median of each channel over the pixels whose mean is under ``dark``, or
+    over all of them where none is; halves round to even."""
+    low = F.col("r") + F.col("g") + F.col("b") < 3 * dark
+    mid = px.groupBy(*by).agg(*[F.coalesce(F.median(F.when(low, F.col(c))), F.median(c)).alias(c) for c in "rgb"])
+    return mid.select(*by, *[F.bround(c).cast("long").alias(c) for c in "rgb"])
+
+
 def dominant(labelled: DataFrame, boxes: DataFrame, least: float = 0.5) -> DataFrame:
-    """The ink with most half-covered pixels in each box; of equals the first."""
-    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
+    """The ink with most half-covered pixels in each box; of equals the first.
+    Pixels meet boxes by grid cells."""
     ink = labelled.where((F.col("label") >= 0) & (F.col("cov") >= least)).select(IMG, "y", "x", "label")
-    n = boxes.join(ink, IMG).where(inside).groupBy(IMG, "box", "label").agg(F.count(F.lit(1)).alias("n"))
+    n = pixels_in_boxes(ink, boxes.select(IMG, "box", *BOX)).groupBy(IMG, "box", "label").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(IMG, "box").orderBy(F.desc("n"), "label")
     return n.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
-def detect_palette(px: DataFrame, most: int = 6, least_share: float = 0.01, cosine: float = 0.995, least_distance: float = 0.05, least_count: int = 15) -> DataFrame:
-    """Inks of each image: clusters of directions from its background.
-
-    The histogram of distinct colours is a DataFrame aggregate; the greedy
-    clustering, whose order matters, runs on each image's histogram.
-    """
+def direction_table(px: DataFrame, least_share: float, least_distance: float, least_count: int) -> DataFrame:
+    """The colours that may be inks: at least ``least_count`` pixels and
+    ``least_distance`` of the farthest colour's distance from the background, each
+    with that distance, its unit direction and the pixels that an ink needs."""
     hist = px.groupBy(IMG, "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
-    ground = background(px).select(IMG, F.col("r").alias("br"), F.col("g").alias("bg"), F.col("b").alias("bb"))
-    hist = hist.join(ground, IMG)
+    ground = background(px).select(IMG, *[F.col(c).alias(f"b{c}") for c in "rgb"])
+    d = [F.col(c) - F.col(f"b{c}") for c in "rgb"]
+    far = hist.join(ground, IMG).withColumn("dist", F.sqrt(sum((x * x for x in d), F.lit(0)).cast("double")))
+    far = far.withColumn("farthest", F.max("dist").over(Window.partitionBy(IMG)))
+    live = far.where((F.col("dist") > 0) & (F.col("dist") >= least_distance * F.col("farthest")) & (F.col("n") >= least_count))
+    need = F.greatest(F.lit(1), F.floor(F.sum("n").over(Window.partitionBy(IMG)) * least_share))
+    return live.select(IMG, "r", "g", "b", "n", "dist", *[(x / F.col("dist")).alias(f"d{c}") for c, x in zip("rgb", d, strict=True)], need.alias("need"))
+
+
+def cones(table, most: int, cosine: float):
+    """Inks of one image's ``direction_table``: the farthest colour left spans a
+    cone. One with enough pixels is an ink (its most frequent colour among those
+    in the outer 15 % of its distances) and leaves the table; else only its tip
+    leaves. Ties go to the smaller colour."""
+    left = table.sort_values(["dist", "r", "g", "b"], ascending=[False, True, True, True])
+    found = 0
+    while len(left) and found < most:
+        tip = left.iloc[0]
+        inside = sum(left[f"d{c}"] * tip[f"d{c}"] for c in "rgb") > cosine
+        cone = left[inside]
+        if cone["n"].sum() < tip["need"]:
+            left = left.iloc[1:]
+            continue
+        outer = cone[cone["dist"] >= 0.85 * tip["dist"]].sort_values(["n", "r", "g", "b"], ascending=[False, True, True, True])
+        yield (found, *(int(outer.iloc[0][c]) for c in "rgb"), int(cone["n"].sum()))
+        found, left = found + 1, left[~inside]
 
-    def cluster(pdf):
+
+def detect_palette(px: DataFrame, most: int = 6, least_share: float = 0.01, cosine: float = 0.995, least_distance: float = 0.05, least_count: int = 15) -> DataFrame:
+    """Inks of each image: cones of directions from its background. What may be
+    an ink is a DataFrame aggregate; the cones, whose order matters, are formed
+    on each image's few colours."""
+
+    def run(table):
         import pandas as pd
 
-        pdf = pdf.sort_values(["r", "g", "b"], kind="stable")
-        rgb, n = pdf[["r", "g", "b"]].to_numpy(float), pdf["n"].to_numpy()
-        d = rgb - pdf[["br", "bg", "bb"]].to_numpy(float)
-        size = np.sqrt((d * d).sum(axis=1))
-        live = size >= least_distance * max(size.max(), 1e-9)
-        need, out = max(least_count, least_share * n[live].sum()), []
-        unit = d / np.maximum(size, 1e-9)[:, None]
-        for seed in np.argsort(-size, kind="stable"):
-            if not live[seed] or len(out) >= most:
-                continue
-            near = live & (unit @ unit[seed] > cosine)
-            if n[near].sum() < need:
-                live[seed] = False  # only the seed retires; its mates may join other clusters
-                continue
-            far = near & (size >= 0.85 * size[near].max())
-            out.append([*rgb[far][np.argmax(n[far])].astype(int).tolist(), int(n[near].sum())])
-            live &= ~near
-        key = int(pdf[IMG].iloc[0])
-        return pd.DataFrame([[key, i, *row] for i, row in enumerate(out)], columns=[IMG, "ink", "r", "g", "b", "n"])
-
-    return hist.groupBy(IMG).applyInPandas(cluster, f"{IMG} long, ink int, r int, g int, b int, n long")
+        return pd.DataFrame([(int(table[IMG].iloc[0]), *ink) for ink in cones(table, most, cosine)], columns=[IMG, "ink", "r", "g", "b", "n"])
+
+    table = direction_table(px, least_share, least_distance, least_count)
+    return table.groupBy(IMG).applyInPandas(run, f"{IMG} long, ink int, r int, g int, b int, n long")

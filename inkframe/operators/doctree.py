@@ -1,4 +1,5 @@
-"""Document trees: shape(doc, page_no, layer_no, layer, shape_no, type)."""
+"""Document trees: shape(doc, page_no, layer_no, layer, shape_no, type, parent_no,
+text); shapes of a group name its number, texts have one."""
 
 from __future__ import annotations
 
@@ -16,12 +17,14 @@ def type_counts(shapes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def layer_profile(shapes: DataFrame, most: int = 50) -> DataFrame:
-    """Counts of each layer, its types as a map and its first shapes in order."""
+    """Each layer's shapes: all of them and those of no group, its types as a map
+    and its first texts in order."""
     key = ["doc", "page_no", "layer_no", "layer"]
     types = type_counts(shapes, key).groupBy(*key).agg(F.sum("n").alias("total_all"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("type_counts"))
-    first = shapes.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("shape_no"))).where(F.col("nth") <= most)
-    first = first.groupBy(*key).agg(F.array_sort(F.collect_list("shape_no")).alias("first_shapes"))
-    return types.join(first, key)
+    flat = shapes.groupBy(*key).agg(F.count_if(F.col("parent_no").isNull()).alias("top_level"))
+    first = shapes.where("text is not null").withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("shape_no"))).where(F.col("nth") <= most)
+    first = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("shape_no", "text"))), lambda x: x["text"]).alias("first_texts"))
+    return types.join(flat, key).join(first, key, "left").withColumn("first_texts", F.coalesce("first_texts", F.array().cast("array<string>")))
 
 
 def pair_pages(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -40,15 +43,33 @@ def diff_types(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def diff_layers(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Each source layer against the target's of that name on the same page (the
-    last of equal names): missing, or how the counts differ."""
+    """Each source layer against the target's of that name (the last of equal
+    names) on the page of the same place: missing, or how the counts of all
+    shapes and of those of no group differ."""
     def layers(df):
-        n = df.groupBy("page_no", "layer_no", "layer").agg(F.count(F.lit(1)).alias("n"))
+        n = df.groupBy("page_no", "layer_no", "layer").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("parent_no").isNull()).alias("top"))
         last = Window.partitionBy("page_no", "layer").orderBy(F.desc("layer_no"))
         return n.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth", "layer_no")
 
-    both = layers(source).join(layers(target).withColumnRenamed("n", "n_target"), ["page_no", "layer"], "left")
-    return both.withColumn("status", F.when(F.col("n_target").isNull(), "missing").when(F.col("n") != F.col("n_target"), "differs").otherwise("equal"))
+    a = layers(source).join(pair_pages(source, target), F.col("page_no") == F.col("source_page"))
+    b = layers(target).select(F.col("page_no").alias("target_page"), "layer", F.col("n").alias("n_target"), F.col("top").alias("top_target"))
+    both = a.join(b, ["target_page", "layer"], "left")
+    differs = (F.col("n") != F.col("n_target")) | (F.col("top") != F.col("top_target"))
+    status = F.when(F.col("n_target").isNull(), "missing").when(differs, "differs").otherwise("equal")
+    return both.select("page_no", "layer", "n", "n_target", "top", "top_target", status.alias("status"))
+
+
+def layers_for(items: DataFrame, layers: DataFrame) -> DataFrame:
+    """The layer of each item: the upper-cased name of its kind, found among the
+    document's layers or to be created."""
+    there = layers.select(F.col("layer").alias("__l")).distinct()
+    wanted = items.withColumn("layer", F.upper("kind"))
+    return wanted.join(there, F.col("layer") == F.col("__l"), "left").withColumn("found", F.col("__l").isNotNull()).drop("__l")
+
+
+def clone_totals(copies: DataFrame, by: list[str]) -> DataFrame:
+    """Shapes that were to be copied, and that were (``ok``)."""
+    return copies.groupBy(*by).agg(F.count(F.lit(1)).alias("attempted"), F.count_if("ok").alias("copied"))
 
 
 def new_shapes(before: DataFrame, after: DataFrame, by: list[str], name: str) -> DataFrame:

@@ -195,7 +195,7 @@ def snap_boxes(ink: DataFrame, boxes: DataFrame, reach: int = 14) -> DataFrame:
         return pd.DataFrame(rows, columns=[IMG, "box", "x0", "y0", "x1", "y1"])
 
     a = ink.select(IMG, "y", "x", "ink").groupBy(IMG)
-    return a.cogroup(boxes.select(IMG, "box", "x0", "y0", "x1", "y1").groupBy(IMG)).applyInPandas(run, f"{IMG} long, box long, x0 int, y0 int, x1 int, y1 int")
+    return a.cogroup(boxes.select(F.col(IMG).alias(IMG), "box", "x0", "y0", "x1", "y1").groupBy(IMG)).applyInPandas(run, f"{IMG} long, box long, x0 int, y0 int, x1 int, y1 int")
 
 
 # --- paths ---------------------------------------------------------------------------
@@ -227,42 +227,48 @@ def subpaths(d: str, steps: int = 16) -> list[list[tuple[float, float]]]:
     return [p for p in out if len(p) > 2]
 
 
-def outline(mask: np.ndarray) -> str:
-    """The exact outline of a mask: one closed rectilinear polygon a boundary,
-    holes included, for the even-odd rule. Edges run with the ink on the right;
-    where two regions meet in a corner only, they stay apart."""
+def outline_loops(mask: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The boundaries of a mask, holes included, as closed walks of unit steps.
+    Edges run with the ink on the right; where two regions meet in a corner
+    only, they stay apart."""
     m = np.pad(np.asarray(mask, np.int8), 1)
     ahead: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    ys, xs = np.nonzero(m)
-    for y, x in zip(ys.tolist(), xs.tolist(), strict=True):
-        for dy, dx, a, b in ((-1, 0, (x, y), (x + 1, y)), (0, 1, (x + 1, y), (x + 1, y + 1)), (1, 0, (x + 1, y + 1), (x, y + 1)), (0, -1, (x, y + 1), (x, y))):
-            if not m[y + dy, x + dx]:
-                ahead.setdefault(a, []).append(b)
-    paths = []
-    while ahead:
-        start = min(ahead, key=lambda p: (p[1], p[0]))
-        path, at, came = [start], start, None
-        while True:
-            ways = ahead[at]
-            if came is not None and len(ways) > 1:  # turn right, round the same region
-                turn = (-came[1], came[0])
-                ways.sort(key=lambda b: (b[0] - at[0], b[1] - at[1]) != turn)
-            to = ways.pop(0)
-            if not ways:
-                del ahead[at]
-            step = (to[0] - at[0], to[1] - at[1])
-            if step == came:
-                path[-1] = to
-            else:
-                path.append(to)
-            came, at = step, to
-            if at == start:
-                break
-        pts = path[:-1]
-        if len(pts) > 2 and (pts[1][0] - pts[0][0] == 0) == (pts[0][0] - pts[-1][0] == 0):
-            pts = pts[1:]
-        paths.append("M " + " L ".join(f"{x - 1:.4f} {y - 1:.4f}" for x, y in pts) + " Z")
-    return " ".join(paths)
+    sides = (((-1, 0), (0, 0), (1, 0)), ((0, 1), (1, 0), (1, 1)), ((1, 0), (1, 1), (0, 1)), ((0, -1), (0, 1), (0, 0)))
+    for (dy, dx), a, b in sides:
+        ys, xs = np.nonzero(m.astype(bool) & (np.roll(m, (-dy, -dx), (0, 1)) == 0))
+        for y, x in zip((ys - 1).tolist(), (xs - 1).tolist(), strict=True):
+            ahead.setdefault((x + a[0], y + a[1]), []).append((x + b[0], y + b[1]))
+    loops = []
+    for start in sorted(ahead, key=lambda p: (p[1], p[0])):
+        while ahead.get(start):
+            loop, at, came = [], start, None
+            while True:
+                loop.append(at)
+                ways = ahead[at]
+                if came is not None and len(ways) > 1:  # turn right, round the same region
+                    turn = (-came[1], came[0])
+                    ways.sort(key=lambda b: (b[0] - at[0], b[1] - at[1]) != turn)
+                to = ways.pop(0)
+                came, at = (to[0] - at[0], to[1] - at[1]), to
+                if at == start:
+                    break
+            loops.append(loop)
+    return loops
+
+
+def corners(loop: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The points of a walk at which it turns."""
+    out = []
+    for a, b, c in zip(loop[-1:] + loop[:-1], loop, loop[1:] + loop[:1], strict=True):
+        if (b[0] - a[0], b[1] - a[1]) != (c[0] - b[0], c[1] - b[1]):
+            out.append(b)
+    return out
+
+
+def outline(mask: np.ndarray) -> str:
+    """The exact outline of a mask: one closed rectilinear polygon a boundary,
+    for the even-odd rule."""
+    return " ".join("M " + " L ".join(f"{x:.4f} {y:.4f}" for x, y in corners(loop)) + " Z" for loop in outline_loops(mask))
 
 
 def rasterise(paths: list[list[tuple[float, float]]], w: int, h: int, ss: int = 8) -> np.ndarray:
@@ -396,57 +402,225 @@ def group_shapes(shapes: list[tuple[int, float, np.ndarray]], most_ratio: float
 
 #: Lower-case letters whose capitals have the same shape.
 SAME_SHAPE = "cosvwxz"
-#: Letters of x-height and of cap height.
-X_HEIGHT, CAP_HEIGHT = "aemnru", "ABDEFGHIKLMNPRTY"
+#: Letters of x-height; those that are judged tell nothing of it.
+X_HEIGHT = "".join(c for c in "acemnorsuvwxz" if c not in SAME_SHAPE)
+MARK_SHARE = 0.35  # of the tallest run: lower ones are marks
 
 
-def case_by_height(mask: np.ndarray, word_spans: list[tuple[int, int]], tokens: list[list[str]], least_gap: float = 1, least_anchor_gap: float = 2) -> list[tuple[int, str, str]]:
-    """Letters of one shape in both cases take the case that their height is
-    nearer to, where the line's other letters tell both heights.
+def run_heights(mask: np.ndarray) -> list[int]:
+    """The height of the ink in each run of inked columns."""
+    out = []
+    for a, b in column_runs(mask):
+        ys = np.flatnonzero(mask[:, a:b].any(axis=1))
+        out.append(int(ys[-1] - ys[0] + 1))
+    return out
+
 
-    ``tokens`` is a list of words, each a list of characters; a word is edited
-    only if it has as many runs as characters."""
-    if not isinstance(tokens, list) or any(isinstance(t, str) for t in tokens):
-        raise TypeError("tokens is a list of lists of characters")
+def case_by_height(mask: np.ndarray, word_spans: list[tuple[int, int]], tokens: list[str], least_gap: float = 1, least_anchor_gap: float = 2) -> list[tuple[int, str, str]]:
+    """Letters of one shape in both cases take the case whose height theirs is
+    nearer to by more than ``least_gap``, where the line's other letters tell
+    both heights: two of each at least, ``least_anchor_gap`` apart.
+
+    Runs lower than a share of the line's tallest one are marks and are dropped,
+    so a full stop that left no ink does not matter: a word counts if it has as
+    many tall runs as letters. An edit (word, new token, kind) changes one letter
+    of the token as it was."""
+    if isinstance(tokens, str):
+        raise TypeError("tokens is a list of words")
     if len(word_spans) != len(tokens):
         return []
-    heights = []
-    for (x0, x1), toks in zip(word_spans, tokens, strict=True):
-        runs = column_runs(mask[:, x0:x1])
-        tall = []
-        for a, b in runs:
-            ys = np.flatnonzero(mask[:, x0 + a : x0 + b].any(axis=1))
-            tall.append(int(ys[-1] - ys[0] + 1))
-        heights.append(tall if len(tall) == len(toks) else None)
-    known = [(c, h) for t, hs in zip(tokens, heights, strict=True) if hs for c, h in zip(t, hs, strict=True)]
-    low, high = [h for c, h in known if c in X_HEIGHT], [h for c, h in known if c in CAP_HEIGHT]
-    if len(low) < 2 or len(high) < 2 or np.median(high) - np.median(low) < least_anchor_gap:
+    mask = np.asarray(mask) if np.asarray(mask).dtype == bool else np.asarray(mask) < 128
+    heights = [run_heights(mask[:, max(0, x0) : max(1, x1)]) for x0, x1 in word_spans]
+    least = MARK_SHARE * max((h for hs in heights for h in hs), default=0)
+    read: list[tuple[int, int, str, int]] = []  # word, place in its token, letter, height
+    for i, (token, hs) in enumerate(zip(tokens, heights, strict=True)):
+        tall, letters = [h for h in hs if h > least], [k for k, c in enumerate(token) if c.isalpha()]
+        if tall and len(tall) == len(letters):
+            read += [(i, k, token[k], h) for k, h in zip(letters, tall, strict=True)]
+    caps = [h for _, _, c, h in read if c.isupper()]
+    low = [h for _, _, c, h in read if not c.isupper() and c in X_HEIGHT]
+    if min(len(caps), len(low)) < 2 or np.median(caps) - np.median(low) < least_anchor_gap:
+        return []
+    out = []
+    for i, k, c, h in read:
+        to_cap, to_low = abs(h - np.median(caps)), abs(h - np.median(low))
+        new = c.upper() if to_cap + least_gap < to_low else c.lower() if to_low + least_gap < to_cap else c
+        if c.lower() in SAME_SHAPE and new != c:
+            out.append((i, tokens[i][:k] + new + tokens[i][k + 1 :], "case-height"))
+    return out
+
+
+def symbol_shape(mask: np.ndarray, x_height: float) -> str | None:
+    """What ``symbol_of`` says of a mask's tight box."""
+    ys, xs = np.nonzero(mask)
+    if not len(ys):
+        return None
+    w, h = int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1
+    if h <= 2 and w / h >= 2.5:
+        return "-"
+    if h <= max(3.0, 0.28 * x_height) and w / h < 2.0:
+        return "·"
+    return "•" if 0.8 <= w / h <= 2.0 and len(ys) / (w * h) >= 0.60 else None
+
+
+def natural_iou(word: np.ndarray, glyph: np.ndarray) -> float:
+    """IoU of a word and a rendering of the same height, in its own width, both
+    from the left."""
+    h = word.shape[0]
+    other = _fit(glyph, max(1, round(glyph.shape[1] * h / glyph.shape[0])), h)
+    w = max(word.shape[1], other.shape[1])
+    a, b = (np.pad(m, ((0, 0), (0, w - m.shape[1]))) for m in (word, other))
+    either = (a | b).sum()
+    return float((a & b).sum() / either) if either else 0.0
+
+
+def word_proposals(mask: np.ndarray, word_spans: list[tuple[int, int]], tokens: list[str], glyphs: dict[str, np.ndarray], margin: float = 0.08) -> list[tuple[int, str, str]]:
+    """Edits (word, new token, kind) that a line's shapes suggest. A token of one
+    sign becomes the symbol that its shape is. Of others with letters the upper,
+    lower and capitalised form is proposed whose rendering (``glyphs``: text to
+    mask) fits better than the token's own by ``margin``."""
+    if len(tokens) != len(word_spans):
         return []
-    x, cap, out = float(np.median(low)), float(np.median(high)), []
-    for i, (toks, hs) in enumerate(zip(tokens, heights, strict=True)):
-        new = list(toks)
-        for k, c in enumerate(toks if hs else []):
-            if c.lower() in SAME_SHAPE and abs(abs(hs[k] - x) - abs(hs[k] - cap)) >= least_gap:
-                new[k] = c.upper() if abs(hs[k] - cap) < abs(hs[k] - x) else c.lower()
-        if new != toks:
-            out.append((i, "".join(new), "case-height"))
+    mask = np.asarray(mask, bool)
+    words = [mask[:, max(0, x0) : max(1, x1)] for x0, x1 in word_spans]
+    tall = [int(np.ptp(np.flatnonzero(w.any(axis=1)))) + 1 for w, t in zip(words, tokens, strict=True) if len(t) > 1 and w.any()]
+    x_height = 0.8 * float(np.median(tall)) if tall else 8.0
+    out = []
+    for i, (word, token) in enumerate(zip(words, tokens, strict=True)):
+        if len(token) == 1:
+            symbol = symbol_shape(word, x_height)
+            if symbol and symbol != token:
+                out.append((i, symbol, "symbol"))
+            continue
+        if token not in glyphs or not any(map(str.isalpha, token)):
+            continue
+        forms = [f for f in dict.fromkeys((token.upper(), token.lower(), token.capitalize())) if f != token and f in glyphs]
+        scores = [natural_iou(word, glyphs[f]) for f in forms]
+        if scores and max(scores) >= natural_iou(word, glyphs[token]) + margin:
+            out.append((i, forms[int(np.argmax(scores))], "case"))
     return out
 
 
-def accept_better(start: str, edits: list[tuple[str, str, str]], score) -> tuple[str, list[str]]:
-    """Edits (old, new, kind) from left to right: those by geometry always, the
-    others where the running text's score rises."""
-    text, taken = start, []
-    for old, new, kind in edits:
-        trial = text.replace(old, new, 1)
-        if trial != text and (kind in ("symbol", "case-height") or score(trial) > score(text) + 1e-6):
-            text = trial
-            taken.append(kind)
-    return text, taken
+def line_edits(ink: DataFrame, texts: DataFrame, glyphs: DataFrame | None = None, margin: float = 0.08) -> DataFrame:
+    """(image_id, nth, word, new, kind): what shapes and heights say of each
+    one-line image's reading, texts(image_id, text). ``glyphs`` (text, width,
+    height, path) are rendered words, as many as there are distinct forms of the
+    texts' tokens; they are joined to the lines that need them. Where a word has
+    both kinds of edits those by height stay."""
+    cols = [IMG, "nth", "word", "new", "kind"]
+
+    def run(key, pixels, lines):
+        import pandas as pd
+
+        rows = []
+        for line in lines.itertuples() if len(pixels) else ():
+            mask = _mask(pixels)
+            tokens = [t for t in (line.text or "").split(" ") if t]
+            spans = word_boxes(mask)
+            forms = {g["text"]: rasterise(subpaths(g["path"]), g["width"], g["height"], 1) for g in line.glyphs}
+            by_height = case_by_height(mask, spans, tokens)
+            claimed = {i for i, _, _ in by_height}
+            edits = [e for e in word_proposals(mask, spans, tokens, forms, margin) if e[0] not in claimed] + by_height
+            rows += [(int(key[0]), n, *e) for n, e in enumerate(edits)]
+        return pd.DataFrame(rows, columns=cols)
+
+    if glyphs is None:
+        lines = texts.select(IMG, "text").withColumn("glyphs", F.array().cast("array<struct<text:string,width:int,height:int,path:string>>"))
+    else:
+        token = F.explode(F.array_distinct(F.split("text", " +")))
+        forms = texts.select(IMG, token.alias("t")).select(IMG, F.explode(F.array_distinct(F.array("t", F.upper("t"), F.lower("t"), F.concat(F.upper(F.substring("t", 1, 1)), F.lower(F.expr("substring(t, 2)")))))).alias("text"))
+        had = forms.join(glyphs, "text").groupBy(IMG).agg(F.collect_list(F.struct("text", "width", "height", "path")).alias("glyphs"))
+        none = F.array().cast(had.schema["glyphs"].dataType)
+        lines = texts.select(IMG, "text").join(had, IMG, "left").withColumn("glyphs", F.coalesce("glyphs", none))
+    lines = lines.select(F.col(IMG).alias(IMG), "text", "glyphs")
+    return ink.select(IMG, "y", "x", "ink").groupBy(IMG).cogroup(lines.groupBy(IMG)).applyInPandas(run, f"{IMG} long, nth int, word int, new string, kind string")
+
+
+def word_ious(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(image_id, iou) of each image's two lines, ``word_aligned_iou``."""
+
+    def run(key, left, right):
+        import pandas as pd
+
+        iou = word_aligned_iou(_mask(left), _mask(right)) if len(left) and len(right) else None
+        return pd.DataFrame({IMG: [int(key[0])], "iou": pd.array([iou], "Float64")})
+
+    # New names for one side's columns: both may come of one relation.
+    left, right = ([F.col(c).alias(c) for c in (IMG, "y", "x", "ink")] for _ in "ab")
+    return a.select(*left).groupBy(IMG).cogroup(b.select(*right).groupBy(IMG)).applyInPandas(run, f"{IMG} long, iou double")
+
+
+def shape_groups(shapes: DataFrame, by: str, most_ratio: float = 0.25, most_l1: float = 0.20) -> DataFrame:
+    """(by, shape, grp): leader clustering of each group's shapes (ink, aspect,
+    profile), whose order decides."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("shape")
+        rows = [(r.ink, r.aspect, np.asarray(r.profile, float)) for r in pdf.itertuples()]
+        return pd.DataFrame({by: pdf[by], "shape": pdf["shape"], "grp": group_shapes(rows, most_ratio, most_l1)})
+
+    kind = shapes.schema[by].dataType.simpleString()
+    return shapes.select(by, "shape", "ink", "aspect", "profile").groupBy(by).applyInPandas(run, f"{by} {kind}, shape long, grp int")
+
 
+def resize(px: DataFrame, w: int, h: int) -> DataFrame:
+    """Every image resized to ``w`` by ``h`` (windowed sinc)."""
+
+    def run(pdf):
+        import pandas as pd
+
+        gray = np.full((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), 255, np.uint8)
+        gray[pdf.y.to_numpy(), pdf.x.to_numpy()] = pdf.gray.to_numpy()
+        out = lanczos(gray, w, h)
+        ys, xs = np.indices(out.shape)
+        return pd.DataFrame({IMG: int(pdf[IMG].iloc[0]), "y": ys.ravel().astype(np.int32), "x": xs.ravel().astype(np.int32), "gray": out.ravel().astype(np.int32)})
+
+    return px.select(IMG, "y", "x", "gray").groupBy(IMG).applyInPandas(run, f"{IMG} long, y int, x int, gray int")
+
+
+def best_shift(pairs: DataFrame, reach: int = 12, step: int = 3) -> DataFrame:
+    """Registration: the shift (dy, dx) of mask ``b`` that overlaps ``a`` best
+    and its IoU, first on a coarse grid of shifts, then within ``step`` of its
+    best one; the first wins ties and shifts wrap around. Only ink pixels leave
+    their tasks, and one image's masks are held at a time."""
+
+    def run(pdf):
+        import pandas as pd
 
-def orientation(votes: list[tuple[float, float]], margin: float = 0.02) -> int:
-    """0 or 180 from (upright, turned) scores of the fonts; 0 where the best of
-    both are within the margin."""
-    up, down = max((u for u, _ in votes), default=0.0), max((d for _, d in votes), default=0.0)
-    return 180 if down - up > margin else 0
+        a = np.zeros((int(pdf.h.iloc[0]), int(pdf.w.iloc[0])), bool)
+        b = a.copy()
+        ys, xs = pdf.y.to_numpy(), pdf.x.to_numpy()
+        a[ys, xs], b[ys, xs] = pdf.a.to_numpy(), pdf.b.to_numpy()
+        n, by, bx = int(a.sum()) + int(b.sum()), *np.nonzero(b)
+
+        def best(cy, cx, around, every):
+            grid = range(-around, around + 1, every)
+            found = None
+            for dy in (cy + i for i in grid):
+                for dx in (cx + j for j in grid):
+                    both = int(a[(by + dy) % a.shape[0], (bx + dx) % a.shape[1]].sum())
+                    iou = 100.0 * both / (n - both) if n > both else 100.0
+                    if found is None or iou > found[0]:
+                        found = (iou, dy, dx)
+            return found
+
+        _, cy, cx = best(0, 0, reach, step)
+        iou, dy, dx = best(cy, cx, step, 1)
+        return pd.DataFrame([(int(pdf[IMG].iloc[0]), dy, dx, iou)], columns=[IMG, "dy", "dx", "iou"])
+
+    size = pairs.groupBy(IMG).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.count_if(F.col("a") | F.col("b")).alias("n"))
+    # An image without ink keeps one row, so that it has a result too.
+    ink = pairs.join(size, IMG).where(F.col("a") | F.col("b") | ((F.col("n") == 0) & (F.col("x") == 0) & (F.col("y") == 0)))
+    return ink.select(IMG, "y", "x", "a", "b", "w", "h").groupBy(IMG).applyInPandas(run, f"{IMG} long, dy int, dx int, iou double")
+
+
+def paste(px: DataFrame, pages: DataFrame, items: DataFrame, ground: int = 255) -> DataFrame:
+    """Gray pages(page, w, h) with items(page, image_id, left, top) pasted on
+    them: every pixel of a page, ``ground`` where no item lies; of items that
+    overlap the last image's pixel stays, and what hangs over is cut off."""
+    put = items.join(px, IMG).select("page", IMG, (F.col("y") + F.col("top")).alias("y"), (F.col("x") + F.col("left")).alias("x"), "gray")
+    put = put.groupBy("page", "y", "x").agg(F.max_by("gray", IMG).alias("gray"))
+    grid = pages.select("page", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y")).select("page", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    return grid.join(put, ["page", "y", "x"], "left").select("page", "y", "x", F.coalesce("gray", F.lit(ground)).alias("gray"))

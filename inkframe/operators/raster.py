@@ -17,6 +17,18 @@ def binarise(px: DataFrame, threshold: int = 128, invert: bool = False) -> DataF
     return px.withColumn("ink", gray > threshold if invert else gray < threshold)
 
 
+def region_slice(px: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
+    """The pixels of a half-open box, counted from its corner."""
+    inside = (F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1)
+    return px.where(inside).withColumn("x", F.col("x") - x0).withColumn("y", F.col("y") - y0)
+
+
+def pixel_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """How many pixels of each image are in both relations."""
+    both = a.select(IMG, "y", "x").join(b.select(IMG, "y", "x"), [IMG, "y", "x"])
+    return both.groupBy(IMG).agg(F.count(F.lit(1)).alias("n_both"))
+
+
 def polarity_ink(px: DataFrame, threshold: int = 128) -> DataFrame:
     """Dark ink, turned round in images where it covers over half."""
     dark = F.col("gray") < threshold
@@ -166,27 +178,3 @@ def overlay(pairs: DataFrame) -> DataFrame:
     """Class of each pixel of two masks: both, source, render or none."""
     kind = F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "source").when(F.col("b"), "render").otherwise("none")
     return pairs.withColumn("overlay", kind)
-
-
-def best_shift(pairs: DataFrame, reach: int = 12, step: int = 3) -> DataFrame:
-    """Registration: the shift of mask ``b`` that overlaps ``a`` best, first on a
-    coarse grid of shifts, then within ``step`` of its best one. Shifts wrap
-    around. Only ink pixels are shifted: each meets the source's ink by an
-    equi-join on the moved place."""
-    size = pairs.groupBy(IMG).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.count_if("a").alias("na"), F.count_if("b").alias("nb"))
-    ink_a, ink_b = pairs.where("a").select(IMG, "y", "x"), pairs.where("b").select(IMG, F.col("y").alias("by"), F.col("x").alias("bx"))
-
-    def search(centre, around, by):
-        grid = F.sequence(F.lit(-around), F.lit(around), F.lit(by))
-        shifts = centre.withColumn("i", F.explode(grid)).withColumn("j", F.explode(grid))
-        shifts = shifts.select(IMG, "w", "h", "na", "nb", (F.col("cy") + F.col("i")).alias("dy"), (F.col("cx") + F.col("j")).alias("dx"))
-        moved = ink_b.join(shifts, IMG).select(IMG, "dy", "dx", F.pmod(F.col("by") + F.col("dy"), F.col("h")).alias("y"), F.pmod(F.col("bx") + F.col("dx"), F.col("w")).alias("x"))
-        both = moved.join(ink_a, [IMG, "y", "x"]).groupBy(IMG, "dy", "dx").agg(F.count(F.lit(1)).alias("n"))
-        met = shifts.join(both, [IMG, "dy", "dx"], "left").na.fill(0, ["n"])
-        iou = percent(F.col("n"), F.col("na") + F.col("nb") - F.col("n"))
-        met = met.withColumn("iou", iou).withColumn("nth", F.row_number().over(Window.partitionBy(IMG).orderBy(F.desc("iou"), "dy", "dx")))
-        return met.where("nth = 1").drop("nth", "n")
-
-    start = size.withColumn("cy", F.lit(0)).withColumn("cx", F.lit(0))
-    coarse = search(start, reach, step).select(IMG, "w", "h", "na", "nb", F.col("dy").alias("cy"), F.col("dx").alias("cx"))
-    return search(coarse, step, 1).select(IMG, "dy", "dx", "iou")

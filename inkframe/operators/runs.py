@@ -81,13 +81,16 @@ def column_profile(ink: DataFrame, n: int = 64) -> DataFrame:
 
 def grow_to_blank(loose: DataFrame, boxes: DataFrame, pad: int = 0) -> DataFrame:
     """Grows each box to the first blank line of the loose mask: up and down
-    within its columns, then left and right within its new rows."""
+    within its columns, then left and right within its new rows. A box meets the
+    ink by equal lines."""
     key = [IMG, "region"]
     size = loose.groupBy(IMG).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     b = boxes.select(*key, "x0", "y0", "x1", "y1").join(size, IMG)
+    ink = loose.where("ink").select(IMG, "y", "x")
 
     def side(b, pos, lo, hi, across, a0, a1, extent):
-        inked = b.join(loose.where("ink"), IMG).where((F.col(across) >= F.col(a0)) & (F.col(across) < F.col(a1))).select(*key, pos).distinct()
+        over = b.select(*key, F.explode(F.sequence(F.col(a0), F.col(a1) - 1)).alias(across))
+        inked = over.join(ink, [IMG, across]).select(*key, pos).distinct()
         blank = b.select(*key, lo, hi, F.explode(F.sequence(F.lit(0), F.col(extent) - 1)).alias(pos)).join(inked, [*key, pos], "left_anti")
         ends = blank.groupBy(*key).agg((F.max(F.when(F.col(pos) < F.col(lo), F.col(pos))) + 1).alias("n0"), F.min(F.when(F.col(pos) >= F.col(hi), F.col(pos))).alias("n1"))
         b = b.join(ends, key, "left").withColumn(lo, F.greatest(F.lit(0), F.coalesce("n0", F.lit(0)) - pad))
@@ -98,16 +101,21 @@ def grow_to_blank(loose: DataFrame, boxes: DataFrame, pad: int = 0) -> DataFrame
     return b.select(*key, "x0", "y0", "x1", "y1")
 
 
-def region_kind(w_mm: Column, h_mm: Column) -> Column:
-    """TEXT under 6 mm high; MARK under 60 by 40 mm; else ART."""
-    return F.when(h_mm < 6, "TEXT").when((w_mm < 60) & (h_mm < 40), "MARK").otherwise("ART")
+def region_kind(w_mm: Column, h_mm: Column, band: Column | None = None, invert: Column | None = None) -> Column:
+    """BAND for bands, INK for inverted regions, then TEXT under 6 mm high, MARK
+    under 60 by 40 mm, else ART."""
+    kind = F.when(h_mm < 6, "TEXT").when((w_mm < 60) & (h_mm < 40), "MARK").otherwise("ART")
+    none = F.lit(False)
+    return F.when(none if band is None else band, "BAND").when(none if invert is None else invert, "INK").otherwise(kind)
 
 
 def name_regions(regions: DataFrame) -> DataFrame:
-    """Bands first, then from top and left; a two-digit counter to each kind."""
-    order = [F.when(F.col("kind") == "BAND", 0).otherwise(1), "y0", "x0", "x1", "y1"]
-    w = Window.partitionBy(IMG, "kind").orderBy(*order)
-    return regions.withColumn("name", F.format_string("%s%02d", F.lower("kind"), F.row_number().over(w)))
+    """Names of a two-digit counter to each kind, from the top and left; what is
+    traced of a band has a name and kind of its own."""
+    w = Window.partitionBy(IMG, "kind").orderBy("y0", "x0", "x1", "y1")
+    out = regions.withColumn("name", F.format_string("%s%02d", F.lower("kind"), F.row_number().over(w)))
+    band = F.col("kind") == "BAND"
+    return out.withColumn("trace_name", F.when(band, F.concat("name", F.lit("_ink"))).otherwise(F.col("name"))).withColumn("trace_kind", F.when(band, "INK").otherwise(F.col("kind")))
 
 
 def auto_partition(
@@ -144,7 +152,8 @@ def auto_partition(
     rows = row_medians(px).join(bands, IMG).where((F.col("y") >= F.col("b0")) & (F.col("y") < F.col("b1")))
     rows = rows.withColumn("dark", F.col("median_gray") < band_median)
     stretches = runs(rows, "y", F.lit(True), (IMG, "b0", "dark"))
-    across = stretches.join(raw.where("ink"), IMG).where((F.col("y") >= F.col("start")) & (F.col("y") < F.col("end")))
+    by_row = lambda s: s.withColumn("y", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    across = by_row(stretches).join(raw.where("ink").select(IMG, "y", "x"), [IMG, "y"])
     across = across.groupBy(IMG, "start", "end").agg(F.count_distinct("x").alias("n_cols"), F.min("x").alias("r0"), (F.max("x") + 1).alias("r1"))
     stretches = stretches.join(size, IMG).join(across, [IMG, "start", "end"], "left").withColumn("len", F.col("end") - F.col("start"))
     is_band = F.col("dark") & (F.col("len") >= band_rows) & F.coalesce(F.col("n_cols") == F.col("w"), F.lit(False))
@@ -152,7 +161,7 @@ def auto_partition(
     solid = stretches.where("is_band").select(IMG, F.lit("BAND").alias("kind"), F.lit(True).alias("inverted"), F.col("r0").cast("int").alias("x0"), F.col("start").alias("y0"), F.col("r1").cast("int").alias("x1"), F.col("end").alias("y1"))
 
     content = stretches.where((~F.col("is_band")) & (F.col("len") >= least)).select(IMG, "start", "end", "w")
-    inked = content.join(ink.where("ink"), IMG).where((F.col("y") >= F.col("start")) & (F.col("y") < F.col("end")))
+    inked = by_row(content).join(ink.where("ink").select(IMG, "y", "x"), [IMG, "y"])
     sums = inked.groupBy(IMG, "start", "end", "w", "x").agg(F.count(F.lit(1)).alias("n_ink")).where(F.col("n_ink") >= min_ink)
     sums = sums.select(IMG, F.col("start").alias("c0"), F.col("end").alias("c1"), "w", "x")
     by = (IMG, "c0", "c1", "w")
@@ -169,19 +178,35 @@ def auto_partition(
 def layer_index(layers: DataFrame, order: list) -> DataFrame:
     """``name`` with a two-digit index in front unless it has one."""
     n = F.row_number().over(Window.partitionBy("page_no").orderBy(*order))
-    has = F.col("layer").rlike(r"^\d{2}_")
+    has = F.col("layer").rlike(r"^\d+_")
     return layers.withColumn("name", F.when(has, F.col("layer")).otherwise(F.format_string("%02d_%s", n, F.col("layer"))))
 
 
-def unique_names(rows: DataFrame, by: list[str], order: list) -> DataFrame:
-    """Repeats of a name get _2, _3 and so on."""
-    n = F.row_number().over(Window.partitionBy(*by, "base").orderBy(*order))
-    return rows.withColumn("name", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), n.cast("string"))))
+def unique_names(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Repeats of a name get _2, _3 and so on, the first that is still free. Names
+    can collide only within a stem (the name without numbers at its end), so
+    each stem's names are given in turn."""
+    key, columns = [*by, "__stem"], rows.columns
+    stemmed = rows.withColumn("__stem", F.regexp_replace("base", r"(_\d+)+$", ""))
 
+    def run(pdf):
+        used, names = set(), []
+        pdf = pdf.sort_values(order, kind="stable")
+        for base in pdf["base"]:
+            name, n = base, 2
+            while name in used:
+                name, n = f"{base}_{n}", n + 1
+            used.add(name)
+            names.append(name)
+        return pdf.assign(name=names)[[*columns, "name"]]
 
-def glyph_heights(ink: DataFrame, segments: DataFrame) -> DataFrame:
-    """Height of the ink within each column run."""
-    s = segments.join(ink.where("ink"), IMG).where((F.col("x") >= F.col("start")) & (F.col("x") < F.col("end")))
-    return s.groupBy(IMG, "start", "end").agg((F.max("y") - F.min("y") + 1).alias("height"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", name string"
+    return stemmed.groupBy(*key).applyInPandas(run, schema)
 
 
+def glyph_heights(ink: DataFrame, segments: DataFrame) -> DataFrame:
+    """Height of the ink within each column run: columns are summed up first and
+    meet the runs by equal columns."""
+    cols = ink.where("ink").groupBy(IMG, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    s = segments.select(IMG, "start", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("x")).join(cols, [IMG, "x"])
+    return s.groupBy(IMG, "start", "end").agg((F.max("hi") - F.min("lo") + 1).alias("height"))

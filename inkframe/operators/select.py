@@ -26,12 +26,19 @@ def threshold_shortlist(area: Column, thresholds: Column, most_px: int = 200_000
     return F.when((area > most_px) & (n > 3), few).otherwise(thresholds)
 
 
-def trial_grid(regions: DataFrame, upscale=(4, 8), turd=(2, 3), thresholds=(112, 118, 128, 138, 148, 160, 172), alpha=(0.8, 1.0), tolerance=(0.1,)) -> DataFrame:
-    """Every region with every setting: the fixed grid is exploded, not joined."""
+def trial_grid(regions: DataFrame, upscale=(4, 8), turd=(2, 3), thresholds=(112, 128, 139, 148, 160, 172, 184), alpha=(0.8, 1.0), tolerance=(0.1,)) -> DataFrame:
+    """Every region with every setting: the fixed grid is exploded, not joined.
+    ``turd`` is in the source's pixels, ``turd_px`` in the upscaled mask's."""
     out = regions
     for name, values in (("upscale", upscale), ("turd", turd), ("threshold", thresholds), ("alpha", alpha), ("tolerance", tolerance)):
         out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return out
+    return out.withColumn("turd_px", F.greatest(F.lit(1), F.col("turd") * F.col("upscale") * F.col("upscale")))
+
+
+def region_thresholds(regions: DataFrame, thresholds=(112, 128, 139, 148, 160, 172, 184), area: Column | None = None, most_px: int = 200_000) -> DataFrame:
+    """Every region with every threshold; with ``area`` large ones with the shortlist."""
+    every = F.array(*map(F.lit, thresholds))
+    return regions.withColumn("threshold", F.explode(every if area is None else threshold_shortlist(area, every, most_px)))
 
 
 def shape_score(iou: Column, width_ratio: Column) -> Column:
@@ -149,11 +156,16 @@ def symbol_of(w: Column, h: Column, ink: Column, x_height: Column) -> Column:
     )
 
 
-def text_fonts(texts: DataFrame, fonts: DataFrame) -> DataFrame:
-    """Every text with every font. The font catalogue of a machine is some
-    hundreds of names: they travel as one array and are exploded."""
-    names = sorted(r.font for r in fonts.select("font").distinct().collect())
-    return texts.withColumn("font", F.explode(F.array(*map(F.lit, names))))
+def text_fonts(texts: DataFrame, fonts: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every text with every font. A machine's font catalogue is some hundreds of
+    names; up to ``most`` travel as one array, more are a broadcast-free join."""
+    names = fonts.select("font").distinct()
+    first = names.limit(most + 1).collect()
+    if len(first) <= most:
+        return texts.withColumn("font", F.explode(F.array(*map(F.lit, sorted(r.font for r in first)))))
+    share = F.pmod(F.xxhash64("font"), F.lit(256))
+    dealt = texts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(255)).cast("array<bigint>")))
+    return dealt.join(names.withColumn("__part", share), "__part").drop("__part")
 
 
 def zip_words(rows: DataFrame, words: str, tokens: str) -> DataFrame:
@@ -171,3 +183,65 @@ def letter_heights(glyphs: DataFrame, by: list[str], low: str, high: str, least:
     )
     ok = (F.col("n_low") >= least) & (F.col("n_high") >= least) & (F.col("cap") - F.col("x") >= gap)
     return m.select(*by, F.when(ok, F.col("x")).alias("x_height"), F.when(ok, F.col("cap")).alias("cap_height"))
+
+
+def has_text(text: Column) -> Column:
+    """Whether a reading holds a letter or digit; else it is a symbol."""
+    return text.rlike(r"[\p{L}\p{N}]")
+
+
+def suspect(upright: Column, turned: Column, least: Column | float = 0.30) -> Column:
+    """Whether a reading's rendering fits its ink in neither direction: it is
+    marked, not dropped."""
+    return F.greatest(upright, turned) < least
+
+
+def reading_support(reports: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
+    """How many of a region's reports read anything, and how many as many
+    characters as the wanted text (``by``, chars)."""
+    r = reports.join(wanted.select(*by, F.col("chars").alias("__want")), by)
+    return r.groupBy(*by).agg(F.count_if(F.length(F.trim("text")) > 0).alias("n_readable"), F.count_if(F.col("chars") == F.col("__want")).alias("n_agree"))
+
+
+def font_consensus(members: DataFrame, by: list[str]) -> DataFrame:
+    """What each font's rows (a member of the group each) say together: mean and
+    least IoU, mean width ratio and the score of both."""
+    m = members.groupBy(*by, "font").agg(F.avg("iou").alias("mean_iou"), F.min("iou").alias("min_iou"), F.avg("width_ratio").alias("mean_ratio"), F.count(F.lit(1)).alias("n_members"))
+    return m.withColumn("score", shape_score(F.col("mean_iou"), F.col("mean_ratio")))
+
+
+def orientation(votes: DataFrame, by: list[str], margin: float = 0.02) -> DataFrame:
+    """Which way each detection stands: the fonts' best IoU upright and turned,
+    to four digits; 0 where they are within ``margin``."""
+    v = votes.groupBy(*by).agg(F.bround(F.max("upright"), 4).alias("iou0"), F.bround(F.max("turned"), 4).alias("iou180"))
+    clear = F.bround(F.abs(F.col("iou0") - F.col("iou180")), 4) >= margin
+    return v.withColumn("rot", F.when(clear & (F.col("iou180") > F.col("iou0")), 180).otherwise(0))
+
+
+def accept_edits(lines: DataFrame) -> DataFrame:
+    """Folds each line's ``edits`` (an array of STRUCT<word, new, kind>, in order)
+    into its ``text``: edits by geometry always, others where the running text's
+    score rises by over 1e-6. ``scores`` maps texts to scores; a text without one
+    scores 0. Appends ``final`` and ``taken``, the numbers of the edits taken."""
+    geometry = ("symbol", "case-height")
+    score = lambda t: F.coalesce(F.try_element_at("scores", t), F.lit(0.0))
+
+    def step(state, e):
+        tokens = F.split(state["text"], " ")
+        changed = F.array_join(F.transform(tokens, lambda t, i: F.when(i == e["word"], e["new"]).otherwise(t)), " ")
+        there = e["word"] < F.size(tokens)
+        take = there & (e["kind"].isin(*geometry) | (score(changed) > score(state["text"]) + 1e-6))
+        return F.struct(
+            F.when(take, changed).otherwise(state["text"]).alias("text"),
+            F.when(take, F.concat(state["taken"], F.array(state["n"]))).otherwise(state["taken"]).alias("taken"),
+            (state["n"] + 1).alias("n"),
+        )
+
+    start = F.struct(F.col("text").alias("text"), F.array().cast("array<int>").alias("taken"), F.lit(0).alias("n"))
+    folded = lines.withColumn("__fold", F.aggregate("edits", start, step))
+    return folded.withColumn("final", F.col("__fold")["text"]).withColumn("taken", F.col("__fold")["taken"]).drop("__fold")
+
+
+def without_overridden(edits: DataFrame, geometry: DataFrame, by: list[str]) -> DataFrame:
+    """Edits of words that geometry has none for, and those of geometry."""
+    return edits.join(geometry.select(*by), by, "left_anti").unionByName(geometry)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkframe.operators import boxes as B
+from inkframe.operators import kernels as K
 from inkframe.operators import raster as R
 from inkframe.operators import runs as W
 from inkframe.sources import views as V
@@ -46,8 +47,7 @@ def _(s, d):
 
 @query("C3_region_slice", "px", "SELECT image_id, y - 10 AS y, x - 16 AS x, gray FROM px WHERE y >= 10 AND y < 40 AND x >= 16 AND x < 48")
 def _(s, d):
-    px = V.px_emb(s, d).where("y >= 10 and y < 40 and x >= 16 and x < 48")
-    return px.select("image_id", (F.col("y") - 10).alias("y"), (F.col("x") - 16).alias("x"), "gray")
+    return R.region_slice(V.px_emb(s, d), 16, 10, 48, 40).select("image_id", "y", "x", "gray")
 
 
 @query("C5_coverage", "px", "SELECT image_id, y, round(avg(greatest(0.0, least(1.0, (255 - gray) / CAST(175 AS DOUBLE)))), 6) AS coverage FROM px GROUP BY ALL")
@@ -191,7 +191,7 @@ def _(s, d):
 @query("J13_pixel_join", "px", "+ a AS (SELECT image_id, y, x FROM px WHERE gray < 128), b AS (SELECT image_id, y, x FROM px WHERE gray > 100) SELECT image_id, count(*) AS n_both FROM a JOIN b USING (image_id, y, x) GROUP BY 1")
 def _(s, d):
     px = V.px_emb(s, d)
-    return px.where("gray < 128").select("image_id", "y", "x").join(px.where("gray > 100").select("image_id", "y", "x"), ["image_id", "y", "x"]).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_both"))
+    return R.pixel_overlap(px.where("gray < 128"), px.where("gray > 100"))
 
 
 @query("T9_registration", "px", """+ a AS (SELECT image_id, y, x FROM px WHERE gray < 100), b AS (SELECT image_id, (y + 2) % h AS y, (x + 5) % w AS x FROM a JOIN (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY 1) USING (image_id)),
@@ -208,7 +208,7 @@ def _(s, d):
     size = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     moved = px.join(size, "image_id").select("image_id", ((F.col("y") + 2) % F.col("h")).alias("y"), ((F.col("x") + 5) % F.col("w")).alias("x"), (F.col("gray") < 100).alias("b"))
     pairs = px.select("image_id", "y", "x", (F.col("gray") < 100).alias("a")).join(moved, ["image_id", "y", "x"])
-    return R.best_shift(pairs).select("image_id", F.col("dy").cast("long").alias("dy"), F.col("dx").cast("long").alias("dx"), F.round("iou", 6).alias("iou"))
+    return K.best_shift(pairs).select("image_id", F.col("dy").cast("long").alias("dy"), F.col("dx").cast("long").alias("dx"), F.round("iou", 6).alias("iou"))
 
 
 # --- runs and segments --------------------------------------------------------
@@ -300,17 +300,49 @@ def _(s, d):
     return W.glyph_heights(ink, W.runs(R.line_sums(ink, "x"), "x", F.col("n_ink") >= 10))
 
 
-@query("W6_auto_partition")
+def _grown(src: str, pos: str, lo: str, hi: str, across: str, a0: str, a1: str, extent: str, out: str) -> str:
+    """Boxes of ``src`` grown along ``pos`` to the first line without loose ink."""
+    return f""", {out}_ink AS (SELECT DISTINCT b.image_id, b.c0, b.s0, l.{pos} AS i FROM {src} b JOIN loose l ON l.image_id = b.image_id AND l.{across} >= b.{a0} AND l.{across} < b.{a1}),
+{out}_end AS (SELECT b.image_id, b.c0, b.s0, max(t.i) FILTER (t.i < b.{lo}) + 1 AS n0, min(t.i) FILTER (t.i >= b.{hi}) AS n1 FROM {src} b JOIN size z USING (image_id) JOIN range(0, 100) t(i) ON t.i < z.{extent}
+  WHERE NOT EXISTS (SELECT 1 FROM {out}_ink k WHERE k.image_id = b.image_id AND k.c0 = b.c0 AND k.s0 = b.s0 AND k.i = t.i) GROUP BY ALL),
+{out} AS (SELECT b.* REPLACE (greatest(0, coalesce(n0, 0)) AS {lo}, least(z.{extent}, coalesce(n1, z.{extent})) AS {hi}) FROM {src} b JOIN size z USING (image_id) LEFT JOIN {out}_end e ON e.image_id = b.image_id AND e.c0 = b.c0 AND e.s0 = b.s0)"""
+
+
+_PARTITION = (
+    _STRIP.split("\nSELECT image_id, l AS")[0].replace("gray < 120", "gray < 90").replace("0.45", "0.9")
+    + """, size AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY 1),
+keep AS (SELECT k.image_id, l AS x0, ra AS x1, coalesce(t, 0) AS y0, z.h - coalesce(rc.h - greatest(t, ba), 0) AS y1 FROM k JOIN size z USING (image_id) LEFT JOIN rc USING (image_id)),
+inner_px AS (SELECT px.* FROM px JOIN keep USING (image_id) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1),
+mask AS (SELECT image_id, y, x FROM inner_px WHERE gray < 90), loose AS (SELECT image_id, y, x FROM inner_px WHERE gray < 110),
+ln AS (SELECT image_id, y, count(*) AS n FROM mask GROUP BY ALL HAVING count(*) >= 2),
+lr AS (SELECT image_id, min(y) AS s, max(y) + 1 AS e FROM (SELECT *, y - row_number() OVER (PARTITION BY image_id ORDER BY y) AS g FROM ln) GROUP BY image_id, g),
+lb AS (SELECT image_id, min(s) AS b0, max(e) AS b1 FROM (SELECT *, sum(far) OVER (PARTITION BY image_id ORDER BY s) AS g FROM (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY image_id ORDER BY s) >= 2 THEN 1 ELSE 0 END AS far FROM lr)) GROUP BY image_id, g HAVING max(e) - min(s) >= 2),
+md AS (SELECT image_id, y, median(gray) < 128 AS dark FROM px GROUP BY ALL),
+st AS (SELECT image_id, b0, dark, min(y) AS s, max(y) + 1 AS e FROM (SELECT image_id, b0, dark, y, y - row_number() OVER (PARTITION BY image_id, b0, dark ORDER BY y) AS g FROM md JOIN lb USING (image_id) WHERE y >= b0 AND y < b1) GROUP BY image_id, b0, dark, g),
+ac AS (SELECT st.image_id, s, e, count(DISTINCT x) AS n, min(x) AS r0, max(x) + 1 AS r1 FROM st JOIN px ON px.image_id = st.image_id AND y >= s AND y < e AND gray < 90 GROUP BY ALL),
+sb AS (SELECT st.*, w, r0, r1, dark AND st.e - st.s >= 10 AND coalesce(n = w, false) AS band FROM st JOIN size USING (image_id) LEFT JOIN ac ON ac.image_id = st.image_id AND ac.s = st.s AND ac.e = st.e),
+cs AS (SELECT image_id, s AS c0, e AS c1, w FROM sb WHERE NOT band AND e - s >= 2),
+cc AS (SELECT cs.image_id, c0, c1, w, x FROM cs JOIN mask ON mask.image_id = cs.image_id AND y >= c0 AND y < c1 GROUP BY ALL HAVING count(*) >= 2),
+cr AS (SELECT image_id, c0, c1, w, min(x) AS s, max(x) + 1 AS e FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, c0, c1 ORDER BY x) AS g FROM cc) GROUP BY image_id, c0, c1, w, g),
+cb AS (SELECT image_id, c0, min(s) AS s0, min(s) AS x0, c0 AS y0, max(e) AS x1, c1 AS y1 FROM (SELECT *, sum(far) OVER (PARTITION BY image_id, c0 ORDER BY s) AS g FROM (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY image_id, c0 ORDER BY s) >= greatest(3, CAST(round_even(w * 0.05, 0) AS INT)) THEN 1 ELSE 0 END AS far FROM cr)) GROUP BY image_id, c0, c1, g HAVING max(e) - min(s) >= 2)"""
+    + _grown("cb", "y", "y0", "y1", "x", "x0", "x1", "h", "gy")
+    + _grown("gy", "x", "x0", "x1", "y", "y0", "y1", "w", "gx")
+    + """ SELECT image_id, 'BAND' AS kind, true AS inverted, r0 AS x0, s AS y0, r1 AS x1, e AS y1 FROM sb WHERE band UNION ALL SELECT image_id, 'CONTENT', false, x0, y0, x1, y1 FROM gx"""
+)
+
+
+@query("W6_auto_partition", "px", _PARTITION)
 def _(s, d):
     return W.auto_partition(V.px_emb(s, d), edge_gray=110, threshold=90, min_ink=2, gap=2, least=2)
 
 
 def _regions(s, d):
-    b = V.box_li(s, d)
-    return b.select("image_id", "seq", "part", *B.BOX, W.region_kind((F.col("x1") - F.col("x0")) * 3.0, (F.col("y1") - F.col("y0")) * 0.45).alias("kind"))
+    b, mm = V.box_li(s, d), {"w": (F.col("x1") - F.col("x0")) * 3.0, "h": (F.col("y1") - F.col("y0")) * 0.45}
+    kind = W.region_kind(mm["w"], mm["h"], band=F.col("part") % 9 == 0, invert=F.col("part") % 5 == 0)
+    return b.select("image_id", "seq", "part", *B.BOX, kind.alias("kind"))
 
 
-KIND = "CASE WHEN (y1 - y0) * 0.45 < 6 THEN 'TEXT' WHEN (x1 - x0) * 3.0 < 60 AND (y1 - y0) * 0.45 < 40 THEN 'MARK' ELSE 'ART' END"
+KIND = "CASE WHEN part % 9 = 0 THEN 'BAND' WHEN part % 5 = 0 THEN 'INK' WHEN (y1 - y0) * 0.45 < 6 THEN 'TEXT' WHEN (x1 - x0) * 3.0 < 60 AND (y1 - y0) * 0.45 < 40 THEN 'MARK' ELSE 'ART' END"
 
 
 @query("C9_region_kind", "box", f"SELECT image_id, seq, part, {KIND} AS kind FROM box")
@@ -318,10 +350,11 @@ def _(s, d):
     return _regions(s, d).select("image_id", "seq", "part", "kind")
 
 
-@query("W7_region_names", "box", f"""+ k AS (SELECT *, {KIND} AS kind FROM box), n AS (SELECT *, row_number() OVER (PARTITION BY image_id, kind ORDER BY y0, x0, x1, y1) AS n FROM k)
-SELECT image_id, lower(kind) || lpad(CAST(n AS VARCHAR), 2, '0') AS name, x0, y0, x1, y1 FROM n""")
+@query("W7_region_names", "box", f"""+ k AS (SELECT *, {KIND} AS kind FROM box), n AS (SELECT *, row_number() OVER (PARTITION BY image_id, kind ORDER BY y0, x0, x1, y1) AS n FROM k),
+m AS (SELECT *, lower(kind) || lpad(CAST(n AS VARCHAR), 2, '0') AS name FROM n)
+SELECT image_id, name, x0, y0, x1, y1, CASE WHEN kind = 'BAND' THEN name || '_ink' ELSE name END AS trace_name, CASE WHEN kind = 'BAND' THEN 'INK' ELSE kind END AS trace_kind FROM m""")
 def _(s, d):
-    return W.name_regions(_regions(s, d)).select("image_id", "name", *B.BOX)
+    return W.name_regions(_regions(s, d)).select("image_id", "name", *B.BOX, "trace_name", "trace_kind")
 
 
 @query("W12_layer_index", "shape", """+ l AS (SELECT DISTINCT doc, page_no, layer_no, layer FROM shape WHERE doc = 'source')

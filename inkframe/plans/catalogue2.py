@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkframe.functions import parsers as P
 from inkframe.operators import boxes as B
 from inkframe.operators import colour as C
 from inkframe.operators import doctree as D
 from inkframe.operators import kernels as K
 from inkframe.operators import raster as R
+from inkframe.operators import runs as W
 from inkframe.operators import select as S
+from inkframe.operators import trace as T
 from inkframe.plans.catalogue import query
 from inkframe.sources import sinks as KS
 from inkframe.sources import views as V
@@ -70,19 +73,39 @@ def _(s, d):
 
 @query("A5_palette_check", "rgb", FROM_WHITE + """, n AS (SELECT image_id, label, r, g, b, count(*) AS n FROM lab WHERE label >= 0 GROUP BY ALL),
 t AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY n DESC, r, g, b) AS k FROM n),
-m AS (SELECT image_id, label, r, g, b, n, greatest(abs(r - CASE label WHEN 0 THEN 198 ELSE 26 END), abs(g - CASE label WHEN 0 THEN 47 ELSE 24 END), abs(b - CASE label WHEN 0 THEN 124 ELSE 25 END)) AS max_diff FROM t WHERE k = 1)
+m AS (SELECT image_id, label, r, g, b, n, greatest(abs(r - CASE label WHEN 0 THEN 190 ELSE 30 END), abs(g - CASE label WHEN 0 THEN 60 ELSE 28 END), abs(b - CASE label WHEN 0 THEN 110 ELSE 35 END)) AS max_diff FROM t WHERE k = 1)
 SELECT *, max_diff <= 12 AS ok FROM m""")
 def _(s, d):
     return C.palette_check(_labelled(s, d), list(V.INKS))
 
 
-@query("A3_band_colour", "rgb", "+ d AS (SELECT image_id, y, r, g, b, avg((r + g + b) / 3.0) < 128 AS dark FROM rgb GROUP BY ALL) SELECT image_id, CAST(round_even(median(r), 0) AS BIGINT) AS r, CAST(round_even(median(g), 0) AS BIGINT) AS g, CAST(round_even(median(b), 0) AS BIGINT) AS b FROM (SELECT * FROM rgb WHERE r + g + b < 384) GROUP BY 1")
+@query("A3_band_colour", "rgb", """+ d AS (SELECT *, image_id * 25 + y AS band, r + g + b < 384 AS dark FROM rgb), k AS (SELECT band, bool_or(dark) AS any_dark FROM d GROUP BY 1)
+SELECT band, CAST(round_even(median(r), 0) AS BIGINT) AS r, CAST(round_even(median(g), 0) AS BIGINT) AS g, CAST(round_even(median(b), 0) AS BIGINT) AS b FROM d JOIN k USING (band) WHERE dark OR NOT any_dark GROUP BY 1""")
 def _(s, d):
-    dark = V.px_evt(s, d).where("r + g + b < 384")
-    return dark.groupBy("image_id").agg(*[F.bround(F.median(c)).cast("long").alias(c) for c in "rgb"])
+    px = V.px_evt(s, d).withColumn("band", F.col("image_id") * 25 + F.col("y"))
+    return C.band_colour(px, ("band",), 128)
 
 
-@query("A7_detect_palette")
+def _cones(rounds: int) -> str:
+    """The greedy rule, a round at a time: the farthest colour left, its cone, and
+    whether the cone or its tip alone leaves."""
+    parts = ["""+ h AS (SELECT image_id, r, g, b, count(*) AS n FROM rgb GROUP BY ALL),
+bg AS (SELECT image_id, arg_max(struct_pack(r := r, g := g, b := b), struct_pack(n := n, r := -r, g := -g, b := -b)) AS c FROM h GROUP BY 1),
+f AS (SELECT h.*, r - c.r AS x, g - c.g AS y, b - c.b AS z FROM h JOIN bg USING (image_id)),
+t AS (SELECT *, sqrt(CAST(x * x + y * y + z * z AS DOUBLE)) AS dist FROM f),
+m AS (SELECT *, max(dist) OVER (PARTITION BY image_id) AS far FROM t),
+l0 AS (SELECT image_id, r, g, b, n, dist, x / dist AS x, y / dist AS y, z / dist AS z, greatest(1, floor(sum(n) OVER (PARTITION BY image_id) * 0.01)) AS need FROM m WHERE dist > 0 AND dist >= 0.05 * far AND n >= 15)"""]
+    for k in range(rounds):
+        parts.append(f"""tip{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY dist DESC, r, g, b) AS q FROM l{k}) WHERE q = 1),
+in{k} AS (SELECT l.*, t.dist AS top, l.x * t.x + l.y * t.y + l.z * t.z > 0.995 AS inside, l.r = t.r AND l.g = t.g AND l.b = t.b AS tip FROM l{k} l JOIN tip{k} t USING (image_id)),
+mass{k} AS (SELECT image_id, sum(n) AS mass, sum(n) >= any_value(need) AS ok FROM in{k} WHERE inside GROUP BY 1),
+ink{k} AS (SELECT image_id, r, g, b, mass, {k} AS round FROM (SELECT i.*, mass, ok, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS q FROM in{k} i JOIN mass{k} USING (image_id) WHERE inside AND dist >= 0.85 * top) WHERE q = 1 AND ok),
+l{k + 1} AS (SELECT i.image_id, r, g, b, n, dist, x, y, z, need FROM in{k} i JOIN mass{k} USING (image_id) WHERE CASE WHEN ok THEN NOT inside ELSE NOT tip END)""")
+    inks = " UNION ALL ".join(f"SELECT * FROM ink{k}" for k in range(rounds))
+    return ",\n".join(parts) + f" SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY round) - 1 AS INT) AS ink, r, g, b, CAST(mass AS BIGINT) AS n FROM ({inks})"
+
+
+@query("A7_detect_palette", "rgb", _cones(12))
 def _(s, d):
     return C.detect_palette(V.px_evt(s, d))
 
@@ -117,17 +140,41 @@ def _(s, d):
     return pairs.select("image_id", "a_seq", "a_part", "b_seq", "b_part", F.round("iou", 6).alias("iou"))
 
 
-@query("J2_suppression")
+def _greedy(most: str) -> str:
+    """Boxes in order of score, taken or not one after another: the kept ones of
+    each image travel as a list."""
+    hit = f"list_filter(kept, lambda k: greatest(0.0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0.0, least(k.y1, o.y1) - greatest(k.y0, o.y0)) > {most} * ((k.x1 - k.x0) * (k.y1 - k.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) - greatest(0.0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0.0, least(k.y1, o.y1) - greatest(k.y0, o.y0))))"
+    row = "struct_pack(seq := o.seq, part := o.part, x0 := o.x0, y0 := o.y0, x1 := o.x1, y1 := o.y1, score := o.score)"
+    return f"""+ o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, seq, part) AS nth FROM box),
+g AS (WITH RECURSIVE r(image_id, nth, kept, joined, into_nth) AS (
+SELECT image_id, nth, [{row}], CAST(NULL AS INT), CAST(NULL AS INT) FROM o WHERE nth = 1
+UNION ALL SELECT r.image_id, o.nth, CASE WHEN len({hit}) = 0 THEN list_append(kept, {row}) ELSE kept END, CASE WHEN len({hit}) > 0 THEN o.seq END, CASE WHEN len({hit}) > 0 THEN list_position(kept, {hit}[1]) END
+FROM r JOIN o ON o.image_id = r.image_id AND o.nth = r.nth + 1) SELECT * FROM r),
+last AS (SELECT image_id, kept FROM g QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY nth DESC) = 1),
+flat AS (SELECT image_id, generate_subscripts(kept, 1) AS k, unnest(kept) AS b FROM last)"""
+
+
+@query("J2_suppression", "box", _greedy("0.5") + " SELECT image_id, b.seq AS seq, b.part AS part, b.score AS score FROM flat")
 def _(s, d):
     return B.merge_detections(V.box_li(s, d), 0.5).select("image_id", "seq", "part", "score")
 
 
-@query("J3_merged_detections")
+@query("J3_merged_detections", "box", _greedy("0.3") + """, al AS (SELECT image_id, into_nth, list(joined ORDER BY nth) AS also FROM g WHERE joined IS NOT NULL GROUP BY ALL)
+SELECT flat.image_id, b.seq AS seq, b.part AS part, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1, b.score AS score, coalesce(also, []) AS also FROM flat LEFT JOIN al ON al.image_id = flat.image_id AND al.into_nth = flat.k""")
 def _(s, d):
     return B.merge_detections(V.box_li(s, d), 0.3)
 
 
-@query("J4_rotated_hits")
+_OVER = "list_filter(kept, lambda k: greatest(0.0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0.0, least(k.y1, o.y1) - greatest(k.y0, o.y0)) > 0.3 * ((k.x1 - k.x0) * (k.y1 - k.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) - greatest(0.0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0.0, least(k.y1, o.y1) - greatest(k.y0, o.y0))))"
+
+
+@query("J4_rotated_hits", "box", f"""+ t AS (SELECT image_id, seq, part, 80 - x1 AS x0, 80 - y1 AS y0, 80 - x0 AS x1, 80 - y0 AS y1, score FROM box),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, seq, part) AS nth FROM t),
+g AS (WITH RECURSIVE r(image_id, nth, kept, taken) AS (
+SELECT image_id, 0, list(struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1)), CAST([] AS BIGINT[]) FROM box GROUP BY 1
+UNION ALL SELECT r.image_id, r.nth + 1, CASE WHEN len({_OVER}) = 0 THEN list_append(kept, struct_pack(x0 := o.x0, y0 := o.y0, x1 := o.x1, y1 := o.y1)) ELSE kept END, CASE WHEN len({_OVER}) = 0 THEN list_append(taken, o.nth) ELSE taken END
+FROM r JOIN o ON o.image_id = r.image_id AND o.nth = r.nth + 1) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY nth DESC) = 1)
+SELECT image_id, seq, part, x0, y0, x1, y1, score, 0 AS rot FROM box UNION ALL SELECT o.image_id, seq, part, x0, y0, x1, y1, score, 180 FROM o JOIN g ON g.image_id = o.image_id AND list_contains(taken, o.nth)""")
 def _(s, d):
     b = V.box_li(s, d)
     turned = b.select("image_id", "seq", "part", *B.flip_box(F.lit(80), F.lit(80)), "score")
@@ -146,7 +193,8 @@ def _(s, d):
 
 @query("C27_floor_filters", "box", "SELECT image_id, seq, part FROM box WHERE score >= 20000 AND (x1 - x0) * (y1 - y0) >= 240")
 def _(s, d):
-    return V.box_li(s, d).where("score >= 20000 and (x1 - x0) * (y1 - y0) >= 240").select("image_id", "seq", "part")
+    b = V.box_li(s, d).withColumn("ink", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    return B.floors(b, 20000, 240).select("image_id", "seq", "part")
 
 
 @query("J5_centre_in_box", "box", """SELECT a.image_id, a.seq, a.part FROM box a WHERE score < 40000 AND EXISTS (SELECT 1 FROM box b WHERE b.image_id = a.image_id AND b.score >= 40000
@@ -170,14 +218,15 @@ def _(s, d):
 
 @query("C28_tolerance_flags", "cand", "SELECT seq, abs(iou - width_ratio) / 10000.0 < 0.02 AS ok, abs(iou - width_ratio) / 10000.0 <= 0.05 AS replace FROM cand")
 def _(s, d):
-    off = F.abs(F.col("iou") - F.col("width_ratio")) / 10000
-    return V.cand_part(s, d).select("seq", (off < 0.02).alias("ok"), (off <= 0.05).alias("replace"))
+    flags = B.off_target(F.abs(F.col("iou") - F.col("width_ratio")) / 10000)
+    return V.cand_part(s, d).select("seq", *[c.alias(k) for k, c in flags.items()])
 
 
-@query("C29_aspect_warning", "box", "SELECT image_id, seq, part, abs((x1 - x0) * 30 - (y1 - y0) * 40) * 50 > (y1 - y0) * 40 AS warn FROM box")
+@query("C29_aspect_warning", "box", "SELECT image_id, seq, part, abs((x1 - x0) * 30 - (y1 - y0) * 40) > CAST(0.02 AS DOUBLE) * (y1 - y0) * 40 AS warn, abs(40 * (y1 - y0) / CAST(x1 - x0 AS DOUBLE) - 30) > 0.5 AS warn_mm FROM box")
 def _(s, d):
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    return V.box_li(s, d).select("image_id", "seq", "part", (F.abs(w * 30 - h * 40) * 50 > h * 40).alias("warn"))
+    warn, warn_mm = B.aspect_warning(w, h, F.lit(40), F.lit(30)), B.aspect_warning_mm(w, h, F.lit(40), F.lit(30))
+    return V.box_li(s, d).select("image_id", "seq", "part", warn.alias("warn"), warn_mm.alias("warn_mm"))
 
 
 # --- candidates, votes, verdicts ------------------------------------------------
@@ -206,9 +255,12 @@ def _(s, d):
     return V.cand_part(s, d).select("seq", F.round(score, 6).alias("score"))
 
 
-@query("RAS13_font_consensus", "cand", "SELECT font, round(avg(iou), 6) AS mean_iou, min(iou) AS min_iou, count(DISTINCT text) AS n_texts FROM cand GROUP BY 1")
+@query("RAS13_font_consensus", "cand", """+ c AS (SELECT seq % 3 AS grp, font, iou / 1000.0 AS iou, width_ratio / 1000.0 AS wr FROM cand), m AS (SELECT grp, font, avg(iou) AS mi, min(iou) AS lo, avg(wr) AS mw, count(*) AS n_members FROM c GROUP BY ALL)
+SELECT grp, font, round(mi, 6) AS mean_iou, round(lo, 6) AS min_iou, n_members, round(0.7 * mi + 0.3 * greatest(0.0, 1 - abs(mw - 1)), 6) AS score FROM m""")
 def _(s, d):
-    return V.cand_part(s, d).groupBy("font").agg(F.round(F.avg("iou"), 6).alias("mean_iou"), F.min("iou").alias("min_iou"), F.count_distinct("text").alias("n_texts"))
+    c = V.cand_part(s, d).select((F.col("seq") % 3).alias("grp"), "font", (F.col("iou") / 1000).alias("iou"), (F.col("width_ratio") / 1000).alias("width_ratio"))
+    m = S.font_consensus(c, ["grp"])
+    return m.select("grp", "font", *[F.round(x, 6).alias(x) for x in ("mean_iou", "min_iou")], "n_members", F.round("score", 6).alias("score"))
 
 
 @query("T4_adjudicate", "cand variant", """+ tx AS (SELECT region, CASE text WHEN 'click' THEN 'ECONOMY' WHEN 'error' THEN 'STANDARD' ELSE 'PROMO' END AS text, max(score) AS score, min(seq) AS f FROM variant GROUP BY ALL),
@@ -251,8 +303,7 @@ def _(s, d):
 @query("A16_reading_support", "variant", "+ m AS (SELECT region, arg_min(chars, seq) AS want FROM variant GROUP BY 1) SELECT region, count(*) FILTER (length(trim(text)) > 0) AS n_readable, count(*) FILTER (chars = want) AS n_agree FROM variant JOIN m USING (region) GROUP BY 1")
 def _(s, d):
     v = V.variant_evt(s, d)
-    want = v.groupBy("region").agg(F.min_by("chars", "seq").alias("want"))
-    return v.join(want, "region").groupBy("region").agg(F.count_if(F.length(F.trim("text")) > 0).alias("n_readable"), F.count_if(F.col("chars") == F.col("want")).alias("n_agree"))
+    return S.reading_support(v, ["region"], v.groupBy("region").agg(F.min_by("chars", "seq").alias("chars")))
 
 
 @query("A17_candidate_stats", "cand", "SELECT font, count(*) AS n, round(median(iou), 6) AS median, round(quantile_cont(iou, 0.75), 6) AS p75, max(iou) AS max FROM cand GROUP BY 1")
@@ -303,12 +354,12 @@ def _(s, d):
 
 @query("C11_text_flag", "variant", "SELECT seq, regexp_matches(text, '[\\p{L}\\p{N}]') AS is_text FROM variant")
 def _(s, d):
-    return V.variant_evt(s, d).select("seq", F.col("text").rlike(r"[\p{L}\p{N}]").alias("is_text"))
+    return V.variant_evt(s, d).select("seq", S.has_text(F.col("text")).alias("is_text"))
 
 
 @query("C12_suspect_flag", "cand", "SELECT seq, greatest(iou, width_ratio - 1000) < 300 AS suspect FROM cand")
 def _(s, d):
-    return V.cand_part(s, d).select("seq", (F.greatest("iou", F.col("width_ratio") - 1000) < 300).alias("suspect"))
+    return V.cand_part(s, d).select("seq", S.suspect(F.col("iou"), F.col("width_ratio") - 1000, 300).alias("suspect"))
 
 
 @query("C21_threshold_shortlist", "cand", "SELECT seq, CASE WHEN iou * 1000 > 200000 THEN [112, 128, 148] ELSE [112, 118, 128, 138, 148] END AS thresholds FROM cand")
@@ -318,12 +369,12 @@ def _(s, d):
 
 @query("J10_region_thresholds", "cand", "SELECT seq, t.threshold FROM cand, unnest([112, 128, 139, 148, 160, 172, 184]) AS t(threshold)")
 def _(s, d):
-    return V.cand_part(s, d).select("seq", F.explode(F.array(*map(F.lit, (112, 128, 139, 148, 160, 172, 184)))).alias("threshold"))
+    return S.region_thresholds(V.cand_part(s, d).select("seq"))
 
 
-@query("J11_trial_grid", "cand", "SELECT font, count(*) * 56 AS n_trials FROM cand GROUP BY 1")
+@query("J11_trial_grid", "cand", "SELECT seq, upscale, turd, threshold, alpha, tolerance, turd * upscale * upscale AS turd_px FROM cand, unnest([4, 8]) a(upscale), unnest([2, 3]) b(turd), unnest([112, 128, 139, 148, 160, 172, 184]) c(threshold), unnest([CAST(0.8 AS DOUBLE), 1.0]) e(alpha), unnest([CAST(0.1 AS DOUBLE)]) f(tolerance)")
 def _(s, d):
-    return S.trial_grid(V.cand_part(s, d).select("font")).groupBy("font").agg(F.count(F.lit(1)).alias("n_trials"))
+    return S.trial_grid(V.cand_part(s, d).select("seq"))
 
 
 @query("T7_reading_order", "box", "SELECT image_id, seq, part, row_number() OVER (PARTITION BY image_id ORDER BY y0, x0, seq, part) AS nth FROM box")
@@ -345,10 +396,10 @@ def _(s, d):
 # --- document trees ---------------------------------------------------------------
 
 
-@query("A18_layer_profile", "shape", """+ n AS (SELECT doc, page_no, layer_no, layer, count(*) AS total_all, count(DISTINCT type) AS n_types, list(shape_no ORDER BY shape_no)[1:50] AS first_shapes FROM shape GROUP BY ALL) SELECT * FROM n""")
+@query("A18_layer_profile", "shape", """+ n AS (SELECT doc, page_no, layer_no, layer, count(*) AS total_all, count(*) FILTER (parent_no IS NULL) AS top_level, count(DISTINCT type) AS n_types, coalesce(list(text ORDER BY shape_no) FILTER (text IS NOT NULL), [])[1:50] AS first_texts FROM shape GROUP BY ALL) SELECT * FROM n""")
 def _(s, d):
     p = D.layer_profile(V.doc_tree(s, d))
-    return p.select("doc", "page_no", "layer_no", "layer", "total_all", F.size("type_counts").cast("long").alias("n_types"), "first_shapes")
+    return p.select("doc", "page_no", "layer_no", "layer", "total_all", "top_level", F.size("type_counts").cast("long").alias("n_types"), "first_texts")
 
 
 @query("A19_document_rollup", "shape", "SELECT doc, page_no, layer_no, count(*) AS n_shapes, count(DISTINCT type) AS n_types FROM shape GROUP BY ROLLUP (doc, page_no, layer_no) HAVING doc IS NOT NULL")
@@ -366,8 +417,11 @@ def _(s, d):
     return D.pair_pages(*_docs(s, d)).withColumn("nth", F.col("nth").cast("long"))
 
 
-@query("J8_layer_diff", "shape", """+ n AS (SELECT doc, page_no, layer, count(*) AS n FROM shape GROUP BY ALL)
-SELECT a.page_no, a.layer, a.n, b.n AS n_target, CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n <> b.n THEN 'differs' ELSE 'equal' END AS status FROM n a LEFT JOIN n b ON b.doc = 'target' AND a.page_no = b.page_no AND a.layer = b.layer WHERE a.doc = 'source'""")
+@query("J8_layer_diff", "shape", """+ n AS (SELECT doc, page_no, layer, count(*) AS n, count(*) FILTER (parent_no IS NULL) AS top FROM shape GROUP BY ALL),
+p AS (SELECT doc, page_no, dense_rank() OVER (PARTITION BY doc ORDER BY page_no) AS nth FROM (SELECT DISTINCT doc, page_no FROM shape)),
+q AS (SELECT a.page_no AS sp, b.page_no AS tp FROM p a JOIN p b ON a.nth = b.nth AND a.doc = 'source' AND b.doc = 'target')
+SELECT a.page_no, a.layer, a.n, b.n AS n_target, a.top, b.top AS top_target, CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n <> b.n OR a.top <> b.top THEN 'differs' ELSE 'equal' END AS status
+FROM n a JOIN q ON q.sp = a.page_no LEFT JOIN n b ON b.doc = 'target' AND b.page_no = q.tp AND a.layer = b.layer WHERE a.doc = 'source'""")
 def _(s, d):
     return D.diff_layers(*_docs(s, d))
 
@@ -387,19 +441,21 @@ def _(s, d):
     return D.new_shapes(before, after, ["page_no"], "name")
 
 
-@query("J18_layer_lookup", "shape", "SELECT type, upper(type) AS layer, count(*) AS n FROM shape GROUP BY ALL")
+@query("J18_layer_lookup", "shape", "+ l AS (SELECT DISTINCT layer FROM shape WHERE doc = 'target'), k AS (SELECT shape_no, CASE WHEN shape_no % 2 = 0 THEN upper(lower(layer)) ELSE type END AS layer FROM shape WHERE doc = 'source') SELECT k.shape_no, upper(k.layer) AS layer, l.layer IS NOT NULL AS found FROM k LEFT JOIN l ON upper(k.layer) = l.layer")
 def _(s, d):
-    return V.doc_tree(s, d).groupBy("type", F.upper("type").alias("layer")).agg(F.count(F.lit(1)).alias("n"))
+    src, tgt = _docs(s, d)
+    kind = F.when(F.col("shape_no") % 2 == 0, F.lower("layer")).otherwise(F.col("type"))
+    return D.layers_for(src.select("shape_no", kind.alias("kind")), tgt).select("shape_no", "layer", "found")
 
 
-@query("SNK17_clone", "shape", "+ c AS (SELECT * FROM shape UNION ALL SELECT 'copy', page_no, layer_no, layer, shape_no, type FROM shape WHERE doc = 'source') SELECT doc, page_no, layer_no, count(*) AS n FROM c GROUP BY ALL")
+@query("SNK17_clone", "shape", "+ c AS (SELECT doc, page_no, layer_no FROM shape UNION ALL SELECT 'copy', page_no, layer_no FROM shape WHERE doc = 'source') SELECT doc, page_no, layer_no, count(*) AS n FROM c GROUP BY ALL")
 def _(s, d):
     return D.clone(V.doc_tree(s, d), "source", "copy").groupBy("doc", "page_no", "layer_no").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A25_clone_totals", "shape", "SELECT doc, count(*) AS attempted, count(*) FILTER (type <> 'MACHINERY') AS copied FROM shape GROUP BY 1")
+@query("A25_clone_totals", "shape", "SELECT doc, count(*) AS attempted, count(*) FILTER (ok) AS copied FROM shape GROUP BY 1")
 def _(s, d):
-    return V.doc_tree(s, d).groupBy("doc").agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("type") != "MACHINERY").alias("copied"))
+    return D.clone_totals(V.doc_tree(s, d), ["doc"])
 
 
 @query("SNK13_markdown", "shape", """+ n AS (SELECT doc, page_no, layer, count(*) AS n FROM shape GROUP BY ALL)
@@ -411,26 +467,35 @@ def _(s, d):
 
 # --- kernels on whole images --------------------------------------------------------
 
-_COMP = """px2 AS (SELECT image_id, y, x FROM px WHERE gray < 90)"""
+def _labelled_ink(where: str, reach: str) -> str:
+    """Ink pixels and their component's first pixel, by reachability."""
+    return f"""+ px2 AS (SELECT image_id, y, x FROM px WHERE {where}), lab AS (
+SELECT a.image_id, a.y, a.x, min(b.y * 64 + b.x) AS root FROM px2 a JOIN (
+WITH RECURSIVE r(image_id, y0, x0, y, x) AS (SELECT image_id, y, x, y, x FROM px2 UNION SELECT r.image_id, r.y0, r.x0, p.y, p.x FROM r JOIN px2 p ON p.image_id = r.image_id AND {reach})
+SELECT * FROM r) b ON a.image_id = b.image_id AND a.y = b.y0 AND a.x = b.x0 GROUP BY ALL),
+comp AS (SELECT image_id, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) AS n_px FROM lab GROUP BY image_id, root)"""
 
 
-@query("RAS6_components", "px", f"""+ {_COMP}, lab AS (
-SELECT a.image_id, a.y, a.x, min(b.y * 64 + b.x) AS root FROM px2 a JOIN (
-WITH RECURSIVE r(image_id, y0, x0, y, x) AS (SELECT image_id, y, x, y, x FROM px2 UNION SELECT r.image_id, r.y0, r.x0, p.y, p.x FROM r JOIN px2 p ON p.image_id = r.image_id AND abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1)
-SELECT * FROM r) b ON a.image_id = b.image_id AND a.y = b.y0 AND a.x = b.x0 GROUP BY ALL)
-SELECT image_id, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) AS n_px FROM lab GROUP BY image_id, root""")
+_EIGHT = "abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1"
+_FOUR = "abs(p.y - r.y) + abs(p.x - r.x) <= 1"
+
+
+@query("RAS6_components", "px", _labelled_ink("gray < 90", _EIGHT) + " SELECT * FROM comp")
 def _(s, d):
     return K.components(R.binarise(V.px_emb(s, d), 90)).drop("component")
 
 
-@query("A14_glyph_stats")
+@query("A14_glyph_stats", "px", _labelled_ink("gray < 85", _EIGHT) + """, k AS (SELECT * FROM comp WHERE n_px >= 2)
+SELECT image_id, count(*) AS n, median(n_px) AS median, max(n_px) AS max, round(sum(n_px) / CAST((max(x1) - min(x0)) * (max(y1) - min(y0)) AS DOUBLE), 6) AS fill, round(stddev_pop(n_px) / avg(n_px), 6) AS cv, round(max(n_px) / median(n_px), 6) AS max_ratio FROM k GROUP BY 1""")
 def _(s, d):
-    return K.glyph_stats(K.components(R.binarise(V.px_emb(s, d), 100), least=2))
+    g = K.glyph_stats(K.components(R.binarise(V.px_emb(s, d), 85), least=2))
+    return g.select("image_id", "n", "median", "max", *[F.round(c, 6).alias(c) for c in ("fill", "cv", "max_ratio")])
 
 
-@query("C2_inner_ink")
+@query("C2_inner_ink", "px", _labelled_ink("gray > 170", _FOUR) + """, sz AS (SELECT image_id, max(x) AS w, max(y) AS h FROM px GROUP BY 1), bad AS (SELECT DISTINCT image_id, root FROM lab JOIN sz USING (image_id) WHERE y = 0 OR x = 0 OR y = h OR x = w)
+SELECT lab.image_id, y, x FROM lab LEFT JOIN bad ON bad.image_id = lab.image_id AND bad.root = lab.root WHERE bad.root IS NULL""")
 def _(s, d):
-    return K.inner_ink(R.binarise(V.px_emb(s, d), 150, invert=True))
+    return K.inner_ink(R.binarise(V.px_emb(s, d), 170, invert=True))
 
 
 @query("RAS7_dilation", "px", "+ i AS (SELECT image_id, y, x FROM px WHERE gray < 80), sz AS (SELECT image_id, max(x) AS w, max(y) AS h FROM px GROUP BY 1) SELECT DISTINCT i.image_id, y + dy AS y, x + dx AS x FROM i JOIN sz USING (image_id), range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE y + dy BETWEEN 0 AND h AND x + dx BETWEEN 0 AND w")
@@ -443,7 +508,14 @@ def _(s, d):
     return K.blocks(R.binarise(V.px_emb(s, d), 70), gap=1, least_ink=4)
 
 
-@query("J16_snapped_boxes")
+@query("J16_snapped_boxes", "px", """+ px2 AS (SELECT image_id, y, x FROM px WHERE gray < 90), bx AS (SELECT DISTINCT image_id, b AS box, b * 12 AS y0, b * 12 + 6 AS y1 FROM px, range(0, 4) t(b)),
+near AS (SELECT p.image_id, box, y, x FROM px2 p JOIN bx USING (image_id) WHERE x >= 6 AND x < 48 AND y >= y0 - 14 AND y < y1 + 14),
+lab AS (SELECT a.image_id, a.box, a.y, a.x, min(b.y * 64 + b.x) AS root FROM near a JOIN (
+WITH RECURSIVE r(image_id, box, ya, xa, y, x) AS (SELECT image_id, box, y, x, y, x FROM near UNION SELECT r.image_id, r.box, r.ya, r.xa, p.y, p.x FROM r JOIN near p ON p.image_id = r.image_id AND p.box = r.box AND abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1)
+SELECT * FROM r) b ON a.image_id = b.image_id AND a.box = b.box AND a.y = b.ya AND a.x = b.xa GROUP BY ALL),
+comp AS (SELECT image_id, box, min(x) AS a0, min(y) AS b0, max(x) + 1 AS a1, max(y) + 1 AS b1 FROM lab GROUP BY image_id, box, root),
+hit AS (SELECT comp.* FROM comp JOIN bx USING (image_id, box) WHERE a0 <= 34 AND 20 <= a1 AND b0 <= y1 AND y0 <= b1)
+SELECT bx.image_id, bx.box, CAST(least(20, coalesce(min(a0), 20)) AS INT) AS x0, CAST(least(any_value(y0), coalesce(min(b0), 999)) AS INT) AS y0, CAST(greatest(34, coalesce(max(a1), 0)) AS INT) AS x1, CAST(greatest(any_value(y1), coalesce(max(b1), 0)) AS INT) AS y1 FROM bx LEFT JOIN hit ON hit.image_id = bx.image_id AND hit.box = bx.box GROUP BY ALL""")
 def _(s, d):
     px = R.binarise(V.px_emb(s, d), 90)
     box = px.select("image_id").distinct().select("image_id", F.posexplode(F.array(*map(F.lit, (0, 12, 24, 36)))).alias("box", "y0"))
@@ -514,3 +586,123 @@ def _(s, d):
     name = F.concat(F.lit("n"), F.col("seq").cast("string"))
     there = V.cand_part(s, d).where("width_ratio > 900").select(name.alias("name"), (F.col("iou") % 100 / 1000).alias("max_error"))
     return KS.actions(_verdicts(s, d).withColumn("name", name), there)
+
+
+# --- words, shapes, curves ------------------------------------------------------------
+
+
+@query("RAS10_orientation", "cand", """+ v AS (SELECT text, max(iou / 1000.0) AS a, max((width_ratio - 500) / 1000.0) AS b FROM cand GROUP BY 1), w AS (SELECT text, round_even(a, 4) AS iou0, round_even(b, 4) AS iou180 FROM v)
+SELECT text, iou0, iou180, CASE WHEN round(abs(iou0 - iou180), 4) >= 0.02 AND iou180 > iou0 THEN 180 ELSE 0 END AS rot FROM w""")
+def _(s, d):
+    v = V.cand_part(s, d).select("text", (F.col("iou") / 1000).alias("upright"), ((F.col("width_ratio") - 500) / 1000).alias("turned"))
+    return S.orientation(v, ["text"])
+
+
+@query("RAS11_word_iou")
+def _(s, d):
+    px = V.px_emb(s, d)
+    return K.word_ious(R.binarise(px, 100), R.binarise(px, 104)).select("image_id", F.round("iou", 6).alias("iou"))
+
+
+@query("RAS14_shape_groups")
+def _(s, d):
+    p = W.column_profile(R.binarise(V.px_emb(s, d))).groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "profile"))), lambda x: x["profile"]).alias("profile"))
+    n = R.binarise(V.px_emb(s, d)).groupBy("image_id").agg(F.count_if("ink").alias("ink"), (F.count_if("ink") / F.count(F.lit(1)) + 0.5).alias("aspect"))
+    shapes = p.join(n, "image_id").select(F.lit(0).alias("grp_of"), F.col("image_id").alias("shape"), "ink", "aspect", "profile")
+    return K.shape_groups(shapes, "grp_of")
+
+
+@query("RAS16_word_edits")
+def _(s, d):
+    """Readings of the embedding lines, edited by their shapes."""
+    px = R.binarise(V.px_emb(s, d), 100)
+    words = W.words(px).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    texts = words.select("image_id", F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.when(i % 3 == 0, "Vox").otherwise("x")), " ").alias("text"))
+    return K.line_edits(px, texts)
+
+
+@query("RAS17_accepted_edits", "variant", """+ v AS (SELECT seq, 'a b c' AS text, word_gap % 3 AS w, score % 2 AS ok, CASE WHEN words = 1 THEN 'symbol' ELSE 'case' END AS kind FROM variant),
+e AS (SELECT *, kind = 'symbol' OR ok = 1 AS take FROM v)
+SELECT seq, CASE WHEN take AND w = 0 THEN 'X b c' WHEN take AND w = 1 THEN 'a X c' WHEN take THEN 'a b X' ELSE text END AS final, CASE WHEN take THEN 1 ELSE 0 END AS n_taken FROM e""")
+def _(s, d):
+    v = V.variant_evt(s, d)
+    kind = F.when(F.col("words") == 1, "symbol").otherwise("case")
+    edit = F.struct((F.col("word_gap") % 3).alias("word"), F.lit("X").alias("new"), kind.alias("kind"))
+    new = F.when(F.col("word_gap") % 3 == 0, "X b c").when(F.col("word_gap") % 3 == 1, "a X c").otherwise("a b X")
+    scores = F.create_map(F.lit("a b c"), F.lit(0.5), new, F.when(F.col("score") % 2 == 1, 0.6).otherwise(0.4))
+    out = S.accept_edits(v.select("seq", F.lit("a b c").alias("text"), F.array(edit).alias("edits"), scores.alias("scores")))
+    return out.select("seq", "final", F.size("taken").alias("n_taken"))
+
+
+@query("SET_overridden_edits", "variant", """+ e AS (SELECT region, word_gap AS word, max(seq) AS edit FROM variant GROUP BY ALL), g AS (SELECT region, word_gap AS word, min(seq) AS edit FROM variant WHERE words = 1 GROUP BY ALL)
+SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.region = e.region AND g.word = e.word) UNION ALL SELECT * FROM g""")
+def _(s, d):
+    v = V.variant_evt(s, d)
+    e = v.groupBy("region", F.col("word_gap").alias("word")).agg(F.max("seq").alias("edit"))
+    g = v.where("words = 1").groupBy("region", F.col("word_gap").alias("word")).agg(F.min("seq").alias("edit"))
+    return S.without_overridden(e, g, ["region", "word"])
+
+
+@query("SET_union_of_passes", "box", "SELECT image_id, seq, part, CASE WHEN score >= 40000 THEN 1 ELSE 0 END AS pass FROM box UNION ALL SELECT image_id, seq, part, 2 FROM box WHERE seq = 1")
+def _(s, d):
+    b = V.box_li(s, d).select("image_id", "seq", "part", "score")
+    return B.unite([b.where("score < 40000"), b.where("score >= 40000"), b.where("seq = 1")]).drop("score")
+
+
+@query("SET_mask_union", "px", "SELECT image_id, y, x FROM px WHERE gray < 100 UNION SELECT image_id, y, x FROM px WHERE gray > 160")
+def _(s, d):
+    px = V.px_emb(s, d)
+    return B.mask_union([px.where("gray < 100"), px.where("gray > 160"), px.where("gray < 80")])
+
+
+@query("RAS1_resize")
+def _(s, d):
+    return K.resize(V.px_emb(s, d), 32, 25)
+
+
+@query("RAS2_curves")
+def _(s, d):
+    return T.trace_curves(R.binarise(V.px_emb(s, d), 110)).select("image_id", "width", "height", "n_curves")
+
+
+@query("RAS5_trace_all")
+def _(s, d):
+    px = V.px_emb(s, d)
+    part = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    regions = px.select("image_id").distinct().select("image_id", part).select("image_id", F.concat(F.lit("r"), F.col("k").cast("string")).alias("region"), (F.col("k") * 32).alias("x0"), F.lit(0).alias("y0"), (F.col("k") * 32 + 32).alias("x1"), F.lit(24).alias("y1"), (F.col("k") == 1).alias("invert"))
+    best = T.trace_all(px, regions, (112, 128, 148), upscale=2)
+    return best.select("image_id", "region", "threshold", "n_paths", "n_curves", F.round("soft", 4).alias("soft"), F.round("iou", 4).alias("iou"))
+
+
+@query("RAS19_page_paste", "px", """+ pg AS (SELECT DISTINCT image_id // 2 AS page FROM px), grid AS (SELECT page, CAST(a.y AS BIGINT) AS y, CAST(b.x AS BIGINT) AS x FROM pg, range(0, 90) a(y), range(0, 70) b(x)),
+put AS (SELECT image_id // 2 AS page, y + (image_id % 2) * 37 AS y, x + 3 AS x, arg_max(gray, image_id) AS gray FROM px GROUP BY ALL)
+SELECT page, y, x, coalesce(gray, 255) AS gray FROM grid LEFT JOIN put USING (page, y, x)""")
+def _(s, d):
+    px = V.px_emb(s, d)
+    items = px.select("image_id").distinct().select(F.expr("image_id div 2").alias("page"), "image_id", F.lit(3).alias("left"), (F.col("image_id") % 2 * 37).cast("int").alias("top"))
+    pages = items.select("page", F.lit(70).alias("w"), F.lit(90).alias("h")).distinct()
+    return K.paste(px, pages, items).select("page", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "gray")
+
+
+@query("SNK9_trace_lines", "box", "SELECT 'b' || image_id || '_' || seq || '_' || part || ':' || x0 || ',' || y0 || ',' || x1 || ',' || y1 || CASE WHEN seq % 2 = 0 THEN ',invert' ELSE '' END || ',#102030' AS line FROM box")
+def _(s, d):
+    """Written, read back by the parser and written again."""
+    name = F.concat(F.lit("b"), F.concat_ws("_", "image_id", "seq", "part"))
+    b = V.box_li(s, d).select(name.alias("name"), *B.BOX, (F.col("seq") % 2 == 0).alias("invert"), F.lit("#102030").alias("color"))
+    read = KS.trace_region_lines(b).select(P.trace_region(F.col("line")).alias("r")).select("r.*")
+    return KS.trace_region_lines(read.withColumnRenamed("fill", "color"))
+
+
+@query("SNK14_structural_report", "shape", """+ n AS (SELECT doc, page_no, layer, count(*) AS n, count(*) FILTER (parent_no IS NULL) AS t FROM shape GROUP BY ALL),
+l AS (SELECT count(*) AS c FROM n a LEFT JOIN n b ON b.doc = 'target' AND a.page_no = b.page_no AND a.layer = b.layer WHERE a.doc = 'source' AND (b.n IS NULL OR a.n <> b.n OR a.t <> b.t)),
+ty AS (SELECT count(*) AS c FROM (SELECT type, count(*) FILTER (doc = 'source') AS a, count(*) FILTER (doc = 'target') AS b FROM shape GROUP BY 1) WHERE a <> b)
+SELECT CASE WHEN l.c = 0 AND ty.c = 0 THEN 'PASS' ELSE 'WARN' END AS status, l.c AS layers_off, ty.c AS types_off FROM l, ty""")
+def _(s, d):
+    docs = _docs(s, d)
+    return KS.structural_report(D.diff_layers(*docs), D.diff_types(*docs))
+
+
+@query("SNK10_convert_only", "cand", VERDICT_ROWS + " SELECT 'n' || c.seq AS name, text FROM cand c JOIN ve ON ve.seq = c.seq WHERE convert")
+def _(s, d):
+    name = F.concat(F.lit("n"), F.col("seq").cast("string")).alias("name")
+    return KS.convert_only(V.cand_part(s, d).select(name, "text"), _verdicts(s, d).select(name, "convert"))

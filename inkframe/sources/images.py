@@ -47,8 +47,12 @@ def _lines(data: str, height: str, width: str, channels: str):
     return F.arrow_udf(run, "array<array<smallint>>")(data, height, width, channels)
 
 
-def crop_left(px: DataFrame, n: int) -> DataFrame:
-    """Without the first ``n`` columns; the page keeps its scale."""
+def crop_left(px: DataFrame, n: int, keep_last: bool = False) -> DataFrame:
+    """Without the first ``n`` columns; the page keeps its scale. With
+    ``keep_last`` an image's last column stays, however few it has."""
+    if keep_last:
+        last = px.groupBy(IMG).agg(F.least(F.lit(n), F.max("x")).alias("__cut"))
+        return px.join(last, IMG).where("x >= __cut").withColumn("x", F.col("x") - F.col("__cut")).drop("__cut")
     return px.where(F.col("x") >= n).withColumn("x", F.col("x") - n)
 
 
@@ -76,12 +80,25 @@ def scan_texts(spark: SparkSession, path: str) -> DataFrame:
     return t.select("t.text", "t.score", *box, F.coalesce("t.rot", F.lit(0)).alias("rot"), F.coalesce("t.suspect", F.lit(False)).alias("suspect"), "t.color")
 
 
+def image_widths(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, width) of PNG files, from their headers alone: nothing is decoded."""
+    files = spark.read.format("binaryFile").load(path)
+    number = F.conv(F.hex(F.expr("substring(content, 17, 4)")), 16, 10).cast("int")
+    return files.where(F.hex(F.expr("substring(content, 2, 3)")) == "504E47").select(F.col("path").alias("origin"), number.alias("width"))
+
+
 def find_first(spark: SparkSession, folders: list[str], pattern: str) -> DataFrame:
-    """The first file by name of those that match, in the first folder with any."""
-    found = None
+    """The first file by name of those that match, in the first folder with any;
+    folders that are missing are passed over."""
+    from pyspark.errors import AnalysisException
+
+    found = spark.createDataFrame([], "rank int, path string")
     for rank, folder in enumerate(folders):
-        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.lit(rank).alias("rank"), "path")
-        found = files if found is None else found.unionByName(files)
+        try:
+            files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+        except AnalysisException:
+            continue
+        found = found.unionByName(files.select(F.lit(rank).alias("rank"), "path"))
     return found.agg(F.min(F.struct("rank", "path")).alias("f")).select("f.path").where("path is not null")
 
 

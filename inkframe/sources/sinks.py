@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,35 @@ def live_region_lines(texts: DataFrame, w: int, h: int, pad: int = 2, include_su
 
 
 def trace_region_lines(blocks: DataFrame) -> DataFrame:
-    """``x0,y0,x1,y1:name:kind[:colour]``."""
-    return blocks.select(F.concat_ws(":", F.concat_ws(",", "x0", "y0", "x1", "y1"), "name", "kind", "color").alias("line"))
+    """``name:x0,y0,x1,y1[,invert][,colour]``."""
+    box = F.concat_ws(",", "x0", "y0", "x1", "y1", F.when(F.col("invert"), "invert"), "color")
+    return blocks.select(F.concat(F.col("name"), F.lit(":"), box).alias("line"))
+
+
+def metrics(scores: DataFrame, overall: DataFrame) -> DataFrame:
+    """One JSON record of overall and per-region metrics; no row where no region
+    has any, so that nothing is written over an earlier result."""
+    names = [c for c in scores.columns if c != "name"]
+    # The regions of one page: some hundreds at most.
+    by_name = scores.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.struct(*names))))).alias("regions"), F.count(F.lit(1)).alias("n"))
+    return overall.select(F.struct(*overall.columns).alias("overall")).join(by_name.where("n > 0").drop("n"))
+
+
+def convert_only(scan: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The texts of a scan whose regions are converted to live text."""
+    return scan.join(verdicts.where("convert").select("name"), "name", "left_semi")
+
+
+def structural_report(diff: DataFrame, types: DataFrame) -> DataFrame:
+    """PASS, or WARN and how many layers and types differ between two documents."""
+    layers = diff.agg(F.count_if(F.col("status") != "equal").alias("layers_off"))
+    both = layers.join(types.agg(F.count(F.lit(1)).alias("types_off")))
+    return both.select(F.when((F.col("layers_off") == 0) & (F.col("types_off") == 0), "PASS").otherwise("WARN").alias("status"), "layers_off", "types_off")
+
+
+def run_log(steps: list[tuple[str, float, str]]) -> str:
+    """One line a step: its name, seconds and what came of it."""
+    return "\n".join(f"{name}\t{seconds:.1f}\t{outcome}" for name, seconds, outcome in steps)
 
 
 def report(metrics: DataFrame) -> str:
@@ -66,3 +95,8 @@ def report(metrics: DataFrame) -> str:
     head = ["name", *[c for c in metrics.columns if c != "name"]]
     line = lambda xs: "| " + " | ".join("unknown" if x is None else f"{x:.2f}" if isinstance(x, float) else str(x) for x in xs) + " |"
     return "\n".join([line(head), "|" + " --- |" * len(head), *[line([r[c] for c in head]) for r in rows]])
+
+
+def report_json(metrics: DataFrame) -> str:
+    """The same as JSON; what is not known is null."""
+    return json.dumps([r.asDict(recursive=True) for r in metrics.orderBy("name").collect()], ensure_ascii=False, indent=2)

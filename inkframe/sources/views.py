@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TILE_ROWS = 50
-INKS = ((198, 47, 124), (26, 24, 25))
+#: Two inks of our own choice, in directions from white that are far apart.
+INKS = ((190, 60, 110), (30, 28, 35))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,23 +68,27 @@ def cand_part(spark, sf_dir):
 
 
 def doc_tree(spark, sf_dir):
-    """shape(doc, page_no, layer_no, layer, shape_no, type): customers are the
-    shapes of document "source", suppliers those of "target"."""
+    """shape(doc, page_no, layer_no, layer, shape_no, type, parent_no, text, ok):
+    customers are the shapes of document "source", suppliers those of "target";
+    every fourth is in a group, those of one type are texts."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     c = table(spark, sf_dir, "customer").select(F.lit("source").alias("doc"), F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("shape_no"), F.col("c_mktsegment").alias("type"))
     kind = F.when(F.col("s_acctbal") < 2000, "BUILDING").when(F.col("s_acctbal") < 6000, "MACHINERY").otherwise("CURVE")
     s = table(spark, sf_dir, "supplier").select(F.lit("target").alias("doc"), F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("shape_no"), kind.alias("type"))
     both = c.unionByName(s).join(F.broadcast(nation), F.col("k") == F.col("n_nationkey"))  # 25 nations
-    return both.select("doc", F.col("n_regionkey").alias("page_no"), F.col("n_nationkey").alias("layer_no"), F.col("n_name").alias("layer"), "shape_no", "type")
+    return both.select(
+        "doc", F.col("n_regionkey").alias("page_no"), F.col("n_nationkey").alias("layer_no"), F.col("n_name").alias("layer"), "shape_no", "type",
+        F.when(F.col("shape_no") % 4 == 0, F.col("shape_no") - 1).alias("parent_no"), F.when(F.col("type") == "BUILDING", F.concat(F.lit("t"), F.col("shape_no").cast("string"))).alias("text"), (F.col("shape_no") % 7 != 0).alias("ok"),
+    )
 
 
 SQL = {
     "px": f"""px AS (SELECT vec_id // {TILE_ROWS} AS image_id, CAST(vec_id % {TILE_ROWS} AS INT) AS y, CAST(t.i - 1 AS INT) AS x,
   CAST(greatest(0, least(255, floor(128 + 256 * CAST(embedding[t.i] AS DOUBLE)))) AS INT) AS gray FROM embeddings, unnest(range(1, 65)) AS t(i))""",
-    "rgb": """rgb AS (SELECT event_id // 1000 AS image_id, CAST((event_id % 1000) // 40 AS INT) AS y, CAST(event_id % 40 AS INT) AS x,
-  CAST(floor(255 + ((CASE WHEN user_id % 2 = 0 THEN 198 ELSE 26 END) - 255) * (1 + event_id % 4) / 4.0) AS INT) AS r,
-  CAST(floor(255 + ((CASE WHEN user_id % 2 = 0 THEN 47 ELSE 24 END) - 255) * (1 + event_id % 4) / 4.0) AS INT) AS g,
-  CAST(floor(255 + ((CASE WHEN user_id % 2 = 0 THEN 124 ELSE 25 END) - 255) * (1 + event_id % 4) / 4.0) AS INT) AS b FROM events)""",
+    "rgb": f"""rgb AS (SELECT event_id // 1000 AS image_id, CAST((event_id % 1000) // 40 AS INT) AS y, CAST(event_id % 40 AS INT) AS x,
+  CAST(floor(255 + ((CASE WHEN user_id % 2 = 0 THEN {INKS[0][0]} ELSE {INKS[1][0]} END) - 255) * (1 + event_id % 4) / 4.0) AS INT) AS r,
+  CAST(floor(255 + ((CASE WHEN user_id % 2 = 0 THEN {INKS[0][1]} ELSE {INKS[1][1]} END) - 255) * (1 + event_id % 4) / 4.0) AS INT) AS g,
+  CAST(floor(255 + ((CASE WHEN user_id % 2 = 0 THEN {INKS[0][2]} ELSE {INKS[1][2]} END) - 255) * (1 + event_id % 4) / 4.0) AS INT) AS b FROM events)""",
     "variant": """variant AS (SELECT user_id AS region, event_id AS seq, event_id % 11 AS variant, event_type AS text, length(event_type) AS chars,
   CAST(1 + event_id % 9 AS INT) AS words, CAST(event_id % 5 AS INT) AS word_gap,
   CAST((floor(coalesce(value, 0) * 10) % 1000 + 1000) % 1000 AS INT) AS score FROM events)""",
@@ -92,7 +97,7 @@ SQL = {
   CAST(floor(l_extendedprice) AS BIGINT) AS score FROM lineitem)""",
     "cand": """cand AS (SELECT p_type AS text, p_brand AS font, p_partkey AS seq, (p_partkey * 37 + p_size * 13) % 1000 AS iou,
   500 + p_partkey * 53 % 1000 AS width_ratio FROM part)""",
-    "shape": """shape AS (SELECT doc, n_regionkey AS page_no, n_nationkey AS layer_no, n_name AS layer, shape_no, type FROM (
+    "shape": """shape AS (SELECT doc, n_regionkey AS page_no, n_nationkey AS layer_no, n_name AS layer, shape_no, type, CASE WHEN shape_no % 4 = 0 THEN shape_no - 1 END AS parent_no, CASE WHEN type = 'BUILDING' THEN 't' || shape_no END AS text, shape_no % 7 <> 0 AS ok FROM (
   SELECT 'source' AS doc, c_nationkey AS k, c_custkey AS shape_no, c_mktsegment AS type FROM customer UNION ALL
   SELECT 'target', s_nationkey, s_suppkey, CASE WHEN s_acctbal < 2000 THEN 'BUILDING' WHEN s_acctbal < 6000 THEN 'MACHINERY' ELSE 'CURVE' END FROM supplier)
   JOIN nation ON k = n_nationkey)""",

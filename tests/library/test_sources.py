@@ -30,6 +30,8 @@ def test_images_are_pixels(spark, tmp_path):
     got = {(r.y, r.x): (r.r, r.g, r.b) for r in I.pixels(im).collect()}
     assert got == {(y, x): tuple(rgb[y, x].tolist()) for y in range(5) for x in range(7)}
     assert I.crop_left(I.pixels(im), 2).agg(F.max("x")).first()[0] == 4
+    assert I.crop_left(I.pixels(im), 99, keep_last=True).agg(F.max("x"), F.count("x")).first()[:] == (0, 5)
+    assert I.image_widths(spark, str(tmp_path)).first().width == 7
 
 
 def test_readers(spark, tmp_path):
@@ -43,7 +45,8 @@ def test_readers(spark, tmp_path):
     assert I.read_json(spark, str(tmp_path / "bad.json"), "a int").count() == 0
     assert I.read_json(spark, str(tmp_path / "none.json"), "a int").count() == 0
     assert [r.line for r in I.read_lines(spark, str(tmp_path / "list.txt")).collect()] == ["a=1"]
-    found = I.find_first(spark, [str(tmp_path)], "*.json").first().path
+    found = I.find_first(spark, [f"{tmp_path}/missing", str(tmp_path)], "*.json").first().path
+    assert I.find_first(spark, [f"{tmp_path}/missing"], "*.json").count() == 0
     assert found.endswith("bad.json")
     (tmp_path / "Some-Bold.ttf").write_bytes(b"x")
     assert I.font_files(spark, str(tmp_path)).first().family == "Some"
@@ -53,7 +56,7 @@ def test_sinks(spark, tmp_path):
     t = spark.createDataFrame([("a", 10, 10, 20, 14, None, 0, False), ("b", 0, 0, 5, 5, "#abc", 180, True)], "name string, x0 int, y0 int, x1 int, y1 int, color string, rot int, suspect boolean")
     assert [r.line for r in K.live_region_lines(t, 100, 50).collect()] == ["a=8,16,8,22"]
     assert K.live_region_lines(t, 100, 50, include_suspect=True).where("line like 'b=%'").first().line == "b=0,7,0,7,#abc,rot=180"
-    assert K.trace_region_lines(t.withColumn("kind", F.lit("MARK"))).first().line == "10,10,20,14:a:MARK"
+    assert [r.line for r in K.trace_region_lines(t.withColumn("invert", F.col("name") == "b")).collect()] == ["a:10,10,20,14", "b:0,0,5,5,invert,#abc"]
     p = K.placement(t.withColumn("kind", F.lit("art")), 0.5, 100.0).where("name = 'a'").first()
     assert (p.layer, p.x, p.y, p.w, p.h) == ("ART", 5.0, 93.0, 5.0, 2.0)
     m = K.manifest(t.select("name", "x0"), {"source": "s"}, {"u": 8}).first()
@@ -62,6 +65,11 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(PySparkException):
         K.write_json(t, f"{tmp_path}/out")
     assert "unknown" in K.report(spark.createDataFrame([("x", None), ("y", 1.5)], "name string, iou double"))
+    assert json.loads(K.report_json(spark.createDataFrame([("x", None)], "name string, iou double"))) == [{"name": "x", "iou": None}]
+    scores = spark.createDataFrame([("x", 1.5)], "name string, iou double")
+    whole = spark.createDataFrame([(9.5,)], "iou double")
+    assert K.metrics(scores, whole).first().regions["x"].iou == 1.5 and K.metrics(scores.limit(0), whole).count() == 0
+    assert K.run_log([("scan", 1.25, "ok")]) == "scan\t1.2\tok"
     v = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False)], "name string, convert boolean")
     e = spark.createDataFrame([("b", 0.05), ("c", 0.06)], "name string, max_error double")
     assert {r.name: r.action for r in K.actions(v, e).collect()} == {"a": "create", "b": "replace", "c": "skip_existing"}
