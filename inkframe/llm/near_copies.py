@@ -165,6 +165,23 @@ def _close(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(FAMILIES)), F.lit(0)) <= COMPLETE
 
 
+def _first_met(key: str, fa: str, la: str, fb: str, lb: str) -> Column:
+    """Whether ``key`` is the one bucket in which a pair is to be compared, of all
+    that hold both texts: in the first table in which they meet, that is where
+    the segment's certain bits agree, the key without bits uncertain in both."""
+    whole = F.lit((1 << WIDTH) - 1).cast("long")
+    cut = lambda c, s: F.shiftrightunsigned(c, s * WIDTH).bitwiseAND(whole)
+    table = F.shiftright(key, 32)
+    out = F.lit(True)
+    for f in range(FAMILIES):
+        differs = F.col(fa)[f].bitwiseXOR(F.col(fb)[f]).bitwiseAND(F.bitwise_not(F.col(la)[f].bitwiseOR(F.col(lb)[f])))
+        for s in (0, 1):
+            out = out & ((table <= 2 * f + s) | (cut(differs, s) != 0))
+    both = F.element_at(la, (F.shiftright(table, 1) + 1).cast("int")).bitwiseAND(F.element_at(lb, (F.shiftright(table, 1) + 1).cast("int")))
+    both = F.when(table % 2 == 0, cut(both, 0)).otherwise(cut(both, 1))
+    return out & (F.col(key).bitwiseAND(both) == 0)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have a similarity of ``least`` or more."""
 
@@ -205,8 +222,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     large group of near copies with as many pairs as it has members. Then, in
     buckets that still hold several components, every node outside the most
     frequent one is compared with the nodes of other components: a pair within
-    one component adds nothing. Of all pairs the distance of the fingerprints
-    that met is compared first, then the complete distance, then the texts.
+    one component adds nothing, and a pair is compared in one bucket alone.
+    Distances are compared before texts.
 
     Null texts are empty and link to each other. Null ids come after all others;
     rows are judged by their texts, so rows that repeat an id are documents of
@@ -235,15 +252,16 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     links = materialise(verified(first, texts, shingle, least), "near-links")
 
     tied = components(links)
-    group = buckets.where("n > 2").join(tied, F.col("b") == F.col("v"), "left").select("key", F.col("b").alias("x"), F.col("fb").alias("fx"), F.coalesce("root", "b").alias("c"))
+    group = buckets.where("n > 2").join(tied, F.col("b") == F.col("v"), "left").select("key", F.col("b").alias("x"), F.coalesce("root", "b").alias("c"))
     sizes = group.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     major = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("top.c").alias("top"))
-    group = group.join(major, "key").join(nodes.select(F.col("node").alias("x"), F.col("fps").alias("fpsx")), "x")
+    group = group.join(major, "key").join(nodes.select(F.col("node").alias("x"), F.col("fps").alias("fpsx"), F.col("low").alias("lowx")), "x")
     group = materialise(group, "near-open")
-    others = group.where("c <> top").select("key", F.col("x").alias("y"), F.col("fx").alias("fy"), F.col("fpsx").alias("fpsy"), F.col("c").alias("cy"))
+    others = group.where("c <> top").select("key", F.col("x").alias("y"), F.col("fpsx").alias("fpsy"), F.col("lowx").alias("lowy"), F.col("c").alias("cy"))
     met = (F.col("c") != F.col("cy")) & ((F.col("c") == F.col("top")) | (F.col("x") < F.col("y")))
-    more = others.withColumnRenamed("key", "key2").join(group, (F.col("key2") == F.col("key")) & met & _near("fx", "fy") & _close("fpsx", "fpsy"))
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    once = _first_met("key", "fpsx", "lowx", "fpsy", "lowy")
+    more = others.withColumnRenamed("key", "key2").join(group, (F.col("key2") == F.col("key")) & met & _close("fpsx", "fpsy") & once)
+    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(first, ["a", "b"], "left_anti")
     more = materialise(more, "near-more")
     found = materialise(verified(more, texts, shingle, least), "near-links2")
 
