@@ -126,3 +126,13 @@ def test_risk_is_that_of_positive_unlabelled_learning():
     assert ((net.logits(unl) > 0) == truth).mean() > 0.97
     naive = quality.fit_risk(pos, unl, None, epochs=30)  # which takes unlabelled for negative
     assert ((naive.logits(unl) > 0) == truth).mean() < ((net.logits(unl) > 0) == truth).mean()
+
+
+def test_no_evidence_is_no_toxicity(spark):
+    docs, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
+    net = toxicity.fit_toxicity(docs, labels)
+    scores = net.score(["", " \n\t", "the"])
+    assert 0 < scores[0] == scores[1] == net.prior < 0.5 and scores[2] != scores[0]
+    net.embed[:] = 0
+    assert net.score(["the of and"])[0] == net.prior
+    assert len(net.score([])) == 0

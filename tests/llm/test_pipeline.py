@@ -101,7 +101,7 @@ def test_stages():
     assert [n for n, _ in C.STAGES] == ["toxicity", "near_dedup", "decontaminate", "mix", "token_ids"]
 
 
-ODD_ROWS = [(None, "a null id"), (10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n\t"), (10**6 + 3, "word " * 60000), (10**6 + 4, "twice the same"), (10**6 + 4, "twice the same"), (10**6 + 4, "the same id alone")]
+ODD_ROWS = [(None, "a null id"), (10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n\t"), (10**6 + 3, "zzqx " * 60000), (10**6 + 4, "twice the same"), (10**6 + 4, "twice the same"), (10**6 + 4, "the same id alone")]
 CLASHING = ("__score", "__found", "__m", "__mw", "__own", "__other", "id", "node", "t", "n", "p", "rate")
 
 
