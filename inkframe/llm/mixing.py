@@ -24,6 +24,7 @@ SAMPLE = 20_000
 BUCKETS = 4096
 LEAST_DOCS = 3  # a bucket that fewer labelled documents hold has no weight
 GRID = 200  # posteriors are multiples of 1 / GRID
+BROADCAST_LABELS = 1_000_000  # labelled documents (12 bytes each) that are broadcast at most
 ROUNDS = 200  # Newton steps at each weight of the penalty at most
 MISSED = 0.01  # a total off its target by more than this share of all is reported
 
@@ -336,7 +337,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domains
     model = fit_classifier(docs, labels, domains, id_col=id_col, text_col=text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     known = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda i: (i == F.col(f"{k}d")).cast("double"))
-    told = domain_labels(labels, domains, id_col).select(F.col("__id").alias(f"{k}id"), F.col("__d").alias(f"{k}d"))
+    told = materialise(domain_labels(labels, domains, id_col).select(F.col("__id").alias(f"{k}id"), F.col("__d").alias(f"{k}d")), "mixing-labels")
+    if told.count() <= BROADCAST_LABELS:  # else the documents are shuffled once
+        told = F.broadcast(told)
     rows = members_of(docs, model, text, k).join(told, F.col(id_col) == F.col(f"{k}id"), "left")
     rows = rows.withColumn(f"{k}p", F.when(F.col(f"{k}d").isNotNull(), known).otherwise(F.col(f"{k}p"))).drop(f"{k}id", f"{k}d")
     # Written once: the fit reads tokens and posteriors alone, and the last

@@ -251,7 +251,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     texts = materialise(rows.select("row", "t").join(one, "row").groupBy("node").agg(F.min("t").alias("t")), "near-texts")
     links = materialise(verified(first, texts, shingle, least), "near-links")
 
-    tied = components(links)
+    tied = materialise(components(links), "near-tied")
     group = buckets.where("n > 2").join(tied, F.col("b") == F.col("v"), "left").select("key", F.col("b").alias("x"), F.coalesce("root", "b").alias("c"))
     sizes = group.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     major = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("top.c").alias("top"))
@@ -265,13 +265,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     more = materialise(more, "near-more")
     found = materialise(verified(more, texts, shingle, least), "near-links2")
 
-    roots = components(links.union(found))
+    # What the first links tie is one edge a node by now.
+    roots = components(tied.select(F.col("v").alias("a"), F.col("root").alias("b")).union(found))
     member = prints.select("id", "row", "node").join(roots, F.col("node") == F.col("v"), "left").select("id", "row", F.coalesce("root", "node").alias("root"))
     member = materialise(member, "near-members")
     best = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best")
     several = member.groupBy("root").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "best")
     out = materialise(member.join(several, "root", "left").select("id", "row", F.coalesce("best.id", "id").alias("component_id"), F.coalesce("best.row", "row").alias("keeper")), "near-out")
-    discard(prints, nodes, shared, entered, buckets, first, wanted, texts, links, group, more, found, member)
+    discard(prints, nodes, shared, entered, buckets, first, wanted, texts, links, tied, group, more, found, member)
     return out
 
 
