@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,25 +184,32 @@ def layer_index(layers: DataFrame, order: list) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Repeats of a name get _2, _3 and so on, the first that is still free. Names
-    can collide only within a stem (the name without numbers at its end), so
-    each stem's names are given in turn."""
+    """Repeats of a name get _2, _3 and so on, the first that is still free; a
+    null stays null. Names can collide only within a stem (the name without
+    numbers at its end): a stem of one name is numbered by a window alone, one of
+    several has its names given in turn, where each name goes on from its last number."""
     key, columns = [*by, "__stem"], rows.columns
-    stemmed = rows.withColumn("__stem", F.regexp_replace("base", r"(_\d+)+$", ""))
-
-    def run(pdf):
-        used, names = set(), []
-        pdf = pdf.sort_values(order, kind="stable")
-        for base in pdf["base"]:
-            name, n = base, 2
+    stem = Window.partitionBy(*key)
+    numbered = rows.withColumn("__stem", F.regexp_replace("base", r"(_\d+)+$", ""))
+    numbered = numbered.withColumn("__n", F.row_number().over(stem.orderBy(*[F.col(c).asc_nulls_last() for c in order])))
+    numbered = numbered.withColumn("__mixed", F.coalesce(F.min("base").over(stem) < F.max("base").over(stem), F.lit(False)))
+    name = F.when(F.col("__n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), "__n"))
+    plain = numbered.where(~F.col("__mixed")).select(*columns, name.alias("name"))
+
+    def run(table):
+        table = table.sort_by("__n")
+        used, after, names = set(), {}, []
+        for base in table["base"].to_pylist():
+            name, n = base, after.get(base, 2)
             while name in used:
                 name, n = f"{base}_{n}", n + 1
             used.add(name)
+            after[base] = n
             names.append(name)
-        return pdf.assign(name=names)[[*columns, "name"]]
+        return table.select(columns).append_column("name", pa.array(names, pa.string()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", name string"
-    return stemmed.groupBy(*key).applyInPandas(run, schema)
+    return plain.unionByName(numbered.where("__mixed").groupBy(*key).applyInArrow(run, schema))
 
 
 def glyph_heights(ink: DataFrame, segments: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Synthetic pages and records with known geometry and verdicts."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -392,6 +394,18 @@ def test_unique_names_cascade(spark):
     assert [r.name for r in W.unique_names(rows, [], ["seq"]).orderBy("seq").collect()] == ["x", "x_2", "x_3", "x_4", "y", "x_2_2", "x_2_2_2"]
 
 
+def test_unique_names_of_many_repeats(spark):
+    n = 30_000  # quadratic: minutes
+    rows = spark.range(2 * n).select(F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, "x").when(F.col("id") == 3, "x_5").when(F.col("id") % 4 == 1, "y").alias("base"))
+    start = time.monotonic()
+    got = {r.seq: r.name for r in W.unique_names(rows, [], ["seq"]).collect()}
+    assert time.monotonic() - start < 30
+    x = [got[i] for i in range(0, 2 * n, 2)]
+    assert x[:5] == ["x", "x_2", "x_3", "x_4", "x_6"] and x[-1] == f"x_{n + 1}" and got[3] == "x_5"
+    assert [got[i] for i in (1, 5, 9)] == ["y", "y_2", "y_3"] and got[7] is None
+    assert len({v for v in got.values() if v}) == sum(v is not None for v in got.values())
+
+
 def test_band_colour_of_bands_without_dark_pixels(spark):
     rows = [(0, 0, 0, 10, 20, 30), (0, 0, 1, 11, 20, 30), (0, 0, 2, 250, 250, 250), (1, 0, 0, 200, 210, 220), (1, 0, 1, 240, 210, 220)]
     px = spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int")
