@@ -136,3 +136,60 @@ def test_no_evidence_is_no_toxicity(spark):
     net.embed[:] = 0
     assert net.score(["the of and"])[0] == net.prior
     assert len(net.score([])) == 0
+
+
+def test_every_shard_is_fitted_as_by_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(1, 90, (int(n), toxicity.PARTS)) for n in rng.integers(0, 30, 150)]
+    docs = [np.where(d == 7, 8, d) for d in docs]
+    for k in (3, 70, 149):  # a bucket of three documents in all
+        docs[k] = np.full((2, toxicity.PARTS), 7)
+    y = np.arange(150) % 3 // 2
+    rows = spark.createDataFrame([(i, int(y[i]), bytearray(d.astype("<u2").tobytes())) for i, d in enumerate(docs)], "id long, y int, b binary")
+    net = toxicity.fit_shards(rows, shard_docs=40, shard_bytes=1 << 20)
+    where = {r.id: r.s for r in rows.select("id", F.pmod(F.xxhash64("id", "b"), F.lit(4)).alias("s")).collect()}
+    active = np.array([sum(k in d for d in docs) >= toxicity.LEAST_DOCS for k in range(toxicity.BUCKETS)])
+    assert active[7] and net.embed.any(axis=1).tolist() == active.tolist()
+    flat = None
+    for nth in range(1 + toxicity.ROUNDS):
+        made = []
+        for s in range(4 if nth else 1):
+            own = sorted(i for i in where if where[i] == s)
+            weight = toxicity.class_weights(y[own], 50, 100)
+            made.append((len(own), toxicity.fit_shard(flat, active, [docs[i] for i in own], y[own], weight, s, nth, 7)))
+        flat = (sum(n * w.astype(float) for n, w in made) / sum(n for n, _ in made)).astype(np.float32)
+    want = toxicity.network(flat, active)
+    assert np.allclose(net.embed, want.embed, atol=1e-4) and np.allclose(net.out, want.out, atol=1e-4)
+
+
+def test_documents_of_any_length_are_fitted_and_calibrate(spark):
+    texts = ["zzlong bad words " * 6000] * 12 + [f"quiet text {k}" for k in range(60)]
+    docs = docs_of(spark, texts, range(len(texts)))
+    labels = spark.createDataFrame([(i, 1, int(i < 12)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    net = toxicity.fit_toxicity(docs, labels)
+    assert all(net.embed[b].any() for b in toxicity.word_buckets(b"zzlong"))
+    assert net.score(["zzlong bad words"])[0] > 0.5 > net.score(["quiet text"])[0]
+
+
+def test_peaks_of_blocks_are_those_of_the_whole():
+    rng = np.random.default_rng(1)
+    embed = rng.normal(0, 1, (30, toxicity.DIM)).astype(np.float32)
+    filters = [rng.normal(0, 1, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    biases = [np.zeros(toxicity.FILTERS, np.float32) for _ in toxicity.WIDTHS]
+    ends = np.cumsum([9, 2, 130, 40]).tolist()
+    flat = rng.integers(0, 30, (ends[-1], toxicity.PARTS))
+    whole, old = toxicity.peaks(embed, filters, biases, flat, toxicity.starts_of(ends), ends), toxicity.BLOCK
+    try:
+        toxicity.BLOCK = 11
+        parts = toxicity.peaks(embed, filters, biases, flat, toxicity.starts_of(ends), ends)
+    finally:
+        toxicity.BLOCK = old
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole[0], parts[0], strict=True))
+    assert all((a == b).all() for a, b in zip(whole[1], parts[1], strict=True))
+
+
+def test_languages_at_once_are_those_of_each_text():
+    from inkframe.llm.labelled import language_of
+
+    texts = ["the dog and the cat", "der Hund und die Katze", "el perro y la gata", "le chien et la chatte", "", "la de", "xyz"]
+    assert toxicity.buckets_of(texts)[2] == [language_of(toxicity.words_of(t)) for t in texts]
