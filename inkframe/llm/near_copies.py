@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.llm.common import batches_of, discard, fresh, materialise, row_key
@@ -20,14 +20,13 @@ from inkframe.llm.hamming import components
 from inkframe.llm.simhash import signed
 
 #: Hash families, a fingerprint each; bits of each of its two segments; bits of a
-#: segment that are enumerated; distances, of the 64 bits that met in a table and
-#: of all families' bits, up to which texts are compared (99.95 of 100 pairs at a
-#: similarity of 0.8 or more are within the latter).
+#: segment that are enumerated; the distance of all families' bits up to which
+#: texts are compared (99.95 of 100 pairs at a similarity of 0.8 or more are within it).
 #: Share of the pairs of the test tables that meet in a table: 0.97 at a
 #: similarity of 0.8 to 0.85, 0.998 at 0.85 to 0.9, 1.00 above.
-FAMILIES, WIDTH, FLIPS, DISTANCE, COMPLETE = 10, 28, 3, 20, 120
+FAMILIES, WIDTH, FLIPS, COMPLETE = 10, 28, 3, 120
 CHUNK = 1020  # shingles whose bits are counted at once: four times what a byte can count
-#: Most keys of shared buckets (16 bytes each), and of dropped rows, that are broadcast.
+#: Most nodes whose texts are compared (24 bytes each), and dropped rows, that are broadcast.
 BROADCAST_KEYS = 500_000
 BROADCAST_DROPPED = 500_000
 
@@ -156,10 +155,6 @@ def table_entries(nodes: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("v", "key")
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
-
-
 def _close(a: str, b: str) -> Column:
     """Whether the complete distance of two arrays of fingerprints is small enough."""
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(FAMILIES)), F.lit(0)) <= COMPLETE
@@ -207,6 +202,18 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return both.mapInArrow(run, "a long, b long, same boolean").where("same").select("a", "b")
 
 
+def _links(pairs: DataFrame, rows: DataFrame, prints: DataFrame, shingle: int, least: float, tag: str) -> DataFrame:
+    """The verified ``pairs``, as a table. One text of each node in a pair is
+    read, so texts are not moved for chance meetings in a bucket."""
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
+    few = F.broadcast if wanted.count() <= BROADCAST_KEYS else lambda df: df
+    one = prints.join(few(wanted), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    texts = materialise(rows.select("row", "t").join(few(one), "row").groupBy("node").agg(F.min("t").alias("t")), "near-texts")
+    out = materialise(verified(pairs, texts, shingle, least), tag)
+    discard(wanted, texts)
+    return out
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id``, ``row`` (a hash of id and text),
     component_id (the smallest id of the component) and ``keeper`` (the ``row``
@@ -234,22 +241,16 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     rows = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("t"))
     prints = materialise(sketches(rows, shingle, "t"), "near-prints")
     nodes = materialise(prints.groupBy("node").agg(F.first("fps").alias("fps"), F.first("low").alias("low")), "near-nodes")
-    entries = table_entries(nodes)
-    shared = materialise(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-shared")
-    few = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    entered = materialise(entries.join(few, "key"), "near-entered")
-    center = entered.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("least")).select("key", F.col("least.node").alias("a"), F.col("least.fp").alias("fa"))
-    buckets = materialise(entered.join(center, "key").select("key", "n", "a", "fa", F.col("node").alias("b"), F.col("fp").alias("fb")), "near-buckets")
-    first = buckets.where((F.col("a") != F.col("b")) & _near("fa", "fb")).select("a", "b").distinct()
+    # Entries are shuffled once, as two numbers. A bucket is one task's, but holds a text once: 1 of its 160 entries.
+    bucket = Window.partitionBy("key")
+    entries = table_entries(nodes).select("key", "node")
+    entries = entries.select("key", F.count(F.lit(1)).over(bucket).alias("n"), F.min("node").over(bucket).alias("a"), F.col("node").alias("b"))
+    buckets = materialise(entries.where("n > 1"), "near-buckets")
+    first = buckets.where(F.col("a") != F.col("b")).select("a", "b").distinct()
     for c in ("a", "b"):
         first = first.join(nodes.select(F.col("node").alias(c), F.col("fps").alias(f"fps{c}")), c)
     first = materialise(first.where(_close("fpsa", "fpsb")).select("a", "b"), "near-pairs")
-
-    # One text of each node that a pair may need; the node is computed again from its text.
-    wanted = materialise(buckets.select(F.col("b").alias("node")).distinct(), "near-wanted")
-    one = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    texts = materialise(rows.select("row", "t").join(one, "row").groupBy("node").agg(F.min("t").alias("t")), "near-texts")
-    links = materialise(verified(first, texts, shingle, least), "near-links")
+    links = _links(first, rows, prints, shingle, least, "near-links")
 
     tied = materialise(components(links), "near-tied")
     group = buckets.where("n > 2").join(tied, F.col("b") == F.col("v"), "left").select("key", F.col("b").alias("x"), F.coalesce("root", "b").alias("c"))
@@ -263,7 +264,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     more = others.withColumnRenamed("key", "key2").join(group, (F.col("key2") == F.col("key")) & met & _close("fpsx", "fpsy") & once)
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(first, ["a", "b"], "left_anti")
     more = materialise(more, "near-more")
-    found = materialise(verified(more, texts, shingle, least), "near-links2")
+    found = _links(more, rows, prints, shingle, least, "near-links2")
 
     # What the first links tie is one edge a node by now.
     roots = components(tied.select(F.col("v").alias("a"), F.col("root").alias("b")).union(found))
@@ -272,7 +273,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     best = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best")
     several = member.groupBy("root").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "best")
     out = materialise(member.join(several, "root", "left").select("id", "row", F.coalesce("best.id", "id").alias("component_id"), F.coalesce("best.row", "row").alias("keeper")), "near-out")
-    discard(prints, nodes, shared, entered, buckets, first, wanted, texts, links, tied, group, more, found, member)
+    discard(prints, nodes, buckets, first, links, tied, group, more, found, member)
     return out
 
 

@@ -130,3 +130,22 @@ def test_keys_are_all_ways_of_the_uncertain_bits(spark):
     rows = N.table_entries(nodes).where("key >= 6L << 32").collect()
     assert {(r.node, r.fp) for r in rows} == {(1, fp - 2**64)}
     assert sorted(r.key for r in rows) == sorted([6 << 32 | 0b1000 | x for x in range(8)] + [7 << 32 | x for x in range(8)])
+
+
+def test_entries_are_shuffled_once_and_only_texts_of_pairs_are_read(spark, monkeypatch):
+    from inkframe.llm import near_copies as N
+
+    plans, rows, whole = {}, {}, N.materialise
+
+    def made(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        out = whole(df, tag)
+        rows[tag] = out.count() if tag == "near-texts" else None
+        return out
+
+    monkeypatch.setattr(N, "materialise", made)
+    same = " ".join(f"w{i}" for i in range(200))
+    texts = [same, same + " end", *(f"text {i} on its own" for i in range(40))]
+    N.near_copies(docs_of(spark, texts)).collect()
+    assert plans["near-buckets"] == 1 and "near-entered" not in plans
+    assert rows["near-texts"] in (0, 2)  # of the first pairs, or of none that are left
