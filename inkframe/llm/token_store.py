@@ -32,9 +32,11 @@ DICTIONARY_BYTES = 64 << 10
 BUCKET_BYTES = 64 << 20
 SEGMENT_DOCS = 2048
 SEGMENT_BYTES = 1 << 20
-#: Words that a worker keeps with their ids; beyond it starts afresh.
-CACHED_WORDS = 1_000_000
-CHARS_AT_ONCE = 2_000_000
+#: Bytes of the words that a worker keeps with their ids, and what one takes
+#: beside its letters and ids; beyond it only those of the last texts stay.
+CACHED_BYTES = 64 << 20
+WORD_BYTES = 150
+CHARS_AT_ONCE = 500_000
 
 #: The word tokenizer's regular expression, after lower-casing.
 WORD = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
@@ -79,6 +81,7 @@ class WordEncoder:
         self.plain = re.compile("[" + re.escape("".join(chars)) + "]*")
         self.words = re.compile(WORD.format(L=re.escape(letters), N=re.escape(numbers), S=re.escape(spaces)))
         self.cache: dict[str, bytes] = {}
+        self.cached_bytes = 0
 
     def _plain(self, text: str) -> bool:
         try:
@@ -89,17 +92,30 @@ class WordEncoder:
 
     def _by_word(self, texts: list[str]) -> list[np.ndarray]:
         words = [self.words.findall(t.lower()) for t in texts]
-        cache = self.cache
-        new = list(set().union(*words).difference(cache))
-        if new:
-            if len(cache) + len(new) > CACHED_WORDS:
-                cache.clear()
-                new = list(set().union(*words))
-            for k in range(0, len(new), 4096):
-                some = new[k : k + 4096]
-                for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(cache.__getitem__, ws)), "<u4") for ws in words]
+        cache, here = self.cache, set().union(*words)
+        new = list(here.difference(cache))
+        for k in range(0, len(new), 1024):
+            some = new[k : k + 1024]
+            for w, ids in zip(some, self._of_words(some), strict=True):
+                cache[w] = ids
+                self.cached_bytes += WORD_BYTES + len(w) + len(ids)
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, ws)), "<u4") for ws in words]
+        if self.cached_bytes > CACHED_BYTES:  # frequent words are in most texts, words that come once in none of the last
+            self.cache = {w: cache[w] for w in here}
+            self.cached_bytes = sum(WORD_BYTES + len(w) + len(ids) for w, ids in self.cache.items())
+            if self.cached_bytes > CACHED_BYTES // 2:
+                self.cache, self.cached_bytes = {}, 0
+        return out
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: they stand in one text, whose pre-tokens they are."""
+        found = self.tok.encode(" ".join(words), add_special_tokens=False)
+        nth = found.word_ids
+        if not nth or None in nth or nth[-1] + 1 != len(words):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        at = (4 * np.searchsorted(nth, np.arange(len(words) + 1))).tolist()
+        data = np.array(found.ids, "<u4").tobytes()
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -219,7 +235,7 @@ def write_store(
             held.clear()
             return pa.RecordBatch.from_pylist([row], schema=SEGMENT_ARROW)
 
-        for batch in batches:
+        for batch in batches_of(batches):
             for i, n, frame, bucket in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append((i, n, frame))
                 state["bytes"] += len(frame)

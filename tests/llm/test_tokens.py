@@ -8,6 +8,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
+from inkframe.llm import token_store
 from inkframe.llm.token_count import token_counts
 from inkframe.llm.token_store import WordEncoder, read_document, read_store, train_dictionary, write_store
 
@@ -77,3 +78,19 @@ def test_store_of_odd_tables(spark, tmp_path):
     write_store(docs.limit(0), WORD, f"file://{tmp_path}/none")
     assert read_store(spark, f"file://{tmp_path}/none").count() == 0
     assert train_dictionary([]) == b""
+
+
+def test_word_cache_is_bounded_by_bytes(monkeypatch):
+    """Many different words, and long ones: ids stay right and the kept bytes bounded."""
+    monkeypatch.setattr(token_store, "CACHED_BYTES", 40_000)
+    tok = Tokenizer.from_file(WORD)
+    encode = WordEncoder(open(WORD).read())
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    for k in range(30):
+        texts = [" ".join(["the", "of", *(word(rng.randint(3, 12)) for _ in range(20))]) for _ in range(3)] + [word(30_000)] * (k == 20)
+        for t, got in zip(texts, encode(texts), strict=True):
+            assert got.tolist() == tok.encode(t, add_special_tokens=False).ids
+        held = sum(len(w) + len(ids) for w, ids in encode.cache.items())
+        assert held <= 40_000 and encode.cached_bytes == held + token_store.WORD_BYTES * len(encode.cache) <= 40_000
+    assert {"the", "of"} <= set(encode.cache)  # what the last texts hold stays
