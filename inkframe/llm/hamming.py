@@ -85,7 +85,8 @@ def hamming_links(nodes: DataFrame, distance: int, segments: int, bucket_limit:
     def pairs(p, e, on):
         p = p.select(*on, F.col("rep").alias("a"), F.col("fp").alias("fa"), "w")
         e = e.select(*on, F.col("rep").alias("b"), F.col("fp").alias("fb"))
-        both = p.join(e, on).where((F.col("w") > 0) | (F.col("fa") < F.col("fb")))
+        # Spark sizes an explode like its input, so it would broadcast probes of many times the size it reckons with.
+        both = p.hint("merge").join(e, on).where((F.col("w") > 0) | (F.col("fa") < F.col("fb")))
         return both.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance).select("a", "b")
 
     if hot.isEmpty():

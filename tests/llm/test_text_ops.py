@@ -131,6 +131,15 @@ def test_hamming_links_are_complete(spark, distance, segments, limit):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [3, 10**6])
+def test_probes_are_not_broadcast(spark, limit):
+    """There are many times as many as Spark reckons, whatever size it gives them."""
+    nodes = spark.range(64).select(F.col("id").alias("rep"), F.col("id").alias("fp"))
+    plan = hamming_links(nodes, 2, 2, limit)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line and "Inner" in line]
+    assert len(joins) == (2 if limit == 3 else 1) and all("SortMergeJoin" in j for j in joins)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
