@@ -94,6 +94,19 @@ def test_license_scan_empty_and_repeated(spark):
     assert sorted((r.doc_id or -1, r.n_base) for r in rows) == [(-1, 0), (1, 1), (1, 1)]
 
 
+def test_license_query_has_the_contracts_phrases(spark, tmp_path):
+    """The base phrase is "under the mit license"; the bare name adds its label alone."""
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    texts = ODD + ["Released under the MIT License.", "The MIT License", "mit license, under the MIT-license", "Apache License, Version 2.0 and CC BY-NC 4.0", "under the\nMIT\tLICENSE under the mit license"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in Q.op1_license_scan(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        *want, labels = R.license_base(text, phrases)
+        assert [got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels] == [*want, ",".join(sorted(labels))], i
+    bare = got[len(ODD) + 1]
+    assert (bare.n_base, bare.first_word, bare.base_labels, bare.labels, bare.score) == (0, None, "", "mit", 1.0)
+
+
 def test_exact_dedup_edge_cases(spark):
     docs = docs_of(spark, ["x", "x", None, "", "y", "x", "x"], [1, 2, 3, 4, 5, None, 2])
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs, keep="largest").collect()}
