@@ -28,6 +28,9 @@ FAMILIES, WIDTH, FLIPS, COMPLETE = 10, 28, 3, 120
 CHUNK = 1020  # shingles whose bits are counted at once: four times what a byte can count
 #: Most nodes whose texts are compared (24 bytes each), and dropped rows, that are broadcast.
 BROADCAST_KEYS = 500_000
+#: Pairs of a node that are compared before all others: with those it meets most
+#: often, and then with the nearest.
+FIRST, NEAREST = 5, 4
 BROADCAST_DROPPED = 500_000
 
 
@@ -155,9 +158,14 @@ def table_entries(nodes: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("v", "key")
 
 
+def _distance(a: str, b: str) -> Column:
+    """The complete distance of two arrays of fingerprints."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(FAMILIES)), F.lit(0))
+
+
 def _close(a: str, b: str) -> Column:
-    """Whether the complete distance of two arrays of fingerprints is small enough."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(FAMILIES)), F.lit(0)) <= COMPLETE
+    """Whether that distance is small enough."""
+    return _distance(a, b) <= COMPLETE
 
 
 def _first_met(key: str, fa: str, la: str, fb: str, lb: str) -> Column:
@@ -177,6 +185,23 @@ def _first_met(key: str, fa: str, la: str, fb: str, lb: str) -> Column:
     return out & (F.col(key).bitwiseAND(both) == 0)
 
 
+def _often(pairs: DataFrame, most: int) -> DataFrame:
+    """Of the pairs (a, b) of each b the ``most`` that come most often."""
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("m"), "a"))
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
+    return counted.select("a", "b", place.alias("place")).where(F.col("place") <= most).select("a", "b")
+
+
+def _several(buckets: DataFrame, tied: DataFrame) -> DataFrame:
+    """(key, x, c, top) of the nodes x, of component c, in buckets that hold
+    several components; ``top`` is the most frequent one."""
+    rows = buckets.join(tied, F.col("b") == F.col("v"), "left").select("key", F.col("b").alias("x"), F.coalesce("root", "b").alias("c"))
+    part, bucket = Window.partitionBy("key", "c"), Window.partitionBy("key")
+    rows = rows.select("key", "x", "c", F.struct(F.count(F.lit(1)).over(part).alias("m"), "c").alias("own"))
+    rows = rows.select("key", "x", "c", F.max("own").over(bucket)["c"].alias("top"), F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi"))
+    return rows.where("lo <> hi").select("key", "x", "c", "top")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have a similarity of ``least`` or more."""
 
@@ -225,12 +250,18 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     ``least`` (see ``FAMILIES``).
 
     Texts of equal sets are one node. In each bucket (nodes under one key of a
-    table) all are first compared with the bucket's least node, which ties a
-    large group of near copies with as many pairs as it has members. Then, in
+    table) of two both are compared. In larger ones a node is first compared
+    with the bucket's least node; of the least nodes of all its buckets, with the
+    ``FIRST`` that it meets most often. That ties a large group of near copies with
+    a few pairs a member. Then, in
     buckets that still hold several components, every node outside the most
-    frequent one is compared with the nodes of other components: a pair within
-    one component adds nothing, and a pair is compared in one bucket alone.
-    Distances are compared before texts.
+    frequent one is compared with all nodes of other components: a pair within
+    one component adds nothing, and a pair is compared in one bucket alone; of
+    these the ``NEAREST`` of each such node come first, and then those that they
+    left in different components.
+    Distances are compared before texts. So the first steps only save pairs; the
+    last one leaves none out. What remains grows with the nodes that meet a large
+    group and are not near it, times its members.
 
     Null texts are empty and link to each other. Null ids come after all others;
     rows are judged by their texts, so rows that repeat an id are documents of
@@ -246,34 +277,41 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     entries = table_entries(nodes).select("key", "node")
     entries = entries.select("key", F.count(F.lit(1)).over(bucket).alias("n"), F.min("node").over(bucket).alias("a"), F.col("node").alias("b"))
     buckets = materialise(entries.where("n > 1"), "near-buckets")
-    first = buckets.where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    met = buckets.where(F.col("a") != F.col("b"))
+    first = met.where("n = 2").select("a", "b").union(_often(met.where("n > 2"), FIRST)).distinct()
     for c in ("a", "b"):
         first = first.join(nodes.select(F.col("node").alias(c), F.col("fps").alias(f"fps{c}")), c)
     first = materialise(first.where(_close("fpsa", "fpsb")).select("a", "b"), "near-pairs")
     links = _links(first, rows, prints, shingle, least, "near-links")
-
     tied = materialise(components(links), "near-tied")
-    group = buckets.where("n > 2").join(tied, F.col("b") == F.col("v"), "left").select("key", F.col("b").alias("x"), F.coalesce("root", "b").alias("c"))
-    sizes = group.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("top.c").alias("top"))
-    group = group.join(major, "key").join(nodes.select(F.col("node").alias("x"), F.col("fps").alias("fpsx"), F.col("low").alias("lowx")), "x")
+    group = _several(buckets.where("n > 2"), tied)
+    group = group.join(nodes.select(F.col("node").alias("x"), F.col("fps").alias("fpsx"), F.col("low").alias("lowx")), "x")
     group = materialise(group, "near-open")
     others = group.where("c <> top").select("key", F.col("x").alias("y"), F.col("fpsx").alias("fpsy"), F.col("lowx").alias("lowy"), F.col("c").alias("cy"))
     met = (F.col("c") != F.col("cy")) & ((F.col("c") == F.col("top")) | (F.col("x") < F.col("y")))
     once = _first_met("key", "fpsx", "lowx", "fpsy", "lowy")
     more = others.withColumnRenamed("key", "key2").join(group, (F.col("key2") == F.col("key")) & met & _close("fpsx", "fpsy") & once)
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(first, ["a", "b"], "left_anti")
-    more = materialise(more, "near-more")
-    found = _links(more, rows, prints, shingle, least, "near-links2")
+    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "y", _distance("fpsx", "fpsy").alias("d"))
+    more = materialise(more.join(first, ["a", "b"], "left_anti"), "near-more")
+    place = F.row_number().over(Window.partitionBy("y").orderBy("d", "a", "b"))
+    second = more.select("a", "b", place.alias("place")).where(F.col("place") <= NEAREST).select("a", "b").distinct()
+    second = materialise(second, "near-pairs2")
+    links2 = _links(second, rows, prints, shingle, least, "near-links2")
+    # What the links so far tie is one edge a node.
+    tied2 = materialise(components(tied.select(F.col("v").alias("a"), F.col("root").alias("b")).union(links2)), "near-tied2")
+    rest = more.select("a", "b").join(second, ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        rest = rest.join(tied2.select(F.col("v").alias(f"v{c}"), F.col("root").alias(f"root{c}")), F.col(c) == F.col(f"v{c}"), "left")
+    rest = materialise(rest.where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b"), "near-rest")
+    found = _links(rest, rows, prints, shingle, least, "near-links3")
 
-    # What the first links tie is one edge a node by now.
-    roots = components(tied.select(F.col("v").alias("a"), F.col("root").alias("b")).union(found))
+    roots = components(tied2.select(F.col("v").alias("a"), F.col("root").alias("b")).union(found))
     member = prints.select("id", "row", "node").join(roots, F.col("node") == F.col("v"), "left").select("id", "row", F.coalesce("root", "node").alias("root"))
     member = materialise(member, "near-members")
     best = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best")
     several = member.groupBy("root").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "best")
     out = materialise(member.join(several, "root", "left").select("id", "row", F.coalesce("best.id", "id").alias("component_id"), F.coalesce("best.row", "row").alias("keeper")), "near-out")
-    discard(prints, nodes, buckets, first, links, tied, group, more, found, member)
+    discard(prints, nodes, buckets, first, links, tied, group, more, second, links2, tied2, rest, found, member)
     return out
 
 

@@ -149,3 +149,21 @@ def test_entries_are_shuffled_once_and_only_texts_of_pairs_are_read(spark, monke
     N.near_copies(docs_of(spark, texts)).collect()
     assert plans["near-buckets"] == 1 and "near-entered" not in plans
     assert rows["near-texts"] in (0, 2)  # of the first pairs, or of none that are left
+
+
+def test_a_large_group_makes_a_few_pairs_a_member(spark, monkeypatch):
+    from inkframe.llm import near_copies as N
+
+    rows, whole = {}, N.materialise
+
+    def made(df, tag):
+        out = whole(df, tag)
+        rows[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "materialise", made)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    got = N.near_copies(docs_of(spark, [edited(rng, words, 1 + k % 6) for k in range(300)])).collect()
+    assert len({r.component_id for r in got}) == 1
+    assert sum(n for tag, n in rows.items() if tag.startswith(("near-pairs", "near-rest", "near-more"))) < 10 * 300
