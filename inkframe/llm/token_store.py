@@ -40,6 +40,8 @@ CHARS_AT_ONCE = 500_000
 
 #: The word tokenizer's regular expression, after lower-casing.
 WORD = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
+#: The same words, letters first: no alternative but the last shares a first character with another.
+WORD_FAST = "[{L}]+|[{N}]|'(?:s|t|re|ve|m|ll|d)|[^{S}{L}{N}]+"
 
 
 class WordEncoder:
@@ -79,7 +81,7 @@ class WordEncoder:
         numbers = "".join(c for c in chars if regex.match(r"\p{N}", c))
         spaces = "".join(c for c in chars if regex.match(r"[\t-\r \x85\xa0    ]", c))
         self.plain = re.compile("[" + re.escape("".join(chars)) + "]*")
-        self.words = re.compile(WORD.format(L=re.escape(letters), N=re.escape(numbers), S=re.escape(spaces)))
+        self.words = re.compile(WORD_FAST.format(L=re.escape(letters), N=re.escape(numbers), S=re.escape(spaces)))
         self.cache: dict[str, bytes] = {}
         self.cached_bytes = 0
 

@@ -49,6 +49,17 @@ def test_word_encoder_is_the_library():
         assert got.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_letters_are_tried_first_and_words_stay():
+    import re
+
+    encode = WordEncoder(open(WORD).read())
+    classes = {"L": "a-zé", "N": "0-9½", "S": r"\s"}
+    slow, fast = (re.compile(p.format(**classes)) for p in (token_store.WORD, token_store.WORD_FAST))
+    for t in odd_texts(2000):
+        assert fast.findall(t.lower()) == slow.findall(t.lower())
+    assert encode.words.pattern.startswith("[")
+
+
 def test_store_round_trip(spark, sf, tmp_path):
     texts = real(spark, sf) + ODD + odd_texts(50)
     ids = list(range(len(texts)))
