@@ -230,7 +230,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 def _links(pairs: DataFrame, rows: DataFrame, prints: DataFrame, shingle: int, least: float, tag: str) -> DataFrame:
     """The verified ``pairs``, as a table. One text of each node in a pair is
     read, so texts are not moved for chance meetings in a bucket."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
+    wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-wanted")
     few = F.broadcast if wanted.count() <= BROADCAST_KEYS else lambda df: df
     one = prints.join(few(wanted), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     texts = materialise(rows.select("row", "t").join(few(one), "row").groupBy("node").agg(F.min("t").alias("t")), "near-texts")
@@ -292,14 +292,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     once = _first_met("key", "fpsx", "lowx", "fpsy", "lowy")
     more = others.withColumnRenamed("key", "key2").join(group, (F.col("key2") == F.col("key")) & met & _close("fpsx", "fpsy") & once)
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "y", _distance("fpsx", "fpsy").alias("d"))
-    more = materialise(more.join(first, ["a", "b"], "left_anti"), "near-more")
     place = F.row_number().over(Window.partitionBy("y").orderBy("d", "a", "b"))
-    second = more.select("a", "b", place.alias("place")).where(F.col("place") <= NEAREST).select("a", "b").distinct()
-    second = materialise(second, "near-pairs2")
+    more = materialise(more.join(first, ["a", "b"], "left_anti").select("a", "b", place.alias("place")), "near-more")
+    second = more.where(F.col("place") <= NEAREST).select("a", "b")
     links2 = _links(second, rows, prints, shingle, least, "near-links2")
     # What the links so far tie is one edge a node.
     tied2 = materialise(components(tied.select(F.col("v").alias("a"), F.col("root").alias("b")).union(links2)), "near-tied2")
-    rest = more.select("a", "b").join(second, ["a", "b"], "left_anti")
+    rest = more.where(F.col("place") > NEAREST).select("a", "b")
     for c in ("a", "b"):
         rest = rest.join(tied2.select(F.col("v").alias(f"v{c}"), F.col("root").alias(f"root{c}")), F.col(c) == F.col(f"v{c}"), "left")
     rest = materialise(rest.where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b"), "near-rest")
@@ -311,7 +310,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     best = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best")
     several = member.groupBy("root").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "best")
     out = materialise(member.join(several, "root", "left").select("id", "row", F.coalesce("best.id", "id").alias("component_id"), F.coalesce("best.row", "row").alias("keeper")), "near-out")
-    discard(prints, nodes, buckets, first, links, tied, group, more, second, links2, tied2, rest, found, member)
+    discard(prints, nodes, buckets, first, links, tied, group, more, links2, tied2, rest, found, member)
     return out
 
 
