@@ -9,6 +9,8 @@ the segment differs are uncertain in one of them.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +34,8 @@ BROADCAST_KEYS = 500_000
 #: often, and then with the nearest.
 FIRST, NEAREST = 5, 4
 BROADCAST_DROPPED = 500_000
+#: Nodes from which on a component is a large group, and how many of them its core is taken from.
+LARGE, CORE = 64, 63
 
 
 _FAMILY = np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -193,13 +197,16 @@ def _often(pairs: DataFrame, most: int) -> DataFrame:
 
 
 def _several(buckets: DataFrame, tied: DataFrame) -> DataFrame:
-    """(key, x, c, top) of the nodes x, of component c, in buckets that hold
-    several components; ``top`` is the most frequent one."""
-    rows = buckets.join(tied, F.col("b") == F.col("v"), "left").select("key", F.col("b").alias("x"), F.coalesce("root", "b").alias("c"))
+    """(key, x, c, top, centre) of the nodes x, of component c, in buckets that
+    hold several components; ``top`` is the most frequent one, ``centre`` the
+    most frequent one of the large groups (null: there is none)."""
+    sized = tied.join(tied.groupBy("root").agg((F.count(F.lit(1)) >= LARGE).alias("large")), "root")
+    rows = buckets.join(sized, F.col("b") == F.col("v"), "left").select("key", F.col("b").alias("x"), F.coalesce("root", "b").alias("c"), "large")
     part, bucket = Window.partitionBy("key", "c"), Window.partitionBy("key")
-    rows = rows.select("key", "x", "c", F.struct(F.count(F.lit(1)).over(part).alias("m"), "c").alias("own"))
-    rows = rows.select("key", "x", "c", F.max("own").over(bucket)["c"].alias("top"), F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi"))
-    return rows.where("lo <> hi").select("key", "x", "c", "top")
+    rows = rows.select("key", "x", "c", "large", F.struct(F.count(F.lit(1)).over(part).alias("m"), "c").alias("own"))
+    centre = F.max(F.when(F.col("large"), F.col("own"))).over(bucket)["c"].alias("centre")
+    rows = rows.select("key", "x", "c", F.max("own").over(bucket)["c"].alias("top"), centre, F.min("c").over(bucket).alias("lo"), F.max("c").over(bucket).alias("hi"))
+    return rows.where("lo <> hi").select("key", "x", "c", "top", "centre")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -227,18 +234,87 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return both.mapInArrow(run, "a long, b long, same boolean").where("same").select("a", "b")
 
 
+def _texts(wanted: DataFrame, rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """(node, t): a text of each node in the table ``wanted``, as a table."""
+    few = F.broadcast if wanted.count() <= BROADCAST_KEYS else lambda df: df
+    one = prints.join(few(wanted), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    return materialise(rows.select("row", "t").join(few(one), "row").groupBy("node").agg(F.min("t").alias("t")), "near-texts")
+
+
 def _links(pairs: DataFrame, rows: DataFrame, prints: DataFrame, shingle: int, least: float, tag: str) -> DataFrame:
     """The verified ``pairs``, as a table. One text of each node in a pair is
     read, so texts are not moved for chance meetings in a bucket."""
     wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-wanted")
-    few = F.broadcast if wanted.count() <= BROADCAST_KEYS else lambda df: df
-    one = prints.join(few(wanted), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    texts = materialise(rows.select("row", "t").join(few(one), "row").groupBy("node").agg(F.min("t").alias("t")), "near-texts")
+    texts = _texts(wanted, rows, prints)
     out = materialise(verified(pairs, texts, shingle, least), tag)
     discard(wanted, texts)
     return out
 
 
+def _circles(met: DataFrame, tied: DataFrame, rows: DataFrame, prints: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The circles of large groups: their nodes and those of ``met`` (g, node),
+    which are other components', as a table (g, node, inner, size, common, off,
+    added). Of a node's ``size`` shingles ``common`` ones are in its group's
+    core (those of more than half of some of its nodes), and ``off`` ones are in
+    one of the two alone. ``added`` are those outside the core of which two nodes
+    share one if they share any and their similarity is ``least`` or more: that
+    takes at least ``least * size - common`` shared ones, so a prefix in a common
+    order is enough."""
+    met = materialise(met.distinct(), "near-met")
+    inner = tied.join(met.select("g").distinct(), F.col("root") == F.col("g"), "left_semi")
+    circle = materialise(met.select("g", "node", F.lit(False).alias("inner")).union(inner.select("root", "v", F.lit(True))), "near-circle")
+    wanted = materialise(circle.select("node").distinct(), "near-wanted")
+    texts = _texts(wanted, rows, prints)
+
+    def core(table):
+        sets = [shingle_set(t.as_py(), shingle) for t in table.column("t")]
+        found, times = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.table({"g": table.column("g").slice(0, 1), "core": pa.array([found[2 * times > len(sets)].tobytes()], pa.binary())})
+
+    def run(batches):
+        for batch in batches_of(batches):
+            out = []
+            for text, held in zip(batch.column(3), batch.column(4), strict=True):
+                h, held = shingle_set(text.as_py(), shingle), np.frombuffer(held.as_py(), np.uint64)
+                there = np.isin(h, held, assume_unique=True)
+                added, common = h[~there], int(there.sum())
+                few = max(math.ceil(least * len(h) - 1e-6) - common, 1)
+                out.append((len(h), common, len(h) + len(held) - 2 * common, added[: max(len(added) - few + 1, 0)].view(np.int64).tolist()))
+            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=False)] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["g", "node", "inner", "size", "common", "off", "added"])
+
+    place = F.row_number().over(Window.partitionBy("g").orderBy("node"))
+    some = circle.where("inner").select("g", "node", place.alias("place")).where(F.col("place") <= CORE)
+    cores = some.join(texts, "node").select("g", "t").groupBy("g").applyInArrow(core, "g long, core binary")
+    both = circle.join(texts, "node").join(cores, "g").select("g", "node", "inner", "t", "core")
+    out = materialise(both.mapInArrow(run, "g long, node long, inner boolean, size long, common long, off long, added array<bigint>"), "near-circles")
+    discard(met, circle, wanted, texts)
+    return out
+
+
+def _in_circles(circles: DataFrame, tied: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes of one circle in different components, at least one
+    of them outside the group: all that may have a similarity of ``least``.
+
+    Two nodes share shingles outside the core, or what they share is in the core
+    and in both: at most the smaller ``common``. The latter depends on sizes and
+    commons alone, so kinds of nodes are paired first."""
+    own, groups = tied.select(F.col("v").alias("node"), F.col("root").alias("c")), tied.select(F.col("v").alias("g"), F.col("root").alias("cg"))
+    held = circles.join(own, "node", "left").join(groups, "g").withColumn("c", F.coalesce("c", "node")).withColumn("inner", F.col("c") == F.col("cg"))
+    held = materialise(held.select("g", "node", "c", "inner", "size", "common", "added"), "near-placed")
+    y = held.where("not inner").select("g", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("size").alias("sy"), F.col("common").alias("my"), F.col("added").alias("wy"))
+    z = held.select("g", F.col("node").alias("z"), F.col("c").alias("cz"), "inner", F.col("size").alias("sz"), F.col("common").alias("mz"), F.col("added").alias("wz"))
+    enough = F.least("my", "mz") * (1 + least) >= least * (F.col("sy") + F.col("sz")) - 1e-6
+    kinds = y.select("g", "sy", "my").distinct().join(z.select("g", "inner", "sz", "mz").distinct(), "g").where(enough)
+    once = (F.col("cy") != F.col("cz")) & (F.col("inner") | (F.col("y") < F.col("z")))
+    alike = y.drop("wy").join(kinds, ["g", "sy", "my"]).join(z.drop("wz"), ["g", "inner", "sz", "mz"]).where(once).select("y", "z")
+    shared = y.select("g", "y", "cy", F.explode("wy").alias("w")).join(z.select("g", "z", "cz", "inner", F.explode("wz").alias("w")), ["g", "w"]).where(once).select("y", "z")
+    out = materialise(alike.union(shared).select(F.least("y", "z").alias("a"), F.greatest("y", "z").alias("b")).distinct(), "near-alike")
+    discard(held)
+    return out
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id``, ``row`` (a hash of id and text),
     component_id (the smallest id of the component) and ``keeper`` (the ``row``
@@ -254,14 +330,19 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     with the bucket's least node; of the least nodes of all its buckets, with the
     ``FIRST`` that it meets most often. That ties a large group of near copies with
     a few pairs a member. Then, in
-    buckets that still hold several components, every node outside the most
-    frequent one is compared with all nodes of other components: a pair within
-    one component adds nothing, and a pair is compared in one bucket alone; of
-    these the ``NEAREST`` of each such node come first, and then those that they
-    left in different components.
-    Distances are compared before texts. So the first steps only save pairs; the
-    last one leaves none out. What remains grows with the nodes that meet a large
-    group and are not near it, times its members.
+    buckets that still hold several components but no large group, every node
+    outside the most frequent one is compared with all nodes of other components:
+    a pair within one component adds nothing, and a pair is compared in one bucket
+    alone; of these the ``NEAREST`` of each such node come first, and then those
+    that they left in different components. Distances are compared before texts.
+    Nodes in a bucket with a large group are in its circle (``_circles``): each is
+    compared with the group's most central node, and those that this left outside
+    with all nodes of the circle, in a bucket or not, that may be near by their
+    sizes and what they share with the group's core, or that share a shingle
+    outside the core. So the first steps only save pairs; the last one leaves none
+    out. What remains may still grow with the product of two kinds in a circle:
+    nodes almost near enough, and nodes with a variant that is frequent in the
+    group but not in its core.
 
     Null texts are empty and link to each other. Null ids come after all others;
     rows are judged by their texts, so rows that repeat an id are documents of
@@ -284,9 +365,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     first = materialise(first.where(_close("fpsa", "fpsb")).select("a", "b"), "near-pairs")
     links = _links(first, rows, prints, shingle, least, "near-links")
     tied = materialise(components(links), "near-tied")
-    group = _several(buckets.where("n > 2"), tied)
-    group = group.join(nodes.select(F.col("node").alias("x"), F.col("fps").alias("fpsx"), F.col("low").alias("lowx")), "x")
-    group = materialise(group, "near-open")
+    several = materialise(_several(buckets.where("n > 2"), tied), "near-open")
+    met = several.where("c <> centre").select(F.col("centre").alias("g"), F.col("x").alias("node"))
+    circles = _circles(met, tied, rows, prints, shingle, least)
+    central = circles.where("inner").groupBy("g").agg(F.min(F.struct("off", "node"))["node"].alias("to"))
+    central = circles.where("not inner").join(central, "g").select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
+    group = several.where("centre is null").join(nodes.select(F.col("node").alias("x"), F.col("fps").alias("fpsx"), F.col("low").alias("lowx")), "x")
     others = group.where("c <> top").select("key", F.col("x").alias("y"), F.col("fpsx").alias("fpsy"), F.col("lowx").alias("lowy"), F.col("c").alias("cy"))
     met = (F.col("c") != F.col("cy")) & ((F.col("c") == F.col("top")) | (F.col("x") < F.col("y")))
     once = _first_met("key", "fpsx", "lowx", "fpsy", "lowy")
@@ -294,23 +378,25 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "y", _distance("fpsx", "fpsy").alias("d"))
     place = F.row_number().over(Window.partitionBy("y").orderBy("d", "a", "b"))
     more = materialise(more.join(first, ["a", "b"], "left_anti").select("a", "b", place.alias("place")), "near-more")
-    second = more.where(F.col("place") <= NEAREST).select("a", "b")
+    second = more.where(F.col("place") <= NEAREST).select("a", "b").union(central).distinct()
     links2 = _links(second, rows, prints, shingle, least, "near-links2")
     # What the links so far tie is one edge a node.
     tied2 = materialise(components(tied.select(F.col("v").alias("a"), F.col("root").alias("b")).union(links2)), "near-tied2")
     rest = more.where(F.col("place") > NEAREST).select("a", "b")
     for c in ("a", "b"):
         rest = rest.join(tied2.select(F.col("v").alias(f"v{c}"), F.col("root").alias(f"root{c}")), F.col(c) == F.col(f"v{c}"), "left")
-    rest = materialise(rest.where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b"), "near-rest")
+    rest = rest.where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b")
+    alike = _in_circles(circles, tied2, least)
+    rest = materialise(rest.union(alike).distinct(), "near-rest")
     found = _links(rest, rows, prints, shingle, least, "near-links3")
 
     roots = components(tied2.select(F.col("v").alias("a"), F.col("root").alias("b")).union(found))
     member = prints.select("id", "row", "node").join(roots, F.col("node") == F.col("v"), "left").select("id", "row", F.coalesce("root", "node").alias("root"))
     member = materialise(member, "near-members")
     best = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best")
-    several = member.groupBy("root").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "best")
-    out = materialise(member.join(several, "root", "left").select("id", "row", F.coalesce("best.id", "id").alias("component_id"), F.coalesce("best.row", "row").alias("keeper")), "near-out")
-    discard(prints, nodes, buckets, first, links, tied, group, more, links2, tied2, rest, found, member)
+    shared = member.groupBy("root").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "best")
+    out = materialise(member.join(shared, "root", "left").select("id", "row", F.coalesce("best.id", "id").alias("component_id"), F.coalesce("best.row", "row").alias("keeper")), "near-out")
+    discard(prints, nodes, buckets, first, links, tied, several, circles, more, links2, tied2, alike, rest, found, member)
     return out
 
 

@@ -166,3 +166,24 @@ def test_a_large_group_makes_a_few_pairs_a_member(spark, monkeypatch):
     got = N.near_copies(docs_of(spark, [edited(rng, words, 1 + k % 6) for k in range(300)])).collect()
     assert len({r.component_id for r in got}) == 1
     assert sum(compared) < 20 * 300, compared
+
+
+def test_nodes_around_a_large_group_are_not_compared_with_all_of_it(spark, monkeypatch):
+    from inkframe.llm import near_copies as N
+
+    compared, whole = [], N._links
+
+    def links(pairs, *rest):
+        compared.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(N, "_links", links)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(150)]
+    texts = [edited(rng, words, k % 3) for k in range(300)] + [edited(rng, words, 4 + k % 2) for k in range(150)]
+    far = edited(rng, words, 6)  # near to one another, not to the group
+    texts += [edited(rng, far.split(" "), k % 2) for k in range(10)]
+    got = {r.id: r.component_id for r in N.near_copies(docs_of(spark, texts)).collect()}
+    want = components({i: shingles(t) for i, t in enumerate(texts)})
+    assert got == want and len(set(want.values())) > 100
+    assert sum(compared) < 5000, compared
