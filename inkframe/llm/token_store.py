@@ -37,6 +37,12 @@ SEGMENT_BYTES = 1 << 20
 CACHED_BYTES = 64 << 20
 WORD_BYTES = 150
 CHARS_AT_ONCE = 500_000
+#: Slots (24 bytes each) of a worker's table of words of up to ``KEY`` letters, and
+#: ids that it refers to (4 bytes each) before it is begun anew.
+SLOT_BITS, KEY, POOLED_IDS = 19, 16, 4 << 20
+SPACES, LETTERS, NUMBERS, OTHERS = range(4)
+#: Bits of the first letters of a key's half, by their number.
+_HALF = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: The word tokenizer's regular expression, after lower-casing.
 WORD = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
@@ -51,6 +57,11 @@ class WordEncoder:
     pattern ``WORD``, words do not influence one another and their ids are kept.
     That holds for texts of Latin letters and common punctuation; all other
     texts, and those with strings of special tokens, go to the library whole.
+
+    Of these, texts of the 255 commonest letters are cut and looked up as arrays
+    of one-byte codes: a slot of the table holds a word's whole code (so words
+    are never mixed up) and where its ids are; what the slot does not hold is
+    sought in ``cache``, which has all words of the table.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -80,6 +91,7 @@ class WordEncoder:
         letters = "".join(c for c in chars if regex.match(r"\p{L}", c))
         numbers = "".join(c for c in chars if regex.match(r"\p{N}", c))
         spaces = "".join(c for c in chars if regex.match(r"[\t-\r \x85\xa0    ]", c))
+        self._set_codes(chars, letters, numbers, spaces)
         self.plain = re.compile("[" + re.escape("".join(chars)) + "]*")
         self.words = re.compile(WORD_FAST.format(L=re.escape(letters), N=re.escape(numbers), S=re.escape(spaces)))
         self.cache: dict[str, bytes] = {}
@@ -92,23 +104,113 @@ class WordEncoder:
             return self.plain.fullmatch(text) is not None
         return True
 
-    def _by_word(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self.words.findall(t.lower()) for t in texts]
-        cache, here = self.cache, set().union(*words)
-        new = list(here.difference(cache))
+    def _set_codes(self, chars: list[str], letters: str, numbers: str, spaces: str) -> None:
+        """A code of each letter, lower-cased (0: none), and the class of each code."""
+        rank = lambda c: (ord(c) > 0xFF, not 0x2010 <= ord(c) <= 0x203A and c != "€", ord(c))
+        lower = sorted({c for c in chars if c.lower() == c and (c.isprintable() or c in "\t\n\r\xa0\xad")}, key=rank)[:255]
+        code = {c: k for k, c in enumerate(lower, 1)}
+        self.codes = np.zeros(1 << 16, np.uint8)
+        for c in chars:
+            self.codes[ord(c)] = code.get(c.lower(), 0)
+        self.kinds = np.full(256, OTHERS, np.uint8)
+        for kind, of in ((SPACES, spaces), (LETTERS, letters), (NUMBERS, numbers)):
+            self.kinds[[code[c] for c in of if c in code]] = kind
+        # Letters after an apostrophe: 1 ends a contraction, or a second one does.
+        self.one, self.two = np.zeros(256, bool), np.zeros((256, 256), bool)
+        self.one[[code[c] for c in "stmd"]] = True
+        for a, b in ("re", "ve", "ll"):
+            self.two[code[a], code[b]] = True
+        self.apostrophe = code["'"]
+        self._new_table()
+
+    def _new_table(self) -> None:
+        self.table, self.pool, self.pooled = np.zeros((1 << SLOT_BITS, 3), np.uint64), np.zeros(1 << 12, "<u4"), 0
+
+    def _spans(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words that the pattern finds in a text of codes."""
+        kind = self.kinds[code]
+        last = np.concatenate([np.full(1, SPACES, np.uint8), kind[:-1]])
+        edge = np.append((kind != last) | (kind == NUMBERS), np.zeros(4, bool))
+        at = np.flatnonzero((code == self.apostrophe) & (last != OTHERS))  # inside a run of others it is one of them
+        after = np.append(code, np.zeros(2, np.uint8))
+        one, two = self.one[after[at + 1]], self.two[after[at + 1], after[at + 2]]
+        edge[at[one | two] + 1] = False
+        edge[at[one] + 2] = edge[at[two] + 3] = True
+        edge = np.flatnonzero(edge[: len(code)])
+        word = kind[edge] != SPACES
+        return edge[word], np.append(edge[1:], len(code))[word]
+
+    def _learn(self, words) -> None:
+        """Put words into ``cache`` that it does not hold."""
+        new = [w for w in words if w not in self.cache]
         for k in range(0, len(new), 1024):
             some = new[k : k + 1024]
             for w, ids in zip(some, self._of_words(some), strict=True):
-                cache[w] = ids
+                self.cache[w] = ids
                 self.cached_bytes += WORD_BYTES + len(w) + len(ids)
-        out = [np.frombuffer(b"".join(map(cache.__getitem__, ws)), "<u4") for ws in words]
+
+    def _coded(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+        """The texts with spaces between, their codes, and where each starts."""
+        whole = " ".join(texts)
+        return whole, self.codes[np.frombuffer(whole.encode("utf-16-le"), "<u2")], np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+
+    def _by_word(self, texts: list[str]) -> list[np.ndarray]:
+        whole, code, starts = self._coded(texts)
+        if code.all():
+            out = self._by_code(whole, code, starts)
+        else:
+            rare = set((np.searchsorted(starts, np.flatnonzero(code == 0), "right") - 1).tolist())
+            rest = [t for i, t in enumerate(texts) if i not in rare]
+            slow, fast = iter(self._by_pattern([texts[i] for i in sorted(rare)])), iter(self._by_code(*self._coded(rest)) if rest else [])
+            out = [next(slow if i in rare else fast) for i in range(len(texts))]
         if self.cached_bytes > CACHED_BYTES:  # frequent words are in most texts, words that come once in none of the last
+            cache, here = self.cache, set().union(*(self.words.findall(t.lower()) for t in texts))
             self.cache = {w: cache[w] for w in here}
             self.cached_bytes = sum(WORD_BYTES + len(w) + len(ids) for w, ids in self.cache.items())
             if self.cached_bytes > CACHED_BYTES // 2:
                 self.cache, self.cached_bytes = {}, 0
+            self._new_table()
         return out
 
+    def _by_pattern(self, texts: list[str]) -> list[np.ndarray]:
+        words = [self.words.findall(t.lower()) for t in texts]
+        self._learn(set().union(*words))
+        return [np.frombuffer(b"".join(map(self.cache.__getitem__, ws)), "<u4") for ws in words]
+
+    def _by_code(self, whole: str, code: np.ndarray, text_starts: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts, of which ``whole`` is made with spaces between."""
+        if self.pooled > POOLED_IDS:
+            self._new_table()
+        starts, ends = self._spans(code)
+        length = ends - starts
+        keys = np.lib.stride_tricks.sliding_window_view(np.append(code, np.zeros(KEY, np.uint8)), KEY)[starts].view("<u8")
+        keys = keys & np.stack([_HALF[np.minimum(length, 8)], _HALF[np.clip(length - 8, 0, 8)]], axis=1)
+        slot = (keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
+        slot = ((slot ^ (slot >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SLOT_BITS)
+        found = self.table[slot]
+        short = length <= KEY
+        miss = np.flatnonzero((found[:, 0] != keys[:, 0]) | (found[:, 1] != keys[:, 1]) | ~short)
+        place, count = (found[:, 2] >> np.uint64(16)).astype(np.int64), (found[:, 2] & np.uint64(0xFFFF)).astype(np.int64)
+        if len(miss):
+            low, nth = whole.lower(), {}
+            which = np.array([nth.setdefault(low[a:b], len(nth)) for a, b in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)])
+            self._learn(nth)
+            new = [self.cache[w] for w in nth]
+            sizes = np.array([len(b) // 4 for b in new])
+            ids, at = np.frombuffer(b"".join(new), "<u4"), self.pooled + np.cumsum(sizes) - sizes
+            if self.pooled + len(ids) > len(self.pool):
+                self.pool = np.append(self.pool[: self.pooled], np.zeros(max(self.pooled, 2 * len(ids)), "<u4"))
+            self.pool[self.pooled : self.pooled + len(ids)] = ids
+            self.pooled += len(ids)
+            place[miss], count[miss] = at[which], sizes[which]
+            kept = miss[short[miss] & (count[miss] < 1 << 16)]
+            kept = kept[np.unique(slot[kept], return_index=True)[1]]  # one word a slot
+            self.table[slot[kept]] = np.column_stack([keys[kept], (place[kept] << 16 | count[kept]).astype(np.uint64)])
+        upto = np.append(0, np.cumsum(count))
+        ids = self.pool[np.arange(upto[-1]) + np.repeat(place - upto[:-1], count)]
+        cuts = upto[np.append(np.searchsorted(starts, text_starts), len(starts))].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word: they stand in one text, whose pre-tokens they are."""
         found = self.tok.encode(" ".join(words), add_special_tokens=False)
@@ -129,7 +231,7 @@ class WordEncoder:
                 chars += len(t)
             else:
                 out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4")
-            if chars > CHARS_AT_ONCE or i + 1 == len(texts):
+            if some and (chars > CHARS_AT_ONCE or i + 1 == len(texts)):
                 for j, ids in zip(some, self._by_word([texts[j] for j in some]), strict=True):
                     out[j] = ids
                 some, chars = [], 0

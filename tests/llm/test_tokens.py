@@ -105,3 +105,28 @@ def test_word_cache_is_bounded_by_bytes(monkeypatch):
         held = sum(len(w) + len(ids) for w, ids in encode.cache.items())
         assert held <= 40_000 and encode.cached_bytes == held + token_store.WORD_BYTES * len(encode.cache) <= 40_000
     assert {"the", "of"} <= set(encode.cache)  # what the last texts hold stays
+
+
+def test_words_of_common_letters_are_found_without_the_pattern(monkeypatch):
+    tok = Tokenizer.from_file(WORD)
+    encode = WordEncoder(open(WORD).read())
+    monkeypatch.setattr(encode, "words", None)
+    rng = random.Random(8)
+    alphabet = "abstvremldABZ' '  .,-!09½²é“”’…€\n\tšß"
+    word = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = [word(rng.randint(0, 80)) for _ in range(3000)] + ["", " ", "'s", "x" * 16, "x" * 17, "x" * 40 + "'ll'", "' 's 't's'D'RE'v"]
+    for _ in range(2):  # the second time all words are known
+        for t, got in zip(texts, encode(texts), strict=True):
+            assert got.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_words_that_share_a_slot_stay_apart(monkeypatch):
+    monkeypatch.setattr(token_store, "SLOT_BITS", 2)
+    monkeypatch.setattr(token_store, "POOLED_IDS", 50)
+    tok = Tokenizer.from_file(WORD)
+    encode = WordEncoder(open(WORD).read())
+    rng = random.Random(9)
+    for _ in range(20):
+        texts = odd_texts(10) + [" ".join(rng.choice(["the", "of", "and", "thea", "internationally", "misunderstandings"]) for _ in range(30))]
+        for t, got in zip(texts, encode(texts), strict=True):
+            assert got.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
