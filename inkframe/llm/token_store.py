@@ -32,11 +32,13 @@ DICTIONARY_BYTES = 64 << 10
 BUCKET_BYTES = 64 << 20
 SEGMENT_DOCS = 2048
 SEGMENT_BYTES = 1 << 20
-#: Bytes of the words that a worker keeps with their ids, and what one takes
-#: beside its letters and ids; beyond it only those of the last texts stay.
-CACHED_BYTES = 64 << 20
+#: Bytes of the words that a worker keeps with their ids as Python objects, and
+#: what one takes beside its letters and ids; beyond it only those of the last
+#: texts stay (and those in the table, which takes a fifth of that a word).
+CACHED_BYTES = 8 << 20
 WORD_BYTES = 150
-CHARS_AT_ONCE = 500_000
+LAST_TEXTS = 64
+CHARS_AT_ONCE = 150_000
 #: Slots (24 bytes each) of a worker's table of words of up to ``KEY`` letters, and
 #: ids that it refers to (4 bytes each) before it is begun anew.
 SLOT_BITS, KEY, POOLED_IDS = 19, 16, 4 << 20
@@ -61,7 +63,7 @@ class WordEncoder:
     Of these, texts of the 255 commonest letters are cut and looked up as arrays
     of one-byte codes: a slot of the table holds a word's whole code (so words
     are never mixed up) and where its ids are; what the slot does not hold is
-    sought in ``cache``, which has all words of the table.
+    sought in ``cache``, which is the smaller of the two.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -164,12 +166,12 @@ class WordEncoder:
             slow, fast = iter(self._by_pattern([texts[i] for i in sorted(rare)])), iter(self._by_code(*self._coded(rest)) if rest else [])
             out = [next(slow if i in rare else fast) for i in range(len(texts))]
         if self.cached_bytes > CACHED_BYTES:  # frequent words are in most texts, words that come once in none of the last
-            cache, here = self.cache, set().union(*(self.words.findall(t.lower()) for t in texts))
-            self.cache = {w: cache[w] for w in here}
+            cache, last = self.cache, texts[-LAST_TEXTS:]
+            self.cache = {w: cache[w] for w in set().union(*(self.words.findall(t.lower()) for t in last)) if w in cache}
             self.cached_bytes = sum(WORD_BYTES + len(w) + len(ids) for w, ids in self.cache.items())
             if self.cached_bytes > CACHED_BYTES // 2:
                 self.cache, self.cached_bytes = {}, 0
-            self._new_table()
+                self._new_table()
         return out
 
     def _by_pattern(self, texts: list[str]) -> list[np.ndarray]:
@@ -239,7 +241,7 @@ class WordEncoder:
 
 
 def _encoder(tokenizer_json: str) -> WordEncoder:
-    """The worker process's encoder: kept from task to task."""
+    """The worker process's encoder: kept from task to task, until another operator's."""
     kept = worker_cache()
     if tokenizer_json not in kept:
         kept[tokenizer_json] = WordEncoder(tokenizer_json)
@@ -302,7 +304,7 @@ def write_store(
 
     def serialize(batches):
         encode = _encoder(shared.value)
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, keep=shared.value):
             arrays = encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([np.append(a, end).astype(kind).tobytes() for a in arrays], pa.binary())], ["b"])
 
@@ -314,7 +316,7 @@ def write_store(
         encode = _encoder(shared.value)
         zd = _dictionary(data)
         z = zstandard.ZstdCompressor(level=level, dict_data=zd) if zd else zstandard.ZstdCompressor(level=level)
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, keep=shared.value):
             arrays = encode(batch.column(1).to_pylist())
             arrays = [np.append(a, end).astype(kind) for a in arrays]
             cols = [batch.column(0), pa.array([len(a) for a in arrays], pa.int64()), pa.array([z.compress(a.tobytes()) for a in arrays], pa.binary())]

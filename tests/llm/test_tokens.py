@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from inkframe.llm import token_store
+from inkframe.llm import common, token_store
 from inkframe.llm.token_count import token_counts
 from inkframe.llm.token_store import WordEncoder, read_document, read_store, train_dictionary, write_store
 
@@ -130,3 +131,35 @@ def test_words_that_share_a_slot_stay_apart(monkeypatch):
         texts = odd_texts(10) + [" ".join(rng.choice(["the", "of", "and", "thea", "internationally", "misunderstandings"]) for _ in range(30))]
         for t, got in zip(texts, encode(texts), strict=True):
             assert got.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_encoder_stays_small_over_many_words():
+    """200,000 words that come once: no more than 20 MB beside the table, and frequent words need no second look."""
+    import tracemalloc
+
+    encode = WordEncoder(open(WORD).read())
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 9))) for _ in range(200_000)]
+    texts = ["the of " + " ".join(words[k : k + 300]) for k in range(0, len(words), 300)]
+    learnt, learn = [], encode._learn
+    encode._learn = lambda some: learn(learnt.append(len(some)) or some)
+    tracemalloc.start()
+    try:
+        for k in range(0, len(texts), 50):
+            encode(texts[k : k + 50])
+        assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    finally:
+        tracemalloc.stop()
+    tok = Tokenizer.from_file(WORD)
+    for t, got in zip(texts[:5], encode(texts[:5]), strict=True):
+        assert got.tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert sum(learnt) < len(words) * 1.2
+
+
+def test_workers_forget_what_other_operators_kept():
+    text = open(WORD).read()
+    kept = token_store._encoder(text)
+    assert list(common.batches_of([pa.array([1, 2])], keep=text)) == [pa.array([1, 2])] and token_store._encoder(text) is kept
+    assert list(common.batches_of([pa.array([1, 2])])) == [pa.array([1, 2])] and text not in common.worker_cache()
+    assert token_store._encoder(text) is not kept
+    common.forget()
